@@ -88,12 +88,13 @@ def with_row_slot(df: DataFrame, keys: Sequence[str] = SERIES, block_slots: int
 
 def over_series(df: DataFrame, columns: Callable[[WindowSpec], Sequence[Column]], before: int = 0, after: int = 0,
                 keys: Sequence[str] = SERIES, block_slots: int = BLOCK_SLOTS,
-                prepare: Callable[[WindowSpec], Sequence[Column]] | None = None) -> DataFrame:
+                prepare: Callable[[WindowSpec], Sequence[Column]] | None = None, keep_block: bool = False) -> DataFrame:
     """Add window columns that look back at most ``before`` rows and ahead at most ``after`` rows.
 
     Needs ``slot`` without gaps. Rows near a block edge are copied into the neighbouring block, windows run per
     block, and the copies are dropped. ``prepare`` adds columns first that ``columns`` may refer to; both share
-    the exchange and the sort.
+    the exchange and the sort. With ``keep_block`` the block stays as a column, so a grouping by series and block
+    that follows needs no exchange.
     """
     slot = F.col("slot")
     home = block_of(slot, block_slots)
@@ -104,7 +105,7 @@ def over_series(df: DataFrame, columns: Callable[[WindowSpec], Sequence[Column]]
     if prepare is not None:
         halo = halo.select("*", *prepare(w))
     out = halo.select("*", *columns(w))
-    return out.filter("_core").drop("_core", "block")
+    return out.filter("_core").drop("_core", *([] if keep_block else ["block"]))
 
 
 def spread_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner",

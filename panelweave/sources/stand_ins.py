@@ -63,6 +63,6 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
         cents_mean("l_quantity").alias("fit_time"),
         cents_mean("l_tax").alias("prediction_time"),
         cents_mean("l_extendedprice").alias("mean_squared_error"),
-        cents_mean("l_extendedprice", 7e4).alias("norm_mean_squared_error"),
-        cents_mean("l_quantity", 3e3).alias("norm_mean_absolute_error"),
-        cents_mean("l_discount", 70.0).alias("norm_median_absolute_error"))
+        cents_mean("l_extendedprice", 69_997.0).alias("norm_mean_squared_error"),
+        cents_mean("l_quantity", 2_999.0).alias("norm_mean_absolute_error"),
+        cents_mean("l_discount", 71.0).alias("norm_median_absolute_error"))
