@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.blocks import BLOCK_SLOTS, over_series
 from panelweave.operators.series import HORIZONS, SEASON, difference, lag_columns, other_series_features, row_statistics
-from panelweave.schemas import RUN, SERIES
-
-ROW = [*RUN, "ts", "slot", "block", "features", "label", "is_holdout"]
+from panelweave.schemas import SERIES
+from panelweave.session import cut_lineage
 
 
 def _targets(w, horizons: Sequence[int], season: int, value: str = "value"):
@@ -22,15 +22,21 @@ def _targets(w, horizons: Sequence[int], season: int, value: str = "value"):
         F.lead("slot", h + season).over(w).isNull().alias("is_holdout")) for h in horizons]).alias("_targets")
 
 
-def _per_horizon(df: DataFrame, differenced: bool, artificial: bool) -> DataFrame:
-    return (df.withColumn("_t", F.explode("_targets")).filter("_t.has_label")
-            .select(*SERIES, F.col("_t.distance").alias("distance"), F.lit(differenced).alias("differenced"),
-                    F.lit(True).alias("direct"), F.lit(artificial).alias("artificial"), "ts", "slot", "block",
-                    "features", F.col("_t.label").alias("label"), F.col("_t.is_holdout").alias("is_holdout")))
+def per_horizon(frame: DataFrame) -> DataFrame:
+    """Explode feature frames into one row per horizon that still has a target."""
+    return (frame.withColumn("_t", F.explode("_targets")).filter("_t.has_label")
+            .select(*SERIES, F.col("_t.distance").alias("distance"), "differenced", F.lit(True).alias("direct"),
+                    "artificial", "ts", "slot", "block", "features", F.col("_t.label").alias("label"),
+                    F.col("_t.is_holdout").alias("is_holdout")))
 
 
-def artificial_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, differenced: bool = False,
-                    stat_mode: str = "inclusive", block_slots: int = BLOCK_SLOTS) -> DataFrame:
+def _frame(df: DataFrame, differenced: bool, artificial: bool) -> DataFrame:
+    return df.select(*SERIES, F.lit(differenced).alias("differenced"), F.lit(artificial).alias("artificial"), "ts", "slot",
+                     "block", "features", "_targets")
+
+
+def artificial_frame(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, differenced: bool = False,
+                     stat_mode: str = "inclusive", block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """Lags of one season with their sum, mean and median as features; the first season of rows is dropped.
 
     Differences, lags, targets and the holdout flag come out of one exchange: whether a row lies in the last
@@ -50,11 +56,11 @@ def artificial_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None =
     out = over_series(grid.filter(F.col("rate") == rate), columns, before=first, after=max(horizons) + season,
                       block_slots=block_slots, prepare=prepare, keep_block=True).filter("_keep")
     features = F.concat("_lags", F.array(*row_statistics(F.col("_lags"), stat_mode)))
-    return _per_horizon(out.withColumn("features", features), differenced, True)
+    return _frame(out.withColumn("features", features), differenced, True)
 
 
-def direct_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, differenced: bool = False,
-                block_slots: int = BLOCK_SLOTS) -> DataFrame:
+def direct_frame(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, differenced: bool = False,
+                 block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """Current values of the station's other pollutants as features, where there are at least two of them."""
     season = SEASON[rate]
     horizons = HORIZONS[rate] if horizons is None else horizons
@@ -68,16 +74,27 @@ def direct_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None = Non
 
     out = over_series(others, columns, before=season, after=max(horizons) + season, block_slots=block_slots,
                       keep_block=True).filter("_keep")
-    return _per_horizon(out, differenced, False)
+    return _frame(out, differenced, False)
+
+
+def artificial_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, differenced: bool = False,
+                    stat_mode: str = "inclusive", block_slots: int = BLOCK_SLOTS) -> DataFrame:
+    return per_horizon(artificial_frame(grid, rate, horizons, differenced, stat_mode, block_slots))
+
+
+def direct_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, differenced: bool = False,
+                block_slots: int = BLOCK_SLOTS) -> DataFrame:
+    return per_horizon(direct_frame(grid, rate, horizons, differenced, block_slots))
 
 
 def all_rows(grid: DataFrame, rate: str, horizons: Sequence[int] | None = None, direct_set: bool = True,
              differenced: Sequence[bool] = (False, True)) -> DataFrame:
-    """Rows of every direct setup of one rate."""
-    parts = [artificial_rows(grid, rate, horizons, d) for d in differenced]
+    """Rows of every direct setup of one rate.
+
+    All models and folds read these rows, so the features are written to the shared folder once, before horizons
+    multiply them.
+    """
+    parts = [artificial_frame(grid, rate, horizons, d) for d in differenced]
     if direct_set:
-        parts += [direct_rows(grid, rate, horizons, d) for d in differenced]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        parts += [direct_frame(grid, rate, horizons, d) for d in differenced]
+    return per_horizon(cut_lineage(reduce(DataFrame.unionByName, parts)))

@@ -19,6 +19,7 @@ from panelweave.operators.blocks import over_series, spread_join
 from panelweave.operators.series import MAX_ROWS, SEASON, head
 from panelweave.operators.worklist import without_finished, work_list
 from panelweave.schemas import EVAL_COLUMNS, PREDICTIONS_COLUMNS, RUN, SERIES
+from panelweave.session import cut_lineage
 
 DIRECT_MODELS = ["knn", "decision_tree", "random_forest", "linear_regression"]
 TIMEBASED_MODELS = ["ets", "arima", "prophet"]
@@ -45,7 +46,7 @@ def timebased_rows(grid: DataFrame, rate: str, differenced: Sequence[bool] = (Fa
         parts.append(part.select(*SERIES, F.lit(season).alias("distance"), F.lit(d).alias("differenced"),
                                  F.lit(False).alias("direct"), F.lit(False).alias("artificial"), "ts", "slot", "block",
                                  F.col("_v").alias("value"), "is_holdout"))
-    return _union(parts)
+    return cut_lineage(_union(parts))
 
 
 def _to_do(rows: DataFrame, todo: DataFrame | None) -> DataFrame:
@@ -161,6 +162,7 @@ def evaluate(grid: DataFrame, results: DataFrame, models: Sequence[str] = MODELS
     if done is not None:
         results = without_finished(results, done, ["station", "rate"])
     forecast, factors = forecast_all(grid, results, models, horizons, rates, max_rows, direct_set)
+    forecast = cut_lineage(forecast)
     return evaluation_table(forecast, factors), predictions_table(forecast)
 
 

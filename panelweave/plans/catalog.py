@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions import names, params, scores
 from panelweave.operators import ingest, resample, scaling, series, worklist
-from panelweave.operators.blocks import over_series, with_grid_slot, with_row_slot
-from panelweave.plans import reports
+from panelweave.models import neighbours, regression, search, supervised, trees
+from panelweave.operators.blocks import over_series, spread_join, with_row_slot
+from panelweave.operators.stats import describe
+from panelweave.plans import backtest, reports
 from panelweave.schemas import RUN, SERIES, STATION
+from panelweave.session import shared_dir
 from panelweave.sources import stand_ins as src
+from panelweave.sources import tables
+from panelweave.streaming import incremental
 
 KEY = [*SERIES, "ts"]
 
@@ -327,10 +334,144 @@ def norm_scores(spark, sf_dir):
 
 def baseline_report(spark, sf_dir):
     """End to end: grid, seasonal-naive forecast, scores, statistics per rate."""
-    from panelweave.operators.stats import describe
     return rounded(describe(score_baseline(hourly_grid(spark, sf_dir), 24), ["rate"], ["norm_mean_absolute_error"]))
 
 
+# --- models ---------------------------------------------------------------------------------------------------
+
+def knn_forecast(spark, sf_dir, weights: str) -> DataFrame:
+    """Forecast one hour ahead over the last day from the five nearest hours of each series."""
+    rows = supervised.artificial_rows(hourly_grid(spark, sf_dir, 1), "H", [1])
+    near = neighbours.nearest_rows(rows.filter("not is_holdout"), rows.filter("is_holdout"), RUN, 5)
+    return rounded(near.select(*KEY, F.col("label").alias("actual"), neighbours.neighbour_value(
+        "near", F.lit(5), F.lit(weights)).alias("predicted")))
+
+
+def knn_uniform(spark, sf_dir):
+    return knn_forecast(spark, sf_dir, "uniform")
+
+
+def knn_distance(spark, sf_dir):
+    return knn_forecast(spark, sf_dir, "distance")
+
+
+def knn_cv_best(spark, sf_dir):
+    """Best of all fifty candidates over three time-ordered folds, from the values of the other series."""
+    grid = hourly_grid(spark, sf_dir, 1)
+    found = search.knn_search(supervised.direct_rows(grid, "H", [1]), draws=None)
+    best = params.typed_params("knn", F.col("params"))
+    return rounded(found.select(*SERIES, best["n_neighbors"].alias("n_neighbors"), best["weights"].alias("weights"), "score"))
+
+
+def _linear(spark, sf_dir, n: int) -> DataFrame:
+    grid = hourly_grid(spark, sf_dir)
+    rows = over_series(grid, lambda w: [F.array(*series.lag_columns(w, n)).alias("features"),
+                                        F.lead("value", 1).over(w).alias("label")], before=n - 1, after=1, keep_block=True)
+    rows = rows.filter(F.col("label").isNotNull() & F.forall("features", lambda v: v.isNotNull()))
+    fit = regression.least_squares(rows, SERIES)
+    return rounded(fit.select(*SERIES, "intercept", *[F.col("coef")[i].alias(f"coef_{i + 1}") for i in range(n)], "n"))
+
+
+def linreg_one_feature(spark, sf_dir):
+    return _linear(spark, sf_dir, 1)
+
+
+def linreg_two_features(spark, sf_dir):
+    return _linear(spark, sf_dir, 2)
+
+
+def linreg_multi(spark, sf_dir):
+    """Linear regression on a day of lags and their statistics, which are combinations of the lags."""
+    rows = supervised.artificial_rows(hourly_grid(spark, sf_dir), "H", [1, 24])
+    coef = regression.least_squares(rows.filter("not is_holdout"), RUN).select(*RUN, "intercept", "coef")
+    held = spread_join(rows.filter("is_holdout"), coef, RUN, spread=("slot",))
+    return rounded(scores.score(held.withColumn("predicted", regression.linear_value()), RUN, actual="label"))
+
+
+def _forecast_scores(forecast: DataFrame) -> DataFrame:
+    return rounded(scores.score(forecast, [*RUN, "model"]))
+
+
+def _timebased(spark, sf_dir, model: str) -> DataFrame:
+    grid = resample.resample(src.daily(spark, sf_dir), "D")
+    rows = backtest.timebased_rows(grid, "D", [False])
+    return _forecast_scores(backtest._timebased_forecast(rows, "D", model))
+
+
+def holt_winters(spark, sf_dir):
+    return _timebased(spark, sf_dir, "ets")
+
+
+def ar_forecast(spark, sf_dir):
+    return _timebased(spark, sf_dir, "arima")
+
+
+def fourier_forecast(spark, sf_dir):
+    return _timebased(spark, sf_dir, "prophet")
+
+
+def _tree(spark, sf_dir, model: str, values: dict) -> DataFrame:
+    rows = supervised.artificial_rows(hourly_grid(spark, sf_dir), "H", [1])
+    out = trees.tree_forecast(rows, model, params=values).withColumn("model", F.lit(model))
+    return rounded(scores.score(out, [*RUN, "model"], actual="label"))
+
+
+def tree(spark, sf_dir):
+    return _tree(spark, sf_dir, "decision_tree", {"max_depth": 5})
+
+
+def forest(spark, sf_dir):
+    return _tree(spark, sf_dir, "random_forest", {"max_depth": 5, "n_estimators": 10})
+
+
+def param_grid_search(spark, sf_dir):
+    """Search of linear regression and kNN (twenty draws) for one horizon, in the results layout."""
+    return rounded(backtest.estimate(hourly_grid(spark, sf_dir), ["knn", "linear_regression"], {"H": [1]}, rates=["H"],
+                                     direct_set=False))
+
+
+def backtest_evaluate(spark, sf_dir):
+    """Back-test of the time-based models and linear regression with given parameters, in the evaluation layout."""
+    grid = hourly_grid(spark, sf_dir, 1)
+    runs = worklist.work_list(grid, horizons={"H": [1]})
+    results = (runs.filter("direct").withColumn("model", F.lit("linear_regression"))
+               .unionByName(runs.filter("not direct").withColumn("model", F.lit("prophet")))
+               .withColumn("params", F.create_map().cast("map<string,string>")))
+    table, _ = backtest.evaluate(grid, results, ["linear_regression", "prophet"], {"H": [1]}, rates=["H"])
+    return rounded(table.drop("fit_time", "prediction_time", "params"))
+
+
+def backtest_predictions(spark, sf_dir):
+    grid = hourly_grid(spark, sf_dir, 1)
+    results = (worklist.work_list(grid, horizons={"H": [1]}).filter("not direct").withColumn("model", F.lit("prophet"))
+               .withColumn("params", F.create_map().cast("map<string,string>")))
+    return rounded(backtest.evaluate(grid, results, ["prophet"], {"H": [1]}, rates=["H"])[1])
+
+
+# --- stored tables and incremental ingest -------------------------------------------------------------------------
+
+def _fresh_dir(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def merge_stored(spark, sf_dir):
+    """Two overlapping parts merged one after the other into a stored table."""
+    path = f"{_fresh_dir(spark)}/measurements"
+    files = src.hourly(spark, sf_dir, files=4)
+    for part in (0, 3):
+        tables.merge_measurements(files.filter(F.col("file_seq") == part).drop("file_seq"), path)
+    return rounded(tables.read_measurements(spark, path))
+
+
+def incremental_ingest(spark, sf_dir):
+    """Events as a stream of files, merged into the stored measurements; the final state is returned."""
+    folder = _fresh_dir(spark)
+    schema = src.read_table(spark, sf_dir, "events").schema
+    incremental.ingest_new_files(spark, f"{sf_dir}/events*.parquet", f"{folder}/measurements", f"{folder}/checkpoint",
+                                 schema=schema, prepare=src.hourly_of)
+    return rounded(tables.read_measurements(spark, f"{folder}/measurements"))
+
+
 def _report(name):
     def run(spark, sf_dir):
         return rounded(reports.REPORTS[name](src.evaluation(spark, sf_dir)))
@@ -345,5 +486,7 @@ QUERIES = {f.__name__: f for f in (
     difference, difference_irregular, dedifference, rotate_left, target_shift, horizon_explode, minmax_scale,
     minmax_rescale, scaled_sequences, other_series_features, feature_gate, todo_anti_join, with_results_semi_join,
     run_setups, run_name_build, run_name_parse, report_name_build, params_roundtrip, score_naive,
-    score_seasonal_naive, norm_scores, baseline_report)}
+    score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, linreg_one_feature,
+    linreg_two_features, linreg_multi, tree, forest, holt_winters, ar_forecast, fourier_forecast, param_grid_search,
+    backtest_evaluate, backtest_predictions, merge_stored, incremental_ingest)}
 QUERIES |= {f"report_q{i}_{name}": _report(name) for i, name in enumerate(reports.REPORTS, start=1)}

@@ -141,6 +141,41 @@ def _sc(v: str) -> str:
     return f"ROUND(({v} - MIN({v}) OVER k) / (MAX({v}) OVER k - MIN({v}) OVER k) * 2 - 1, 6)"
 
 
+_ROWS = f"""{hourly_grid(1)}, lags AS (SELECT *, {_lags(24)}, LEAD(value) OVER w AS label,
+      ROW_NUMBER() OVER w AS rn FROM g WINDOW w AS {W}),
+    feat AS (SELECT {KEY}, label, rn, [{', '.join(f'lag_{i}' for i in range(1, 25))}] AS v FROM lags WHERE rn > 24 AND label IS NOT NULL),
+    rows_ AS (SELECT {KEY}, label, rn, MAX(rn) OVER (PARTITION BY station, rate, pollutant) - rn < 24 AS held,
+      list_concat(v, [list_sum(v), 2 * list_sum(v) / 25, list_median(list_concat(v, [list_sum(v), 2 * list_sum(v) / 25]))]) AS f FROM feat)"""
+
+
+def _pairs(test: str, train: str, extra: str = "") -> str:
+    return f"""pairs AS (SELECT q.station, q.rate, q.pollutant, q.ts, q.label{extra}, t.label AS y, t.rn,
+      list_distance(q.f, t.f) AS d FROM ({test}) q JOIN ({train}) t
+      ON t.station = q.station AND t.rate = q.rate AND t.pollutant = q.pollutant)"""
+
+
+_KNN = f"""{_ROWS}, {_pairs('SELECT * FROM rows_ WHERE held', 'SELECT * FROM rows_ WHERE NOT held')},
+    top AS (SELECT * FROM pairs QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY d, rn) <= 5)"""
+
+_KNN_CV = f"""{hourly_grid(1)}, wide AS (SELECT a.station, a.rate, a.pollutant, a.ts, a.value, list(b.value ORDER BY b.pollutant) AS f FROM g a JOIN g b
+      ON a.station = b.station AND a.rate = b.rate AND a.ts = b.ts AND a.pollutant <> b.pollutant GROUP BY ALL),
+    led AS (SELECT *, LEAD(value) OVER w AS label, ROW_NUMBER() OVER w AS rn FROM wide WINDOW w AS {W}),
+    r AS (SELECT *, ROW_NUMBER() OVER {W} - 1 AS pos, COUNT(*) OVER (PARTITION BY station, rate, pollutant) AS n FROM led
+      WHERE rn > 24 AND label IS NOT NULL),
+    folds AS (SELECT *, n - (n // 4) * (3 - fold) AS start, n // 4 AS size FROM r, (SELECT UNNEST([0, 1, 2]) AS fold)),
+    pairs AS (SELECT q.station, q.rate, q.pollutant, q.fold, q.ts, q.label, t.label AS y, t.rn, list_distance(q.f, t.f) AS d
+      FROM folds q JOIN folds t ON t.station = q.station AND t.rate = q.rate AND t.pollutant = q.pollutant AND t.fold = q.fold
+      WHERE q.pos >= q.start AND q.pos < q.start + q.size AND t.pos < t.start),
+    top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEY}, fold ORDER BY d, rn) AS k FROM pairs QUALIFY k <= 50),
+    run AS (SELECT *, SUM(y) OVER u AS sy, SUM(CASE WHEN d > 0 THEN y / d ELSE 0 END) OVER u AS sw, SUM(CASE WHEN d > 0 THEN 1 / d ELSE 0 END) OVER u AS w,
+      COUNT(*) FILTER (d = 0) OVER u AS hits, SUM(CASE WHEN d = 0 THEN y ELSE 0 END) OVER u AS sh FROM top
+      WINDOW u AS (PARTITION BY {KEY}, fold ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    err AS (SELECT station, rate, pollutant, fold, k, 'uniform' AS weights, AVG((label - sy / k) ** 2) AS mse FROM run GROUP BY ALL
+      UNION ALL SELECT station, rate, pollutant, fold, k, 'distance', AVG((label - CASE WHEN hits > 0 THEN sh / hits ELSE sw / w END) ** 2) FROM run GROUP BY ALL),
+    cv AS (SELECT station, rate, pollutant, k, weights, AVG(-mse) AS score FROM err WHERE k % 2 = 0 GROUP BY ALL)"""
+
+_DESIGN = f"""{G}, rows_ AS (SELECT station, rate, pollutant, value AS a, LAG(value) OVER w AS b, LEAD(value) OVER w AS y FROM g WINDOW w AS {W})"""
+
 ORACLE: dict[str, str] = {
     "bulk_filter": "SELECT p_partkey, p_name FROM part WHERE p_name IS NULL OR lower(p_name) NOT LIKE '%widget%'",
     "column_prune": "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem",
@@ -268,4 +303,18 @@ ORACLE: dict[str, str] = {
       ROUND(norm_mean_absolute_error_mean, 6) AS norm_mean_absolute_error_mean FROM best""",
     "report_q16_best_by_mean_nmae_per_pollutant": f"{MEANS} SELECT {SETUP}, pollutant, model, COUNT(*) AS best_count FROM best GROUP BY ALL",
     "report_q17_best_by_mean_nmae_per_distance": f"{MEANS} SELECT {SETUP}, distance, model, COUNT(*) AS best_count FROM best GROUP BY ALL",
+    "knn_uniform": f"{_KNN} SELECT {KEY}, ROUND(label, 6) AS actual, ROUND(AVG(y), 6) AS predicted FROM top GROUP BY {KEY}, label",
+    "knn_distance": f"""{_KNN} SELECT {KEY}, ROUND(label, 6) AS actual, ROUND(CASE WHEN MIN(d) = 0 THEN AVG(y) FILTER (d = 0)
+      ELSE SUM(y / NULLIF(d, 0)) / SUM(1 / NULLIF(d, 0)) END, 6) AS predicted FROM top GROUP BY {KEY}, label""",
+    "knn_cv_best": f"""{_KNN_CV} SELECT station, rate, pollutant, CAST(k AS INT) AS n_neighbors, weights, ROUND(score, 6) AS score FROM cv
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY station, rate, pollutant ORDER BY score DESC) = 1""",
+    "linreg_one_feature": f"""{_DESIGN} SELECT station, rate, pollutant, ROUND(regr_intercept(y, a), 6) AS intercept, ROUND(regr_slope(y, a), 6) AS coef_1,
+      COUNT(*) AS n FROM rows_ WHERE y IS NOT NULL GROUP BY ALL""",
+    "linreg_two_features": f"""{_DESIGN}, c AS (SELECT station, rate, pollutant, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, VAR_POP(a) AS saa, VAR_POP(b) AS sbb,
+      COVAR_POP(a, b) AS sab, COVAR_POP(a, y) AS say, COVAR_POP(b, y) AS sby, COUNT(*) AS n FROM rows_ WHERE y IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+      k AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS c1, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS c2 FROM c)
+      SELECT station, rate, pollutant, ROUND(my - c1 * ma - c2 * mb, 6) AS intercept, ROUND(c1, 6) AS coef_1, ROUND(c2, 6) AS coef_2, n FROM k""",
+    "merge_stored": f"""WITH m AS ({hourly(2, 4)}), o AS (SELECT * FROM m WHERE file_seq = 0), n AS (SELECT * FROM m WHERE file_seq = 3)
+      SELECT {KEY}, ROUND(COALESCE(n.value, o.value), 6) AS value FROM n FULL JOIN o USING ({KEY})""",
+    "incremental_ingest": f"SELECT {KEY}, {VALUE} FROM ({hourly()})",
 }

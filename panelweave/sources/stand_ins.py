@@ -25,7 +25,10 @@ def hourly(spark: SparkSession, sf_dir: str, stations: int = 2, files: int = 0)
 
     ``files`` splits the events into that many overlapping parts, with the part number in ``file_seq``.
     """
-    events = read_table(spark, sf_dir, "events")
+    return hourly_of(read_table(spark, sf_dir, "events"), stations, files)
+
+
+def hourly_of(events: DataFrame, stations: int = 2, files: int = 0) -> DataFrame:
     station = F.concat(F.lit("ST"), (F.col("user_id") % stations).cast("string"))
     parts = [(F.col("user_id") % files).cast("int").alias("file_seq")] if files else []
     names = ["file_seq"] if files else []
