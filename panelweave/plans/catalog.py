@@ -15,7 +15,7 @@ from panelweave.operators.blocks import over_series, spread_join, with_row_slot
 from panelweave.operators.stats import describe
 from panelweave.plans import backtest, reports
 from panelweave.schemas import RUN, SERIES, STATION
-from panelweave.session import shared_dir
+from panelweave.session import cut_lineage, shared_dir
 from panelweave.sources import stand_ins as src
 from panelweave.sources import tables
 from panelweave.streaming import incremental
@@ -341,7 +341,7 @@ def baseline_report(spark, sf_dir):
 
 def knn_forecast(spark, sf_dir, weights: str) -> DataFrame:
     """Forecast one hour ahead over the last day from the five nearest hours of each series."""
-    rows = supervised.artificial_rows(hourly_grid(spark, sf_dir, 1), "H", [1])
+    rows = supervised.all_rows(hourly_grid(spark, sf_dir, 1), "H", [1], direct_set=False, differenced=[False])
     near = neighbours.nearest_rows(rows.filter("not is_holdout"), rows.filter("is_holdout"), RUN, 5)
     return rounded(near.select(*KEY, F.col("label").alias("actual"), neighbours.neighbour_value(
         "near", F.lit(5), F.lit(weights)).alias("predicted")))
@@ -357,8 +357,8 @@ def knn_distance(spark, sf_dir):
 
 def knn_cv_best(spark, sf_dir):
     """Best of all fifty candidates over three time-ordered folds, from the values of the other series."""
-    grid = hourly_grid(spark, sf_dir, 1)
-    found = search.knn_search(supervised.direct_rows(grid, "H", [1]), draws=None)
+    rows = supervised.direct_rows(cut_lineage(hourly_grid(spark, sf_dir, 1)), "H", [1])
+    found = search.knn_search(cut_lineage(rows), draws=None)
     best = params.typed_params("knn", F.col("params"))
     return rounded(found.select(*SERIES, best["n_neighbors"].alias("n_neighbors"), best["weights"].alias("weights"), "score"))
 
@@ -382,7 +382,7 @@ def linreg_two_features(spark, sf_dir):
 
 def linreg_multi(spark, sf_dir):
     """Linear regression on a day of lags and their statistics, which are combinations of the lags."""
-    rows = supervised.artificial_rows(hourly_grid(spark, sf_dir), "H", [1, 24])
+    rows = supervised.all_rows(hourly_grid(spark, sf_dir), "H", [1, 24], direct_set=False, differenced=[False])
     coef = regression.least_squares(rows.filter("not is_holdout"), RUN).select(*RUN, "intercept", "coef")
     held = spread_join(rows.filter("is_holdout"), coef, RUN, spread=("slot",))
     return rounded(scores.score(held.withColumn("predicted", regression.linear_value()), RUN, actual="label"))

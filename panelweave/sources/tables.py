@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.names import parse_run_name, parse_series_name
-from panelweave.operators.blocks import block_of, slot_of
+from panelweave.operators.blocks import block_of, slot_of, spread_join
 from panelweave.operators.ingest import KEEP_THRESHOLD, density_filter, upsert
 from panelweave.plans.reports import REPORTS
-from panelweave.schemas import MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, STATION, clean_doubles
+from panelweave.schemas import MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, RUN, STATION, clean_doubles
 
 _COLUMNS = [f.name for f in MEASUREMENTS_SCHEMA.fields]
 
@@ -64,19 +64,28 @@ def write_dense(spark: SparkSession, path: str, target: str, threshold: float =
     write_measurements(density_filter(read_measurements(spark, path), threshold), target)
 
 
+def _lines_with_header(spark: SparkSession, path: str, header_word: str) -> DataFrame:
+    """Lines of headed text files as ``file``, ``header`` and ``line`` (both split at commas outside quotes).
+
+    Files stay splittable: the header is recognised by a column name it must contain and joined by file.
+    """
+    outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.transform(F.split(F.rtrim("value"), outside), lambda v: F.trim(v, F.lit('"')))
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(
+        F.col("_metadata.file_path").alias("file"), "value", cells.alias("line"))
+    is_header = F.array_contains("line", header_word)
+    headers = lines.filter(is_header).select("file", F.col("line").alias("header"))
+    return spread_join(lines.filter(~is_header), headers, ["file"], spread=("value",)).select("file", "header", "line")
+
+
 def read_station_files(spark: SparkSession, path: str) -> DataFrame:
     """Converted station files (CSV, one column per pollutant, named ``<station>-<day|hour>.csv``) as measurements.
 
-    Column sets differ per file, so every file's header decides its own columns: lines are split against the header
-    line of the same file.
+    Column sets differ per file, so each file's own header decides.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        parse_series_name(F.col("_metadata.file_path")).alias("k"), F.split("value", r"\r?\n").alias("l"))
-    header = F.split(F.element_at("l", 1), ",")
-    rows = lines.select("k.station", "k.rate", header.alias("h"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("row"))
-    cells = rows.filter("row <> ''").select("station", "rate", F.split("row", ",").alias("c"), "h")
-    long = cells.select("station", "rate", F.try_to_timestamp(F.col("c")[0]).alias("ts"),
-                        F.explode(F.slice(F.arrays_zip(F.col("h").alias("p"), F.col("c").alias("v")), F.lit(2), F.size("h"))).alias("x"))
+    rows = _lines_with_header(spark, path, "AveragingTime").withColumn("k", parse_series_name(F.col("file")))
+    cell = F.explode(F.slice(F.arrays_zip(F.col("header").alias("p"), F.col("line").alias("v")), F.lit(2), F.size("header")))
+    long = rows.select("k.station", "k.rate", F.try_to_timestamp(F.col("line")[0]).alias("ts"), cell.alias("x"))
     return (long.filter(~F.col("x.p").isin("AirQualityStationEoICode", "AveragingTime"))
             .select("station", "rate", "ts", F.col("x.p").alias("pollutant"), F.col("x.v").try_cast("double").alias("value"))
             .filter(F.col("value").isNotNull() & ~F.isnan("value")))
@@ -97,21 +106,15 @@ def read_result_files(spark: SparkSession, path: str) -> DataFrame:
 
     A time-based run always includes the model without parameters, so its row is added.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        parse_run_name(F.col("_metadata.file_path")).alias("k"), F.split("value", r"\r?\n").alias("l"))
-    # Fields may hold quoted tuples: split at commas outside quotes only.
-    outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    rows = lines.select("k", F.split(F.element_at("l", 1), ",").alias("h"),
-                        F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("row")).filter("row <> ''")
-    cells = rows.select("k", F.map_from_arrays("h", F.transform(F.split("row", outside), lambda v: F.trim(F.lit('"'), v))).alias("m"))
+    rows = _lines_with_header(spark, path, "score").withColumn("k", parse_run_name(F.col("file")))
+    cells = rows.select("k", F.map_from_arrays("header", "line").alias("m"))
     known = F.map_filter("m", lambda k, v: ~k.isin("", "index", "score", "model") & (v != ""))
     found = cells.select("k.*", F.col("m")["model"].alias("model"), known.alias("params"),
-                         F.try_element_at("m", F.lit("score")).try_cast("double").alias("score"))
-    plain = (lines.select("k.*").filter(~F.col("direct")).distinct()
+                         F.try_element_at("m", F.lit("score")).try_cast("double").alias("score")).filter("model <> 'prophet'")
+    plain = (found.filter(~F.col("direct")).select(*RUN).distinct()
              .select("*", F.lit("prophet").alias("model"), F.create_map().cast("map<string,string>").alias("params"),
                      F.lit(None).cast("double").alias("score")))
-    missing = plain.join(found, [c for c in found.columns if c not in ("params", "score")], "left_anti")
-    return found.unionByName(missing)
+    return found.unionByName(plain)
 
 
 def write_evaluation(df: DataFrame, path: str) -> None:
