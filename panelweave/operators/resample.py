@@ -9,10 +9,13 @@ from panelweave.operators.blocks import (BLOCK_SLOTS, block_of, slot_of, spread_
 from panelweave.schemas import SERIES, STATION
 
 
+def _on_hour():
+    return F.pmod(F.unix_micros("ts"), F.lit(3_600_000_000)) == 0
+
+
 def hourly_points(measurements: DataFrame) -> DataFrame:
     """Values that lie exactly on the hourly grid; rows off the grid drop out."""
-    on_grid = F.pmod(F.unix_micros("ts"), F.lit(3_600_000_000)) == 0
-    return (measurements.filter((F.col("rate") == "H") & on_grid & F.col("value").isNotNull())
+    return (measurements.filter((F.col("rate") == "H") & _on_hour() & F.col("value").isNotNull())
             .select(*SERIES, slot_of(F.col("ts")).alias("slot"), "value"))
 
 
@@ -38,40 +41,38 @@ def daily_points(measurements: DataFrame) -> DataFrame:
             .select(*SERIES, "slot", "value"))
 
 
-def grid_points(measurements: DataFrame, rate: str | None = None) -> DataFrame:
-    """Known cells of the grid, ``(series, slot, value)``; each rate reads only its own partitions."""
+def _block_heads(measurements: DataFrame, points: DataFrame, rate: str, block_slots: int) -> DataFrame:
+    """Per series and block the time range of its rows and its first known cell, ``(_lo, _hi, block, _head)``."""
     if rate == "H":
-        return hourly_points(measurements)
-    if rate == "D":
-        return daily_points(measurements)
-    return hourly_points(measurements).unionByName(daily_points(measurements))
-
-
-def _station_ranges(measurements: DataFrame) -> DataFrame:
-    """Per series the grid range of its station, over all rows of all its pollutants."""
+        slot = slot_of(F.col("ts"), F.lit("H"))
+        cell = F.when(_on_hour() & F.col("value").isNotNull(), slot)
+        return (measurements.groupBy(*SERIES, block_of(slot, block_slots).alias("block"))
+                .agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"), F.min(cell).alias("_at"),
+                     F.min_by("value", cell).alias("_v"))
+                .select(*SERIES, "block", "_lo", "_hi",
+                        F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("slot"), F.col("_v").alias("value"))).alias("_head")))
     seen = measurements.groupBy(*SERIES).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    station = Window.partitionBy(*STATION)  # as many rows as the station has pollutants
-    return seen.select(*SERIES, slot_of(F.min("_lo").over(station)).alias("grid_first"),
-                       slot_of(F.max("_hi").over(station)).alias("grid_last"))
+    heads = (points.groupBy(*SERIES, "block").agg(F.min("slot").alias("_at"), F.min_by("value", "slot").alias("_v"))
+             .select(*SERIES, "block", F.struct(F.col("_at").alias("slot"), F.col("_v").alias("value")).alias("_head")))
+    return seen.join(heads, SERIES, "left")
 
 
-def _block_facts(measurements: DataFrame, points: DataFrame) -> DataFrame:
+def _block_facts(heads: DataFrame) -> DataFrame:
     """Per series and block with known cells: range facts of the station and the first cell of the next block.
 
     ``start_slot`` is where all pollutants of the station have begun. It is NULL when one of them has no cell at
     all; dropping incomplete rows then leaves nothing of the station.
     """
-    heads = (points.groupBy(*SERIES, "block").agg(F.min("slot").alias("_at"), F.min_by("value", "slot").alias("_v"))
-             .select(*SERIES, "block", F.struct(F.col("_at").alias("slot"), F.col("_v").alias("value")).alias("_head")))
-    series, station = Window.partitionBy(*SERIES), Window.partitionBy(*STATION)
-    ordered = series.orderBy("block")
     # All windows run over block summaries: pollutants times blocks of one station.
-    joined = (_station_ranges(measurements).join(heads, SERIES, "left")
-              .withColumn("first_slot", F.min("_head.slot").over(series))
-              .withColumn("_later", F.lead("_head").over(ordered))
+    series, station = Window.partitionBy(*SERIES), Window.partitionBy(*STATION)
+    later = series.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    joined = (heads.withColumn("first_slot", F.min("_head.slot").over(series))
+              .withColumn("_later", F.first("_head", ignorenulls=True).over(later))
+              .withColumn("grid_first", slot_of(F.min("_lo").over(station)))
+              .withColumn("grid_last", slot_of(F.max("_hi").over(station)))
               .withColumn("start_slot", F.when(F.count("first_slot").over(station) == F.count(F.lit(1)).over(station),
                                                F.max("first_slot").over(station))))
-    return joined.filter(F.col("block").isNotNull()).select(
+    return joined.filter(F.col("_head").isNotNull()).select(
         *SERIES, "block", F.struct("grid_first", "grid_last", "start_slot", "first_slot").alias("_facts"), "_later")
 
 
@@ -88,10 +89,13 @@ def resample(measurements: DataFrame, rate: str | None = None, align: bool = Tru
     extra rows per block carry what lies outside it, the first cell of the next block and the range facts; the
     known cells are exchanged once.
     """
-    if rate is not None:
-        measurements = measurements.filter(F.col("rate") == rate)
-    points = grid_points(measurements, rate).withColumn("block", block_of(F.col("slot"), block_slots))
-    facts = _block_facts(measurements, points)
+    if rate is None:  # each rate reads only its own partitions
+        return resample(measurements, "H", align, interpolate, block_slots).unionByName(
+            resample(measurements, "D", align, interpolate, block_slots))
+    measurements = measurements.filter(F.col("rate") == rate)
+    points = (hourly_points if rate == "H" else daily_points)(measurements).withColumn(
+        "block", block_of(F.col("slot"), block_slots))
+    facts = _block_facts(_block_heads(measurements, points, rate, block_slots))
     extra = facts.select(*SERIES, "block", F.inline(F.array(
         F.struct(F.lit(None).cast("long").alias("slot"), F.lit(None).cast("double").alias("value"), "_facts"),
         F.struct(F.col("_later.slot").alias("slot"), F.col("_later.value").alias("value"),

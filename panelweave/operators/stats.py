@@ -37,11 +37,13 @@ def describe(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Dat
     wide_enough = F.col("n") > ACCURACY
     facts = plain.withColumn("_lo", F.when(wide_enough, F.col("_near")[0]).otherwise(F.col("min"))).withColumn(
         "_hi", F.when(wide_enough, F.col("_near")[1]).otherwise(F.col("max")))
-    # NULL stands for "below the bracket" and sorts first; equal values collapse before the exchange.
-    counted = (spread_join(long, facts.select(*group, "n", "_lo", "_hi"), group, spread=("v",))
+    # Equal values collapse before any exchange, so a value that fills a group is one row from here on.
+    distinct = long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
+    # NULL stands for "below the bracket" and sorts first.
+    counted = (spread_join(distinct, facts.select(*group, "n", "_lo", "_hi"), group, spread=("v",))
                .filter(F.col("v") <= F.col("_hi"))
-               .select(*group, "n", F.when(F.col("v") >= F.col("_lo"), F.col("v")).alias("v"))
-               .groupBy(*group, "n", "v").agg(F.count(F.lit(1)).alias("c")))
+               .select(*group, "n", F.when(F.col("v") >= F.col("_lo"), F.col("v")).alias("v"), "c")
+               .groupBy(*group, "n", "v").agg(F.sum("c").alias("c")))
     w = Window.partitionBy(*group).orderBy(F.col("v").asc_nulls_first())
     ranked = counted.withColumn("_upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     lower_rank, upper_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1

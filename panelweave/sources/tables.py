@@ -14,6 +14,8 @@ from panelweave.plans.reports import REPORTS
 from panelweave.schemas import MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, RUN, STATION, clean_doubles
 
 _COLUMNS = [f.name for f in MEASUREMENTS_SCHEMA.fields]
+#: Up to this many touched stations are named in the partition filter of a merge; with more, the join alone decides.
+_PRUNE_LIMIT = 1000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -53,7 +55,11 @@ def merge_measurements(new: DataFrame, path: str) -> None:
         write_measurements(new, path)
         return
     touched = new.select(*STATION).distinct()
-    old = read_measurements(spark, path).join(touched, STATION, "left_semi")
+    old = read_measurements(spark, path)
+    few = touched.limit(_PRUNE_LIMIT + 1).collect()
+    if len(few) <= _PRUNE_LIMIT:  # name the stations, so that only their folders are listed and read
+        old = old.filter(F.col("station").isin(sorted({r.station for r in few})))
+    old = old.join(touched, STATION, "left_semi")
     staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
     _spread(upsert(new.select(*_COLUMNS), old)).write.partitionBy(*STATION).parquet(staged)
     write_measurements(read_measurements(spark, staged), path)
@@ -137,11 +143,11 @@ def read_evaluation_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports(evaluation: DataFrame, path: str, fmt: str = "csv", names: list[str] | None = None) -> list[str]:
-    """Write each report to ``<path>/<name>``; reports are small, one file each. Returns the paths."""
+    """Write each report to ``<path>/<name>``, in its order over the part files. Returns the paths."""
     out = []
     for name in names or list(REPORTS):
         target = f"{path.rstrip('/')}/{name}"
-        writer = REPORTS[name](evaluation).coalesce(1).write.mode("overwrite")
+        writer = REPORTS[name](evaluation).write.mode("overwrite")
         (writer.option("header", True).csv if fmt == "csv" else getattr(writer, fmt))(target)
         out.append(target)
     return out
