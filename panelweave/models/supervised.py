@@ -50,12 +50,13 @@ def artificial_frame(grid: DataFrame, rate: str, horizons: Sequence[int] | None
         return [(F.col("value") - F.lag("value", 1).over(w) if differenced else F.col("value")).alias("_v")]
 
     def columns(w):
-        return [F.array(*lag_columns(w, season, "_v")).alias("_lags"), _targets(w, horizons, season, "_v"),
+        return [*lag_columns(w, season, "_v"), _targets(w, horizons, season, "_v"),
                 F.lag("slot", first).over(w).isNotNull().alias("_keep")]
 
     out = over_series(grid.filter(F.col("rate") == rate), columns, before=first, after=max(horizons) + season,
                       block_slots=block_slots, prepare=prepare, keep_block=True).filter("_keep")
-    features = F.concat("_lags", F.array(*row_statistics(F.col("_lags"), stat_mode)))
+    lags = [F.col(f"lag_{i}") for i in range(1, season + 1)]
+    features = F.array(*lags, *row_statistics(lags, stat_mode))
     return _frame(out.withColumn("features", features), differenced, True)
 
 
