@@ -6,8 +6,10 @@ rows, and forecasts are scaled back. The number of fits depends on the setups, n
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
@@ -36,8 +38,8 @@ def _estimator(model: str, params: dict, seed: int):
 
 def _scaled_rows(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both parts with ``x`` (vector), ``y`` and the label range, scaled by the training rows of each run."""
-    width = train.select(F.size("features").alias("w")).first()
-    width = width["w"] if width else 0
+    first = train.select(F.size("features").alias("w")).first()
+    width = first["w"] if first else 0
     lows = F.array(*[F.min(F.col("features")[i]) for i in range(width)])
     highs = F.array(*[F.max(F.col("features")[i]) for i in range(width)])
     facts = train.groupBy(*keys).agg(lows.alias("_lo"), highs.alias("_hi"), F.min("label").alias("y_lo"),
@@ -65,65 +67,81 @@ def _of_pool(rows: DataFrame, pool: dict) -> DataFrame:
     return rows.filter(F.size("features") == pool["width"])
 
 
-def fit_predict(train: DataFrame, test: DataFrame, model: str, params: dict, keys: Sequence[str] = RUN,
-                seed: int = 0) -> DataFrame:
-    """``test`` rows with ``predicted`` and the wall time of the pooled fit."""
-    train, test = _scaled_rows(train, test, list(keys))
-    start = time.perf_counter()
-    fitted = _estimator(model, params, seed).setFeaturesCol("x").setLabelCol("y").setPredictionCol("_p").fit(train)
-    fit_time = time.perf_counter() - start
-    return (fitted.transform(test)
-            .withColumn("predicted", rescaled(F.col("_p"), F.col("y_lo"), F.col("y_hi"), (0.0, 1.0)))
-            .withColumn("fit_time", F.lit(fit_time)).drop("x", "y", "y_lo", "y_hi", "_p"))
+def _fit_all(train: DataFrame, test: DataFrame, model: str, tried: Sequence[dict], keys: Sequence[str],
+             seed: int) -> tuple[DataFrame, list[float]]:
+    """``test`` rows with one forecast column ``p0, p1, …`` per parameter set, and the wall time of each fit.
+
+    All fitted models are applied in one pass over the test rows.
+    """
+    train, test = _scaled_rows(train, test, keys)
+    train = train.persist()
+    times = []
+    for i, params in enumerate(tried):
+        start = time.perf_counter()
+        estimator = _estimator(model, params, seed).setFeaturesCol("x").setLabelCol("y").setPredictionCol(f"p{i}")
+        test = estimator.fit(train).transform(test)
+        times.append(time.perf_counter() - start)
+    train.unpersist()
+    restored = {f"p{i}": rescaled(F.col(f"p{i}"), F.col("y_lo"), F.col("y_hi"), (0.0, 1.0)) for i in range(len(tried))}
+    return test.withColumns(restored).drop("x", "y", "y_lo", "y_hi"), times
+
+
+def _stack(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def tree_search(rows: DataFrame, model: str, tried: Sequence[dict] | None = None, folds: int = FOLDS, seed: int = 0,
                 keys: Sequence[str] = RUN) -> DataFrame:
     """Best parameters per run by the mean negative squared error over time-ordered folds.
 
-    Candidates are fitted once per pool and fold and scored for every run at once.
+    Candidates are fitted once per pool and fold and scored for every run of the pool at once. The scores of a pool,
+    one row per run, fold and candidate, are stored before the next pool, so the plan does not grow with the search.
     """
     keys = list(keys)
     if tried is None:
         tried = candidates(model, DRAWS, seed) if model == "random_forest" else candidates(model)
     split = cut_lineage(time_series_split(rows, folds, keys))
-    scored = None
+    parts = []
     for pool in pools(split):
-        part = _of_pool(split, pool)
+        part, scored = _of_pool(split, pool), []
         for fold in range(folds):
-            train, test = part.filter((F.col("fold") == fold) & F.col("in_train")), part.filter(
-                (F.col("fold") == fold) & F.col("in_test"))
-            for params in tried:
-                error = F.col("label") - F.col("predicted")
-                one = (fit_predict(train, test, model, params, keys, seed).groupBy(*keys)
-                       .agg((-F.avg(error * error)).alias("score"))
-                       .withColumn("params", params_literal(params)).withColumn("fold", F.lit(fold)))
-                scored = one if scored is None else scored.unionByName(one)
-    return best_params(scored, keys)
+            of_fold = part.filter(F.col("fold") == fold)
+            test, _ = _fit_all(of_fold.filter("in_train"), of_fold.filter("in_test"), model, tried, keys, seed)
+            means = test.groupBy(*keys).agg(*[(-F.avg((F.col("label") - F.col(f"p{i}")) ** 2)).alias(f"c{i}") for i in range(len(tried))])
+            scored.append(means.select(*keys, F.lit(fold).alias("fold"), F.inline(F.array(*[
+                F.struct(params_literal(p).alias("params"), F.col(f"c{i}").alias("score")) for i, p in enumerate(tried)]))))
+        parts.append(cut_lineage(_stack(scored, None)))
+    nothing = split.limit(0).select(*keys, F.lit(0).alias("fold"), params_literal({}).alias("params"), F.lit(0.0).alias("score"))
+    return best_params(_stack(parts, nothing), keys)
 
 
 def tree_forecast(rows: DataFrame, model: str, results: DataFrame | None = None, params: dict | None = None,
                   keys: Sequence[str] = RUN, seed: int = 0) -> DataFrame:
-    """Forecast of the holdout rows. With ``results`` each run uses its own best parameters: one fit per pool and
-    distinct parameter set, trained on the whole pool and applied to the runs that chose it."""
+    """Holdout rows with ``predicted``, ``params`` and ``fit_time``.
+
+    With ``results`` each run uses its own best parameters: one fit per pool and distinct parameter set, trained on
+    the whole pool and applied to the runs that chose it.
+    """
     keys = list(keys)
     rows = cut_lineage(rows)
-    out = None
+    if results is None:
+        rows = rows.withColumn("_p", F.lit(json.dumps(params or {})))
+    else:
+        chosen = results.filter(F.col("model") == model).select(*keys, F.to_json("params").alias("_p"))
+        rows = spread_join(rows, chosen, keys, spread=("slot",))
+    parts = []
     for pool in pools(rows):
         part = _of_pool(rows, pool)
-        train, test = part.filter(~F.col("is_holdout")), part.filter("is_holdout")
-        if results is None:
-            chosen = [(test, params or {})]
-        else:
-            picked = test.join(results.filter(F.col("model") == model).select(*keys, F.to_json("params").alias("_p")), keys)
-            sets = [r["_p"] for r in picked.select("_p").distinct().collect()]  # at most the candidates of the search
-            chosen = [(picked.filter(F.col("_p") == p).drop("_p"), _parse(p)) for p in sorted(sets)]
-        for part_test, values in chosen:
-            one = fit_predict(train, part_test, model, values, keys, seed).withColumn("params", params_literal(values))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _parse(text: str) -> dict:
-    import json
-    return json.loads(text)
+        # At most as many sets as the search has candidates.
+        sets = sorted(r["_p"] for r in part.select("_p").distinct().collect())
+        test, times = _fit_all(part.filter(~F.col("is_holdout")), part.filter("is_holdout"), model,
+                               [json.loads(p) for p in sets], keys, seed)
+        pick = F.lit(None)
+        for i, p in enumerate(sets):
+            pick = F.when(F.col("_p") == p, F.struct(F.col(f"p{i}").alias("v"), F.lit(times[i]).alias("t"))).otherwise(pick)
+        parts.append(cut_lineage(test.withColumn("_c", pick).select(
+            *keys, "ts", "slot", "label", F.col("_c.v").alias("predicted"), F.col("_c.t").alias("fit_time"),
+            F.from_json("_p", "map<string,string>").alias("params"))))
+    nothing = rows.limit(0).select(*keys, "ts", "slot", "label", F.lit(0.0).alias("predicted"), F.lit(0.0).alias("fit_time"),
+                                   params_literal({}).alias("params"))
+    return _stack(parts, nothing)

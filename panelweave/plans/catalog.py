@@ -463,6 +463,23 @@ def merge_stored(spark, sf_dir):
     return rounded(tables.read_measurements(spark, path))
 
 
+def stored_evaluation(spark, sf_dir):
+    """The evaluation table written by station and rate, and read back."""
+    path = f"{_fresh_dir(spark)}/evaluation"
+    tables.write_evaluation(src.evaluation(spark, sf_dir), path)
+    return rounded(tables.read_evaluation(spark, path))
+
+
+def stored_results(spark, sf_dir):
+    """Runs and parameters written as search results, and the typed parameters of the runs read back."""
+    path = f"{_fresh_dir(spark)}/results"
+    ev = src.evaluation(spark, sf_dir)
+    tables.write_results(ev.select(*RUN, "model", params.params_map(n_neighbors=F.floor("fit_time").cast("double")).alias("params"),
+                                   F.col("mean_squared_error").alias("score")), path)
+    stored = tables.read_results(spark, path)
+    return rounded(stored.select(*RUN, "model", params.typed_params("knn", F.col("params"))["n_neighbors"].alias("n_neighbors"), "score"))
+
+
 def incremental_ingest(spark, sf_dir):
     """Events as a stream of files, merged into the stored measurements; the final state is returned."""
     folder = _fresh_dir(spark)
@@ -488,5 +505,5 @@ QUERIES = {f.__name__: f for f in (
     run_setups, run_name_build, run_name_parse, report_name_build, params_roundtrip, score_naive,
     score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, linreg_one_feature,
     linreg_two_features, linreg_multi, tree, forest, holt_winters, ar_forecast, fourier_forecast, param_grid_search,
-    backtest_evaluate, backtest_predictions, merge_stored, incremental_ingest)}
+    backtest_evaluate, backtest_predictions, merge_stored, stored_evaluation, stored_results, incremental_ingest)}
 QUERIES |= {f"report_q{i}_{name}": _report(name) for i, name in enumerate(reports.REPORTS, start=1)}

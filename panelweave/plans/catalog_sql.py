@@ -316,5 +316,10 @@ ORACLE: dict[str, str] = {
       SELECT station, rate, pollutant, ROUND(my - c1 * ma - c2 * mb, 6) AS intercept, ROUND(c1, 6) AS coef_1, ROUND(c2, 6) AS coef_2, n FROM k""",
     "merge_stored": f"""WITH m AS ({hourly(2, 4)}), o AS (SELECT * FROM m WHERE file_seq = 0), n AS (SELECT * FROM m WHERE file_seq = 3)
       SELECT {KEY}, ROUND(COALESCE(n.value, o.value), 6) AS value FROM n FULL JOIN o USING ({KEY})""",
+    "stored_evaluation": f"""{EV} SELECT station, rate, pollutant, distance, differenced, direct, artificial, model, """ + ", ".join(
+        f"ROUND({c}, 6) AS {c}" for c in [*TIMES, "mean_squared_error", "norm_mean_squared_error", "norm_mean_absolute_error",
+                                         "norm_median_absolute_error"]) + " FROM ev",
+    "stored_results": f"""{EV} SELECT station, rate, pollutant, distance, differenced, direct, artificial, model,
+      CAST(floor(fit_time) AS INT) AS n_neighbors, ROUND(mean_squared_error, 6) AS score FROM ev""",
     "incremental_ingest": f"SELECT {KEY}, {VALUE} FROM ({hourly()})",
 }

@@ -175,12 +175,18 @@ def test_trees_learn(grid):
         assert row.n == 3 * SEASON["H"] and row.mse < row["var"]
 
 
+def test_trees_without_rows(grid):
+    rows = supervised.artificial_rows(grid, "D", [1])
+    assert trees.tree_search(rows, "decision_tree").count() == 0
+    assert trees.tree_forecast(rows, "random_forest").count() == 0
+
+
 def test_search_and_evaluation_end_to_end(spark, grid):
     models = ["knn", "decision_tree", "ets", "prophet"]
     horizons = {"H": [1], "D": [1]}
     one = grid.filter("pollutant = 'a'")
     results = backtest.estimate(one, models, horizons, rates=["H"], direct_set=False,
-                                tree_candidates={"decision_tree": [{"max_depth": 3}]}).cache()
+                                tree_candidates={"decision_tree": [{"max_depth": 2}, {"max_depth": 3}]}).cache()
     assert results.count() == 2 * len(models)
     table, predictions = backtest.evaluate(one, results, models, horizons, rates=["H"], direct_set=False)
     assert table.columns == EVAL_COLUMNS and table.count() == 2 * len(models)
