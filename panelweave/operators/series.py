@@ -150,25 +150,33 @@ def head(df: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
     return with_position(df).filter(F.col("pos") < rows).select(*df.columns)
 
 
-def skip(df: DataFrame, rows: int) -> DataFrame:
+def skip(df: DataFrame, rows: int, block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """All but the first ``rows`` rows of every series."""
-    return with_position(df).filter(F.col("pos") >= rows).select(*df.columns)
+    return (over_series(df, lambda w: [F.lag("slot", rows).over(w).isNotNull().alias("_keep")], before=rows,
+                        block_slots=block_slots).filter("_keep").drop("_keep"))
 
 
-def tail(df: DataFrame, rows: int) -> DataFrame:
-    """Last ``rows`` rows of every series."""
-    return with_position(df).filter(F.col("rev") < rows).select(*df.columns)
+def holdout_flag(w, size: int | None = None) -> Column:
+    """Whether a row is among the last ``size`` rows of its series, by default its last season.
+
+    Read off a lead: no row has to be counted.
+    """
+    if size is not None:
+        return F.lead("slot", size).over(w).isNull()
+    return (F.when(F.col("rate") == "H", F.lead("slot", SEASON["H"]).over(w).isNull())
+            .otherwise(F.lead("slot", SEASON["D"]).over(w).isNull()))
 
 
-def validation_size() -> Column:
-    """Rows held out per series: one season."""
-    return F.when(F.col("rate") == "H", F.lit(SEASON["H"])).otherwise(F.lit(SEASON["D"]))
+def tail(df: DataFrame, rows: int, block_slots: int = BLOCK_SLOTS) -> DataFrame:
+    """Last ``rows`` rows of every series."""
+    return holdout_split(df, rows, block_slots=block_slots).filter("is_holdout").drop("is_holdout")
 
 
-def holdout_split(df: DataFrame, size: Column | int | None = None, keys: Sequence[str] = SERIES) -> DataFrame:
+def holdout_split(df: DataFrame, size: int | None = None, keys: Sequence[str] = SERIES,
+                  block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """Flag the last season (or ``size`` rows) of every series as ``is_holdout``."""
-    size = validation_size() if size is None else F.lit(size) if isinstance(size, int) else size
-    return with_position(df, keys).withColumn("is_holdout", F.col("rev") < size).select(*df.columns, "is_holdout")
+    return over_series(df, lambda w: [holdout_flag(w, size).alias("is_holdout")], after=size or max(SEASON.values()),
+                       keys=keys, block_slots=block_slots)
 
 
 def time_series_split(df: DataFrame, folds: int = 3, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -309,8 +309,9 @@ def params_roundtrip(spark, sf_dir):
 
 def naive_forecast(grid: DataFrame, horizon: int) -> DataFrame:
     """Persistence: the value ``horizon`` rows earlier, for the rows of the last season."""
-    shifted = over_series(grid, lambda w: [F.lag("value", horizon).over(w).alias("predicted")], before=horizon)
-    return series.holdout_split(shifted).withColumnRenamed("value", "actual")
+    shifted = over_series(grid, lambda w: [F.lag("value", horizon).over(w).alias("predicted"),
+                                           series.holdout_flag(w).alias("is_holdout")], before=horizon, after=24)
+    return shifted.withColumnRenamed("value", "actual")
 
 
 def score_baseline(grid: DataFrame, horizon: int) -> DataFrame:
@@ -334,7 +335,8 @@ def norm_scores(spark, sf_dir):
 
 def baseline_report(spark, sf_dir):
     """End to end: grid, seasonal-naive forecast, scores, statistics per rate."""
-    return rounded(describe(score_baseline(hourly_grid(spark, sf_dir), 24), ["rate"], ["norm_mean_absolute_error"]))
+    scored = cut_lineage(score_baseline(hourly_grid(spark, sf_dir), 24))  # the evaluation table of a pipeline
+    return rounded(describe(scored, ["rate"], ["norm_mean_absolute_error"]))
 
 
 # --- models ---------------------------------------------------------------------------------------------------

@@ -57,11 +57,14 @@ def test_difference_round_trip(panel, block):
     assert values(series.difference(df, 3, block)) == [data[i][1] - data[i - 3][1] for i in range(3, 60)]
 
 
-def test_row_ranges(short):
+@BLOCKS
+def test_row_ranges(short, block):
     assert values(series.head(short, 3)) == [1, 2, 4]
-    assert values(series.skip(short, 1)) == [2, 4, 8]
-    assert values(series.tail(short, 2)) == [4, 8]
-    assert values(series.holdout_split(short, 1), column="is_holdout") == [False, False, False, True]
+    assert values(series.skip(short, 1, block)) == [2, 4, 8]
+    assert values(series.tail(short, 2, block)) == [4, 8]
+    assert values(series.tail(short, 3, block)) == [2, 4, 8]
+    assert values(series.holdout_split(short, 1, block_slots=block), column="is_holdout") == [False, False, False, True]
+    assert all(values(series.holdout_split(short, block_slots=block), column="is_holdout"))
 
 
 def test_row_numbers_of_irregular_rows(daily):
