@@ -36,14 +36,32 @@ def sql_rows(con, sql: str) -> tuple[list[str], Counter]:
     return [names[i] for i in order], Counter(tuple(_cell(r[i]) for i in order) for r in cur.fetchall())
 
 
-def difference(df, con, sql: str) -> str | None:
-    """None when both agree, otherwise a short description."""
+def _close(a, b, tolerance: float) -> bool:
+    if isinstance(a, float) and isinstance(b, float):
+        return abs(a - b) <= tolerance
+    return a == b
+
+
+def _matches(mine: Counter, other: Counter, tolerance: float) -> bool:
+    """Row by row, paired by everything but the doubles (then by the doubles in order)."""
+    def ordered(rows):
+        return sorted(rows.elements(), key=lambda r: ([str(v) for v in r if not isinstance(v, float)],
+                                                      [v for v in r if isinstance(v, float)]))
+    a, b = ordered(mine), ordered(other)
+    return len(a) == len(b) and all(_close(x, y, tolerance) for r, s in zip(a, b) for x, y in zip(r, s))
+
+
+def difference(df, con, sql: str, tolerance: float = 0.0, may_be_empty: bool = False) -> str | None:
+    """None when both agree, otherwise a short description.
+
+    Both sides round, by different methods at exact ties; ``tolerance`` allows for one unit of the last digit.
+    """
     names, mine = spark_rows(df)
     other_names, other = sql_rows(con, sql)
     if names != other_names:
         return f"columns {names} != {other_names}"
-    if mine == other:
-        return None if mine else "no rows"
+    if mine == other or (tolerance and _matches(mine, other, tolerance)):
+        return None if mine or may_be_empty else "no rows"
     extra, missing = mine - other, other - mine
     return (f"{sum(mine.values())} vs {sum(other.values())} rows; {sum(extra.values())} differ; "
             f"e.g. {sorted(extra, key=str)[:2]} vs {sorted(missing, key=str)[:2]}")
