@@ -1,7 +1,6 @@
 import statistics
 
 import pytest
-from conftest import t
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
