@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, token_count, toxicity
+from panelweave.llm import exact_dedup, near_dedup, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -35,10 +35,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_toxicity": op5_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE: dict[str, str] = {
