@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, near_dedup, packing, token_count, toxicity
+from panelweave.llm import exact_dedup, language_id, near_dedup, packing, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -20,6 +20,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, mark = documents(spark, sf_dir), held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~mark), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return language_id.identify(docs, model).select("doc_id", mark.alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -44,6 +50,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_token_counts": op2_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
