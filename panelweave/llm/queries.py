@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, language_id, near_dedup, packing, token_count, toxicity
+from panelweave.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -30,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, labels(spark, sf_dir).filter(~held_out(F.col("doc_id"))))
@@ -52,6 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_token_counts": op2_token_counts,
+    "op3_repeated_passages": op3_repeated_passages,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op9_exact_dedup": op9_exact_dedup,
