@@ -68,6 +68,17 @@ class PieceIds:
         return [b"".join(map(table.__getitem__, pieces)) for pieces in lists]
 
 
+_encoders: dict[str, PieceIds] = {}
+
+
+def encoder_for(definition: str) -> PieceIds:
+    """The encoder of this process: tasks that follow each other share the tokenizer and what it remembers."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = PieceIds(definition)
+    return _encoders[definition]
+
+
 def prepared(text: str) -> str:
     """Lower-cased where that is the same letter by letter, so that fewer pieces differ; else as it is."""
     try:
@@ -87,10 +98,10 @@ def document_pieces(text: Column, definition: str, capacity: int, end_id: int, w
 
     @F.arrow_udf(T.ArrayType(kind))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = PieceIds(definition)
+        encoder = encoder_for(definition)
         for batch in batches:
             bounds, length, crc, ids = [0], [], [], []
-            for part in slices(batch):
+            for part in slices(batch, SEGMENT):
                 for encoded in encoder.encode_all(part.to_pylist()):
                     encoded += end
                     for at in range(0, len(encoded), 4 * capacity):

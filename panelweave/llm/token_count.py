@@ -24,7 +24,7 @@ PIECE = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+")
 #: Characters of a long text that are worked on at a time, and characters per call of the tokenizer.
 SEGMENT, BATCH = 1 << 20, 1 << 16
 #: Pieces a task remembers before it starts afresh, and the length up to which it does.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 250_000, 64
 
 
 def balanced(pieces: list[str], limit: int = BATCH) -> Iterator[list[str]]:
@@ -91,6 +91,17 @@ class PieceCounter:
         return totals
 
 
+_counters: dict[str, PieceCounter] = {}
+
+
+def counter_for(definition: str) -> PieceCounter:
+    """The counter of this process: tasks that follow each other share the tokenizer and what it remembers."""
+    if definition not in _counters:
+        _counters.clear()
+        _counters[definition] = PieceCounter(definition)
+    return _counters[definition]
+
+
 def token_count(text: Column, definition: str) -> Column:
     """Number of tokens of a text column under a tokenizer definition (the JSON of the ``tokenizers`` library).
 
@@ -99,9 +110,9 @@ def token_count(text: Column, definition: str) -> Column:
     """
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = PieceCounter(definition)
+        counter = counter_for(definition)
         for batch in batches:
-            parts = [pa.array(counter.count(part.to_pylist()), pa.int64()) for part in slices(batch)]
+            parts = [pa.array(counter.count(part.to_pylist()), pa.int64()) for part in slices(batch, SEGMENT)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
 
     return count(F.coalesce(text, F.lit("")))
