@@ -4,8 +4,8 @@ Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Features
 pairs with one word between, hashed to ``2 ** BITS`` coordinates. Each coordinate has its own learning rate, and L1 sets
 most weights to exactly zero; what is left is a small table that every task gets as a broadcast.
 
-Training takes a bounded sample of labelled rows, dealt to a fixed number of groups by id. A round lets every group
-learn from the common state over its rows; the driver averages the groups' states (bounded by the coordinates).
+Training takes a bounded sample of labelled rows, dealt to a fixed number of groups by id. In a round every group goes
+on from the common state over its rows, a few times; the driver averages the groups' states (bounded by the coordinates).
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from panelweave.llm.common import sample_share, slices, stage, text_bytes
 from panelweave.llm.words import find_words, hash_spans, mix
 
-#: Hash bits; expected rows of the training sample; groups that learn side by side; rounds over the sample.
-BITS, MAX_ROWS, GROUPS, ROUNDS = 18, 40_000, 4, 8
+#: Hash bits; expected rows of the training sample; groups that learn side by side; rounds, and passes in each.
+BITS, MAX_ROWS, GROUPS, ROUNDS, EPOCHS = 18, 20_000, 4, 3, 3
 #: FTRL-proximal parameters: learning rate, smoothing, L1, L2.
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Coordinate of the constant term (not penalised).
 BIAS = 1 << BITS
 
@@ -89,11 +89,13 @@ def distinct_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def training_round(state: Broadcast, number: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("order").sample(frac=1, random_state=number)
+        part = part.sort_values("order")
         z, n = state.value[0].copy(), state.value[1].copy()
-        learn(z, n, iter(part.features), iter(part.label))
+        for epoch in range(EPOCHS):
+            shuffled = part.sample(frac=1, random_state=number * EPOCHS + epoch)
+            learn(z, n, iter(shuffled.features), iter(shuffled.label))
         at = np.flatnonzero(n)
-        return pd.DataFrame({"part": [part.part.iloc[0]], "at": [at], "z": [z[at]], "n": [n[at]]})
+        return pd.DataFrame({"part": [part.part.iloc[0]], "at": [at.tobytes()], "z": [z[at].tobytes()], "n": [n[at].tobytes()]})
 
     return run
 
@@ -120,13 +122,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for number in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
         learned = rows.groupBy("part").applyInPandas(training_round(state, number),
-                                                     "part long, at array<long>, z array<double>, n array<double>").collect()
+                                                     "part long, at binary, z binary, n binary").collect()
         if not learned:
             break
         z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
         for row in sorted(learned, key=lambda r: r["part"]):
-            z[row["at"]] += np.asarray(row["z"]) / len(learned)
-            n[row["at"]] += np.asarray(row["n"]) / len(learned)
+            at = np.frombuffer(row["at"], np.int64)
+            z[at] += np.frombuffer(row["z"]) / len(learned)
+            n[at] += np.frombuffer(row["n"]) / len(learned)
         state.unpersist()
     w = weights(z, n)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}
