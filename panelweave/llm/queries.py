@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, substring_dedup, token_count, toxicity
+from panelweave.llm import exact_dedup, language_id, near_dedup, packing, pii, quality_rules, substring_dedup, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -34,6 +34,11 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.pii(docs, pii.fit(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, labels(spark, sf_dir).filter(~held_out(F.col("doc_id"))))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_token_counts": op2_token_counts,
     "op3_repeated_passages": op3_repeated_passages,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
