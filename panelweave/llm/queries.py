@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, language_id, near_dedup, packing, pii, quality_rules, substring_dedup, token_count, toxicity
+import corpus_pipeline
+from panelweave.llm import exact_dedup, language_id, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -55,6 +56,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, labels(spark, sf_dir)))
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table as domains: toxic, low (quality 0), high."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
+    return labels(spark, sf_dir).select("doc_id", domain.alias("domain"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    domains = mixing.fit_domains(docs, domain_labels(spark, sf_dir))
+    return mixing.mix(docs, domains, {"high": 0.7, "low": 0.2, "toxic": 0.1})
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -63,6 +76,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_token_counts": op2_token_counts,
@@ -71,8 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
