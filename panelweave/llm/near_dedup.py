@@ -5,8 +5,10 @@ second, shifted by one more place for each coordinate, ranks them. Coordinates a
 candidates, and only pairs whose full shingle sets overlap enough become links.
 
 Equal shingle sets collapse to one class before anything is paired. A bucket never emits all its pairs: its members are
-first compared with the smallest of them, then with a second anchor, and only what still lies in different components of
-one bucket is compared pair by pair, so no candidate pair of different components goes unverified.
+first compared with the smallest of them, then with their other anchors. What still lies in different components of one
+bucket is compared there, by shingle sets of 32-bit numbers inside the join's condition, so that only pairs within a
+hundredth of the threshold come out; those are verified on the full sets. No candidate pair of different components goes
+unseen.
 
 With 32 bands of 4 coordinates a pair at similarity 0.75 fails to meet in any band with probability 5e-6.
 """
@@ -109,9 +111,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose full sets overlap enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_right"))
-    common = F.size(F.array_intersect("_left", "_right"))
-    union = F.size("_left") + F.size("_right") - common
-    return pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * union).select("a", "b")
+    # intersection at least percent of the union, the intersection written once
+    enough = (100 + percent) * F.size(F.array_intersect("_left", "_right")) >= percent * (F.size("_left") + F.size("_right"))
+    return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
 def relabel(old: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -162,14 +164,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified(others.select("a", "b"), sets, percent)
     links = labelled(labelled(links, components, "a"), components, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     components = relabel(components, links)
-    # Whatever shares a bucket and still lies apart, pair by pair; pairs with an anchor are known by now.
+    # Whatever shares a bucket and still lies apart; pairs with an anchor are known by now.
     apart = labelled(met, components, "doc_id").withColumnRenamed("c_doc_id", "component")
     split = apart.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     apart = stage(apart.join(split.select("band", "value"), ["band", "value"], "left_semi").filter("doc_id <> anchor"), "apart")
-    left = apart.select("band", "value", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"))
-    right = apart.select("band", "value", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"))
-    near = (left.join(right, ["band", "value"]).filter("a < b and c_a <> c_b")
-            .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct())
+    marks = sets.select("doc_id", F.transform("shingles", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int")).alias("marks"))
+    apart = apart.join(marks, "doc_id")
+    left, right = (apart.select("band", "value", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}")) for x in "ab")
+    overlap = (99 + percent) * F.size(F.array_intersect("m_a", "m_b")) >= (percent - 1) * (F.size("m_a") + F.size("m_b"))
+    near = left.join(right, (left["band"] == right["band"]) & (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+                     & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & overlap).select("a", "b").distinct()
     links = verified(near, sets, percent)
     links = labelled(labelled(links, components, "a"), components, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     components = relabel(components, links)
