@@ -9,8 +9,11 @@ patterns are few. Spark then numbers the pieces of each length and looks up the
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,53 +22,115 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from panelweave.llm.common import slices, stage
-from panelweave.llm.token_count import REMEMBERED, SEGMENT, SHORT, balanced, segments
+from panelweave.llm.token_count import SEGMENT, SHORT, segments
 
 CAPACITY, END_ID = 2048, 0
-#: Rows that share a numbering group on average.
-GROUP_ROWS = 20_000
+#: Rows that share a numbering group on average; words a process remembers per generation.
+GROUP_ROWS, REMEMBERED = 20_000, 150_000
 
-#: White space is a boundary of the word tokenizer. A run of Latin letters that only a full stop or comma parts from white
-#: space is a piece of its own, as letters and signs are never merged.
+#: White space is a boundary of the word tokenizer, and so is the end of a run of letters before signs that no contraction or
+#: special token begins with.
+WORD = re.compile(r"[^ \t-\r]+")
 _LATIN = "a-zß-öø-ÿ"
-WORD = re.compile(rf"[{_LATIN}]+(?=[.,]?(?:[ \t-\r]|\Z))|[^ \t-\r]+")
+PARTS = re.compile(rf"([{_LATIN}]*)([.,;:!?#*$%&()]*)")
+_LETTERS = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+#: Signs that Python takes for white space and the tokenizer does not.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
+def unsigned(ids: list[int]) -> bytes:
+    """Unsigned 32-bit numbers, little-endian."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Recent:
+    """Values by key in two generations: what was not asked for while the younger one filled up is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.young[key] = value
+        return value
 
 
 class PieceIds:
-    """Token ids of pieces as bytes (unsigned 32-bit, little-endian), remembered within bounds."""
+    """Token ids of words as bytes (unsigned 32-bit, little-endian), remembered within bounds."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's cores are taken by other tasks
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        new = list(pieces - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(pieces)
-        long = {}
-        for batch in balanced(new):
-            for piece, encoding in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                (self.known if len(piece) <= SHORT else long)[piece] = np.array(encoding.ids, "<u4").tobytes()
-        return long
+        self.model = self.tokenizer.model
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.words, self.runs = Recent(REMEMBERED), Recent(REMEMBERED)
+
+    def run(self, letters: str) -> bytes:
+        """A run of lower-case Latin letters goes to the merges at once: neither normalised nor split further."""
+        ids = self.runs.get(letters)
+        if ids is None:
+            ids = unsigned([t.id for t in self.model.tokenize(letters.translate(self.alphabet))])
+            if len(letters) <= SHORT:
+                self.runs.young[letters] = ids
+        return ids
+
+    def whole(self, word: str) -> bytes:
+        return unsigned(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        parts = PARTS.fullmatch(word)
+        if parts is None or not parts[1]:
+            return self.whole(word)
+        if not parts[2]:
+            return self.run(word)
+        signs = self.runs.get(parts[2])
+        if signs is None:
+            signs = self.whole(parts[2])
+            if len(parts[2]) <= SHORT:
+                self.runs.young[parts[2]] = signs
+        return self.run(parts[1]) + signs
+
+    def encode_words(self, words: list[str]) -> bytes:
+        table, long = self.words.young, {}
+        for word in set(words).difference(table):
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.word(word)
+                (table if len(word) <= SHORT else long)[word] = ids
+        if long:
+            return b"".join([long[w] if w in long else table[w] for w in words])
+        return b"".join(map(table.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for pieces in segments(prepared(text), WORD):
-            long = self.learn(set(pieces))
-            out += [long[p] if p in long else self.known[p] for p in pieces] if long else map(self.known.__getitem__, pieces)
-        return b"".join(out)
+        self.words.turn()
+        self.runs.turn()
+        if len(text) > SEGMENT:
+            return b"".join([self.encode_words([w for piece in part for w in split_words(piece)]) for part in segments(text, WORD)])
+        return self.encode_words(split_words(text))
+
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if sum(map(len, texts)) > 8 * SEGMENT:
-            return [self.encode(t) for t in texts]
-        lists = [WORD.findall(prepared(t)) for t in texts]
-        long = self.learn(set().union(*lists))
-        table = {**self.known, **long} if long else self.known
-        return [b"".join(map(table.__getitem__, pieces)) for pieces in lists]
+def split_words(text: str) -> list[str]:
+    """The words between white space, lower-cased where that is the same letter by letter, so that fewer differ."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(text)
+    text = text.lower()
+    return WORD.findall(text) if any(c in text for c in _NO_SPACE) else text.split()
 
 
 _encoders: dict[str, PieceIds] = {}
@@ -79,22 +144,13 @@ def encoder_for(definition: str) -> PieceIds:
     return _encoders[definition]
 
 
-def prepared(text: str) -> str:
-    """Lower-cased where that is the same letter by letter, so that fewer pieces differ; else as it is."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
 _PIECE = T.StructType([T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
 def document_pieces(text: Column, definition: str, capacity: int, end_id: int, with_ids: bool = False) -> Column:
     """Pieces of a text's ids as an array of (length, ids_crc32), and the ids themselves if asked for."""
     kind = T.StructType([*_PIECE.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
-    end = np.array([end_id], "<u4").tobytes()
+    end = unsigned([end_id])
 
     @F.arrow_udf(T.ArrayType(kind))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -102,8 +158,8 @@ def document_pieces(text: Column, definition: str, capacity: int, end_id: int, w
         for batch in batches:
             bounds, length, crc, ids = [0], [], [], []
             for part in slices(batch, SEGMENT):
-                for encoded in encoder.encode_all(part.to_pylist()):
-                    encoded += end
+                for text in part.to_pylist():
+                    encoded = encoder.encode(text) + end
                     for at in range(0, len(encoded), 4 * capacity):
                         piece = encoded[at: at + 4 * capacity]
                         length.append(len(piece) // 4)
