@@ -113,14 +113,14 @@ def mixing_corpus(corpus, spark):
 def test_rates_reach_the_targets(spark, corpus, awkward):
     docs, marked = mixing_corpus(corpus, spark)
     domains = mixing.fit_domains(docs, marked.filter("doc_id < 150"))
-    mixed = mixing.mix(docs, domains, {"high": 3.0, "low": 1.0}).join(marked.withColumnRenamed("domain", "true"), "doc_id")
-    assert mixed.filter("domain <> true").count() == 0
-    tokens = {r["true"]: r["t"] for r in mixed.groupBy("true").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("t")).collect()}
+    mixed = mixing.mix(docs, domains, {"high": 3.0, "low": 1.0}).join(marked.withColumnRenamed("domain", "actual"), "doc_id")
+    assert mixed.filter("domain <> actual").count() == 0
+    tokens = {r["actual"]: r["t"] for r in mixed.groupBy("actual").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("t")).collect()}
     total = mixed.agg(F.sum("n_tokens")).first()[0]
     assert tokens["high"] == pytest.approx(0.75 * total, rel=0.01) and tokens["low"] == pytest.approx(0.25 * total, rel=0.01)
     assert mixed.filter("rate < 0 or copies < floor(rate) or copies > ceil(rate)").count() == 0
-    held = mixing.mix(docs, domains, {"high": 0.9, "low": 0.1}, anchor="high", most=1.0).join(marked.withColumnRenamed("domain", "true"), "doc_id")
-    assert held.filter("true = 'high' and copies <> 1").count() <= 2
+    held = mixing.mix(docs, domains, {"high": 0.9, "low": 0.1}, anchor="high", most=1.0).join(marked.withColumnRenamed("domain", "actual"), "doc_id")
+    assert held.filter("actual = 'high' and copies <> 1").count() <= 2
     assert held.filter("rate > 1").count() == 0
     odd = mixing.mix(corpus(awkward), domains, {"high": 1.0, "other": 2.0}).collect()
     assert len(odd) == len(awkward) and all(r["rate"] >= 0 for r in odd)
