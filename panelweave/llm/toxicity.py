@@ -90,12 +90,11 @@ def distinct_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def training_round(state: Broadcast, number: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("order")
-        z, n = state.value[0].copy(), state.value[1].copy()
+        z, n = (x.astype(np.float64) for x in state.value)
         for epoch in range(EPOCHS):
             shuffled = part.sample(frac=1, random_state=number * EPOCHS + epoch)
             learn(z, n, iter(shuffled.features), iter(shuffled.label))
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"part": [part.part.iloc[0]], "at": [at.tobytes()], "z": [z[at].tobytes()], "n": [n[at].tobytes()]})
+        return pd.DataFrame({"part": [part.part.iloc[0]], "z": [z.astype(np.float32).tobytes()], "n": [n.astype(np.float32).tobytes()]})
 
     return run
 
@@ -118,18 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                  .select(F.xxhash64(id_col).alias("order"), F.col("_label").cast("double").alias("label"), distinct_features("_text").alias("features")),
                  "toxicity-rows")
     rows = rows.withColumn("part", F.pmod("order", F.lit(groups)))
-    z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+    z, n = np.zeros(BIAS + 1, np.float32), np.zeros(BIAS + 1, np.float32)
     for number in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        learned = rows.groupBy("part").applyInPandas(training_round(state, number),
-                                                     "part long, at binary, z binary, n binary").collect()
+        learned = rows.groupBy("part").applyInPandas(training_round(state, number), "part long, z binary, n binary").collect()  # two numbers per coordinate and group
         if not learned:
             break
-        z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
-        for row in sorted(learned, key=lambda r: r["part"]):
-            at = np.frombuffer(row["at"], np.int64)
-            z[at] += np.frombuffer(row["z"]) / len(learned)
-            n[at] += np.frombuffer(row["n"]) / len(learned)
+        learned.sort(key=lambda r: r["part"])
+        z, n = (sum(np.frombuffer(r[name], np.float32) / len(learned) for r in learned) for name in ("z", "n"))
         state.unpersist()
     w = weights(z, n)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}
