@@ -10,27 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.models.regression import _schema_of
-from panelweave.operators.series import MAX_ROWS
 
 FORECAST = "params map<string,string>, step int, predicted double, fit_time double, prediction_time double, error string"
 
 
 def fit_predict_per_series(df: DataFrame, fn: Callable[[pd.DataFrame], tuple[dict, Sequence[float], float, float]],
-                           keys: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
+                           keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
     """Run ``fn`` on every series: it gets the rows in time order and returns parameters, forecasts and two times.
 
-    The rows of a series must have been limited to ``max_rows`` (the row limit is part of the models' definition);
-    a longer series is refused rather than loaded. A ``ValueError`` skips the series: its only row then has
-    ``error`` set and no forecast.
+    ``fn`` sees a whole series, so its task holds one: with ``max_rows`` a longer series is skipped like one on which
+    ``fn`` raises ``ValueError``. The only row of a skipped series has ``error`` set and no forecast.
     """
     keys = list(keys)
     schema = _schema_of(df, keys, FORECAST)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[keys].head(1)
-        if len(pdf) > max_rows:
-            raise RuntimeError(f"series of {len(pdf)} rows exceeds the limit of {max_rows}")
         try:
+            if max_rows is not None and len(pdf) > max_rows:
+                raise ValueError(f"series of {len(pdf)} rows exceeds the limit of {max_rows}")
             params, values, fit_time, prediction_time = fn(pdf.sort_values("slot"))
         except ValueError as problem:
             return head.assign(params=None, step=None, predicted=None, fit_time=None, prediction_time=None,

@@ -14,7 +14,6 @@ from panelweave.schemas import SERIES, STATION
 # Season length, forecast horizons and row limits per rate.
 SEASON = {"H": 24, "D": 7}
 HORIZONS = {"H": [1, 2, 3, 5, 10, 12, 24], "D": [1, 2, 3, 4, 5, 6, 7]}
-MAX_ROWS = 8760
 DEBUG_ROWS = 200
 
 
@@ -145,7 +144,7 @@ def with_position(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
             .withColumn("rev", F.col("last_slot") - F.col("slot")).drop("first_slot", "last_slot"))
 
 
-def head(df: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
+def head(df: DataFrame, rows: int = DEBUG_ROWS) -> DataFrame:
     """First ``rows`` rows of every series."""
     return with_position(df).filter(F.col("pos") < rows).select(*df.columns)
 

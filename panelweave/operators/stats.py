@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.blocks import spread_join
 
 STATS = ["mean", "median", "min", "max"]
-#: Rank error of the sketch is 1/ACCURACY; the bracket around the median is MARGIN wide on each side, ten times that.
+#: Rank error of the sketch is 1/ACCURACY. The bracket around the median reaches ten times that, and at least ten ranks,
+#: to each side, rounded up to the next of MARGINS; the sketch cannot miss a bracket that wide.
 ACCURACY = 20_000
-MARGIN = 10 / ACCURACY
+MARGINS = [10 / ACCURACY, 0.002, 0.008, 0.032, 0.128, 0.5]
 
 
 def _long(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -25,18 +26,18 @@ def describe(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Dat
 
     The built-in exact median keeps every distinct value of a group in one task. Here a first pass takes the
     plain statistics and a quantile sketch that brackets the median; the second pass counts what lies below the
-    bracket and ranks only the distinct values inside it. Groups of up to ``ACCURACY`` values are bracketed by their
-    extremes. A bracket that missed the median would raise, never return another value.
+    bracket and ranks only the distinct values inside it. A small group's bracket reaches its extremes.
     """
     long = _long(df, keys, measures)
     group = [*keys, "measure"]
-    near = F.percentile_approx("v", F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)), F.lit(ACCURACY))
+    shares = [0.5 - m for m in MARGINS] + [0.5 + m for m in MARGINS]
+    near = F.percentile_approx("v", F.array(*[F.lit(s) for s in shares]), F.lit(ACCURACY))
     plain = long.groupBy(*group).agg(
         F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"),
         near.alias("_near"))
-    wide_enough = F.col("n") > ACCURACY
-    facts = plain.withColumn("_lo", F.when(wide_enough, F.col("_near")[0]).otherwise(F.col("min"))).withColumn(
-        "_hi", F.when(wide_enough, F.col("_near")[1]).otherwise(F.col("max")))
+    needed = F.greatest(F.lit(10 / ACCURACY), 10 / F.col("n"))
+    wide = F.least(F.size(F.filter(F.array(*[F.lit(m) for m in MARGINS]), lambda m: m < needed)), F.lit(len(MARGINS) - 1))
+    facts = plain.withColumn("_lo", F.get("_near", wide)).withColumn("_hi", F.get("_near", wide + len(MARGINS)))
     # Equal values collapse before any exchange, so a value that fills a group is one row from here on.
     distinct = long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
     # NULL stands for "below the bracket" and sorts first.
@@ -60,6 +61,11 @@ def describe(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Dat
     return both.groupBy(*keys).agg(*wide)
 
 
+def exact_mean(measure: str) -> Column:
+    """Mean that does not depend on the order of the rows: summed as decimals and rounded, so that ties stay ties."""
+    return F.round(F.sum(F.col(measure).cast("decimal(30,12)")).cast("double") / F.count(measure), 9)
+
+
 def best_rows(df: DataFrame, keys: Sequence[str], measure: str, label: str) -> DataFrame:
     """Per group the ``label`` with the smallest ``measure``; missing scores come last, ties go to the smaller label."""
     missing = F.col(measure).isNull()

@@ -16,7 +16,7 @@ from panelweave.models.neighbours import MAX_NEIGHBOURS, nearest_rows, neighbour
 from panelweave.models.regression import least_squares, linear_value
 from panelweave.models.supervised import all_rows
 from panelweave.operators.blocks import over_series, spread_join
-from panelweave.operators.series import MAX_ROWS, SEASON, head
+from panelweave.operators.series import SEASON, head
 from panelweave.operators.worklist import without_finished, work_list
 from panelweave.schemas import EVAL_COLUMNS, PREDICTIONS_COLUMNS, RUN, SERIES
 from panelweave.session import cut_lineage
@@ -54,15 +54,16 @@ def _to_do(rows: DataFrame, todo: DataFrame | None) -> DataFrame:
 
 
 def estimate(grid: DataFrame, models: Sequence[str] = MODELS, horizons: dict[str, list[int]] | None = None,
-             done: DataFrame | None = None, rates: Sequence[str] = ("D", "H"), max_rows: int = MAX_ROWS,
+             done: DataFrame | None = None, rates: Sequence[str] = ("D", "H"), max_rows: int | None = None,
              direct_set: bool = True, draws: int | None = search.DRAWS,
              tree_candidates: dict[str, list[dict]] | None = None, seed: int = 0) -> DataFrame:
     """Best parameters and score per run and model, in the results layout.
 
     Runs that ``done`` already holds are left out. Direct models are scored by their mean negative squared error
-    over the folds, time-based ones by their squared error on the last season.
+    over the folds, time-based ones by their squared error on the last season. ``max_rows`` keeps only the first rows of
+    every series; without it whole series take part.
     """
-    grid = head(grid, max_rows)
+    grid = grid if max_rows is None else head(grid, max_rows)
     todo = None if done is None else work_list(grid, done, horizons)
     tree_candidates = tree_candidates or {}
     parts = []
@@ -135,9 +136,9 @@ def direct_forecast(rows: DataFrame, model: str, results: DataFrame) -> DataFram
 
 def forecast_all(grid: DataFrame, results: DataFrame, models: Sequence[str] = MODELS,
                  horizons: dict[str, list[int]] | None = None, rates: Sequence[str] = ("D", "H"),
-                 max_rows: int = MAX_ROWS, direct_set: bool = True) -> tuple[DataFrame, DataFrame]:
+                 max_rows: int | None = None, direct_set: bool = True) -> tuple[DataFrame, DataFrame]:
     """Forecast rows of all models, and the normalisation factor of every run."""
-    grid = head(grid, max_rows)
+    grid = grid if max_rows is None else head(grid, max_rows)
     parts, factors = [], []
     for rate in rates:
         if set(models) & set(DIRECT_MODELS):
@@ -153,7 +154,7 @@ def forecast_all(grid: DataFrame, results: DataFrame, models: Sequence[str] = MO
 
 def evaluate(grid: DataFrame, results: DataFrame, models: Sequence[str] = MODELS,
              horizons: dict[str, list[int]] | None = None, done: DataFrame | None = None,
-             rates: Sequence[str] = ("D", "H"), max_rows: int = MAX_ROWS,
+             rates: Sequence[str] = ("D", "H"), max_rows: int | None = None,
              direct_set: bool = True) -> tuple[DataFrame, DataFrame]:
     """Evaluation and predictions tables: every stored run refitted, forecast over the last season and scored.
 

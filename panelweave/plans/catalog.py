@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +78,12 @@ def merge_newest_wins(spark, sf_dir):
 
 
 def upsert(spark, sf_dir):
+    """All four parts, each merged over the ones before."""
     files = src.hourly(spark, sf_dir, files=4)
-    old = files.filter("file_seq = 0").drop("file_seq")
-    new = files.filter("file_seq = 3").drop("file_seq")
-    return rounded(ingest.upsert(new, old))
+    old, *later = [files.filter(F.col("file_seq") == part).drop("file_seq") for part in range(4)]
+    for new in later:
+        old = ingest.upsert(new, old)
+    return rounded(old)
 
 
 def coverage(spark, sf_dir):
@@ -249,8 +252,8 @@ def other_series_features(spark, sf_dir):
 
 
 def feature_gate(spark, sf_dir):
-    nation = F.concat(F.lit("ST"), (F.col("o_custkey") % 40).cast("string"))
-    orders = src.read_table(spark, sf_dir, "orders").filter("o_totalprice > 450000")
+    nation = F.concat(F.lit("ST"), F.col("o_custkey").cast("string"))
+    orders = src.read_table(spark, sf_dir, "orders")
     panel = orders.select(nation.alias("station"), F.lit("D").alias("rate"), F.col("o_orderdate").alias("ts"),
                           F.col("o_orderpriority").alias("pollutant"), F.col("o_totalprice").alias("value"))
     return (series.feature_gate(panel, 5).groupBy(*STATION, "pollutant")
@@ -384,7 +387,7 @@ def linreg_two_features(spark, sf_dir):
 
 def linreg_multi(spark, sf_dir):
     """Linear regression on a day of lags and their statistics, which are combinations of the lags."""
-    rows = supervised.all_rows(hourly_grid(spark, sf_dir), "H", [1, 24], direct_set=False, differenced=[False])
+    rows = supervised.all_rows(hourly_grid(spark, sf_dir), "H", None, direct_set=False)
     coef = regression.least_squares(rows.filter("not is_holdout"), RUN).select(*RUN, "intercept", "coef")
     held = spread_join(rows.filter("is_holdout"), coef, RUN, spread=("slot",))
     return rounded(scores.score(held.withColumn("predicted", regression.linear_value()), RUN, actual="label"))
@@ -396,7 +399,7 @@ def _forecast_scores(forecast: DataFrame) -> DataFrame:
 
 def _timebased(spark, sf_dir, model: str) -> DataFrame:
     grid = resample.resample(src.daily(spark, sf_dir), "D")
-    rows = backtest.timebased_rows(grid, "D", [False])
+    rows = backtest.timebased_rows(grid, "D")
     return _forecast_scores(backtest._timebased_forecast(rows, "D", model))
 
 
@@ -457,10 +460,10 @@ def _fresh_dir(spark) -> str:
 
 
 def merge_stored(spark, sf_dir):
-    """Two overlapping parts merged one after the other into a stored table."""
+    """Four overlapping parts merged one after the other into a stored table."""
     path = f"{_fresh_dir(spark)}/measurements"
     files = src.hourly(spark, sf_dir, files=4)
-    for part in (0, 3):
+    for part in range(4):
         tables.merge_measurements(files.filter(F.col("file_seq") == part).drop("file_seq"), path)
     return rounded(tables.read_measurements(spark, path))
 
@@ -483,14 +486,61 @@ def stored_results(spark, sf_dir):
 
 
 def incremental_ingest(spark, sf_dir):
-    """Events as a stream of files, merged into the stored measurements; the final state is returned."""
+    """Events that arrive in three parts, each ingested as it comes; of parts with the same cell the newest wins."""
     folder = _fresh_dir(spark)
-    schema = src.read_table(spark, sf_dir, "events").schema
-    incremental.ingest_new_files(spark, f"{sf_dir}/events*.parquet", f"{folder}/measurements", f"{folder}/checkpoint",
-                                 schema=schema, prepare=src.hourly_of)
+    events = src.read_table(spark, sf_dir, "events")
+    for part in range(3):
+        events.filter(F.col("user_id") % 3 == part).write.mode("append").parquet(f"{folder}/arrived")
+        incremental.ingest_new_files(spark, f"{folder}/arrived", f"{folder}/measurements", f"{folder}/checkpoint",
+                                     schema=events.schema, prepare=src.hourly_of)
     return rounded(tables.read_measurements(spark, f"{folder}/measurements"))
 
 
+def stored_dense(spark, sf_dir):
+    """The density pass over a stored table, run twice: what a second, stricter pass rejects is gone from the target."""
+    folder = _fresh_dir(spark)
+    tables.merge_measurements(src.hourly(spark, sf_dir, stations=1), f"{folder}/measurements")
+    for threshold in (0.0, 0.94):
+        tables.write_dense(spark, f"{folder}/measurements", f"{folder}/dense", threshold)
+    return rounded(tables.read_measurements(spark, f"{folder}/dense"))
+
+
+def _write_lines(lines: DataFrame, folder: str, header: str) -> None:
+    """Write ``name`` and ``line`` rows as one headed text file per name, in the order of the lines."""
+    spark = lines.sparkSession
+    rows = lines.select("name", F.lit(1).alias("place"), F.col("line").alias("value"))
+    heads = lines.select("name").distinct().select("name", F.lit(0).alias("place"), F.lit(header).alias("value"))
+    (rows.unionByName(heads).repartition("name").sortWithinPartitions("name", "place", "value").select("name", "value")
+     .write.partitionBy("name").text(f"{folder}/parts"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop(f"{folder}/files"))
+    for found in files.globStatus(hadoop(f"{folder}/parts/name=*/part-*")):  # a folder per file; Spark names the files in it
+        name = unquote(found.getPath().getParent().getName().removeprefix("name="))
+        files.rename(found.getPath(), hadoop(f"{folder}/files", name))
+
+
+def station_files(spark, sf_dir):
+    """Measurements written as station files of one column per pollutant and read back."""
+    folder = f"{_fresh_dir(spark)}/stations"
+    pollutants = ["click", "error", "purchase", "signup", "view"]
+    wide = ingest.pivot_wide(src.hourly(spark, sf_dir), pollutants)
+    line = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in pollutants])
+    _write_lines(wide.select(F.concat("station", F.lit("-hour.csv")).alias("name"), line.alias("line")), folder, ",".join(["DatetimeEnd", *pollutants]))
+    return rounded(tables.read_station_files(spark, f"{folder}/files").select(*KEY, "value"))
+
+
+def evaluation_files(spark, sf_dir):
+    """The evaluation table written as files per station and rate and read back."""
+    folder = f"{_fresh_dir(spark)}/evaluation"
+    cells = [*RUN[2:], "model", "fit_time", "prediction_time", "mean_squared_error"]
+    rate = F.when(F.col("rate") == "H", "hour").otherwise("day")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in cells])
+    named = src.evaluation(spark, sf_dir).select(F.concat("station", F.lit("-"), rate, F.lit(".csv")).alias("name"), line.alias("line"))
+    _write_lines(named, folder, ",".join(cells))
+    return rounded(tables.read_evaluation_files(spark, f"{folder}/files").select(*RUN[:2], *cells))
+
+
 def _report(name):
     def run(spark, sf_dir):
         return rounded(reports.REPORTS[name](src.evaluation(spark, sf_dir)))
@@ -507,5 +557,6 @@ QUERIES = {f.__name__: f for f in (
     run_setups, run_name_build, run_name_parse, report_name_build, params_roundtrip, score_naive,
     score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, linreg_one_feature,
     linreg_two_features, linreg_multi, tree, forest, holt_winters, ar_forecast, fourier_forecast, param_grid_search,
-    backtest_evaluate, backtest_predictions, merge_stored, stored_evaluation, stored_results, incremental_ingest)}
+    backtest_evaluate, backtest_predictions, merge_stored, stored_evaluation, stored_results, incremental_ingest, stored_dense,
+    station_files, evaluation_files)}
 QUERIES |= {f"report_q{i}_{name}": _report(name) for i, name in enumerate(reports.REPORTS, start=1)}

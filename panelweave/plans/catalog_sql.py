@@ -118,7 +118,7 @@ def _wins(keys: str) -> str:
     return f"{WINNERS} SELECT {keys}, model, COUNT(mean_squared_error) AS best_mse_count FROM best GROUP BY ALL"
 
 
-MEANS = f"""{EV}, means AS (SELECT {SETUP}, rate, pollutant, distance, model, AVG(norm_mean_absolute_error) AS
+MEANS = f"""{EV}, means AS (SELECT {SETUP}, rate, pollutant, distance, model, ROUND(SUM(CAST(norm_mean_absolute_error AS DECIMAL(30, 12)))::DOUBLE / COUNT(norm_mean_absolute_error), 9) AS
       norm_mean_absolute_error_mean FROM ev GROUP BY ALL),
     best AS ({_best(SETUP + ', rate, pollutant, distance', 'norm_mean_absolute_error_mean', 'model', 'means')})"""
 
@@ -185,8 +185,7 @@ ORACLE: dict[str, str] = {
         f"ROUND(AVG(CASE WHEN pollutant = '{p}' THEN value END), 6) AS {p}" for p in POLLUTANTS) + " FROM m GROUP BY ALL",
     "unpivot_long": f"SELECT station, rate, ts, pollutant, {VALUE} FROM ({hourly()}) WHERE value IS NOT NULL",
     "merge_newest_wins": f"WITH m AS ({hourly(2, 4)}) SELECT {KEY}, ROUND(arg_max(value, file_seq), 6) AS value FROM m GROUP BY ALL",
-    "upsert": f"""WITH m AS ({hourly(2, 4)}), o AS (SELECT * FROM m WHERE file_seq = 0), n AS (SELECT * FROM m WHERE file_seq = 3)
-      SELECT {KEY}, ROUND(COALESCE(n.value, o.value), 6) AS value FROM n FULL JOIN o USING ({KEY})""",
+    "upsert": f"WITH m AS ({hourly(2, 4)}) SELECT {KEY}, ROUND(arg_max(value, file_seq), 6) AS value FROM m GROUP BY ALL",
     "coverage": f"""WITH m AS ({hourly(1)}), d AS (SELECT station, rate, CAST(floor((epoch(MAX(ts)) - epoch(MIN(ts))) / 86400) AS BIGINT) AS days
       FROM m GROUP BY ALL) SELECT station, rate, pollutant, COUNT(value) AS n_values, days FROM m JOIN d USING (station, rate) GROUP BY ALL""",
     "density_filter": f"""WITH m AS ({hourly(1)}), d AS (SELECT station, rate, floor((epoch(MAX(ts)) - epoch(MIN(ts))) / 86400) AS days
@@ -253,8 +252,8 @@ ORACLE: dict[str, str] = {
     "other_series_features": f"""{G}, o AS (SELECT a.station, a.rate, a.pollutant, a.ts, a.value, list(b.value ORDER BY b.pollutant) AS f FROM g a JOIN g b
       ON a.station = b.station AND a.rate = b.rate AND a.ts = b.ts AND a.pollutant <> b.pollutant GROUP BY ALL)
       SELECT {KEY}, {VALUE}, """ + ", ".join(f"ROUND(f[{i + 1}], 6) AS x{i}" for i in range(4)) + " FROM o",
-    "feature_gate": """WITH p AS (SELECT 'ST' || CAST(o_custkey % 40 AS VARCHAR) AS station, 'D' AS rate, o_orderpriority AS pollutant, o_totalprice AS value
-      FROM orders WHERE o_totalprice > 450000) SELECT station, rate, pollutant, COUNT(*) AS n, MAX(value) AS max_value FROM p
+    "feature_gate": """WITH p AS (SELECT 'ST' || CAST(o_custkey AS VARCHAR) AS station, 'D' AS rate, o_orderpriority AS pollutant, o_totalprice AS value
+      FROM orders) SELECT station, rate, pollutant, COUNT(*) AS n, MAX(value) AS max_value FROM p
       WHERE station IN (SELECT station FROM p GROUP BY station HAVING COUNT(DISTINCT pollutant) >= 5) GROUP BY ALL""",
     "todo_anti_join": f"""{EV}, d AS (SELECT * FROM ev WHERE fit_time > 40) SELECT DISTINCT station, rate, pollutant, distance, differenced, direct, artificial
       FROM ev ANTI JOIN d USING (station, rate, pollutant, distance, differenced, direct, artificial)""",
@@ -295,7 +294,7 @@ ORACLE: dict[str, str] = {
     "report_q10_pollutant_norm_measures": f"{EV} {_stats(SETUP + ', rate, pollutant, model', NORM)}",
     "report_q11_general_prediction_times": f"{EV} {_stats(SETUP + ', rate, model', TIMES)}",
     "report_q12_general_fit_times": f"{EV} {_stats(SETUP + ', rate, model', TIMES)}",
-    "report_q13_best_by_poll_over_distances": f"""{EV}, a AS (SELECT {SETUP}, rate, station, pollutant, model, AVG(mean_squared_error) AS mse FROM ev GROUP BY ALL),
+    "report_q13_best_by_poll_over_distances": f"""{EV}, a AS (SELECT {SETUP}, rate, station, pollutant, model, ROUND(SUM(CAST(mean_squared_error AS DECIMAL(30, 12)))::DOUBLE / COUNT(mean_squared_error), 9) AS mse FROM ev GROUP BY ALL),
       best AS ({_best(SETUP + ', rate, station, pollutant', 'mse', 'model', 'a')})
       SELECT {SETUP}, rate, pollutant, model, COUNT(mse) AS best_mse_by_distance_avg FROM best GROUP BY ALL""",
     "report_q14_all_norm_measures": f"{EV} {_stats(SETUP + ', rate, pollutant, model, distance', NORM)}",
@@ -314,12 +313,17 @@ ORACLE: dict[str, str] = {
       COVAR_POP(a, b) AS sab, COVAR_POP(a, y) AS say, COVAR_POP(b, y) AS sby, COUNT(*) AS n FROM rows_ WHERE y IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
       k AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS c1, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS c2 FROM c)
       SELECT station, rate, pollutant, ROUND(my - c1 * ma - c2 * mb, 6) AS intercept, ROUND(c1, 6) AS coef_1, ROUND(c2, 6) AS coef_2, n FROM k""",
-    "merge_stored": f"""WITH m AS ({hourly(2, 4)}), o AS (SELECT * FROM m WHERE file_seq = 0), n AS (SELECT * FROM m WHERE file_seq = 3)
-      SELECT {KEY}, ROUND(COALESCE(n.value, o.value), 6) AS value FROM n FULL JOIN o USING ({KEY})""",
+    "merge_stored": f"WITH m AS ({hourly(2, 4)}) SELECT {KEY}, ROUND(arg_max(value, file_seq), 6) AS value FROM m GROUP BY ALL",
     "stored_evaluation": f"""{EV} SELECT station, rate, pollutant, distance, differenced, direct, artificial, model, """ + ", ".join(
         f"ROUND({c}, 6) AS {c}" for c in [*TIMES, "mean_squared_error", "norm_mean_squared_error", "norm_mean_absolute_error",
                                          "norm_median_absolute_error"]) + " FROM ev",
     "stored_results": f"""{EV} SELECT station, rate, pollutant, distance, differenced, direct, artificial, model,
       CAST(floor(fit_time) AS INT) AS n_neighbors, ROUND(mean_squared_error, 6) AS score FROM ev""",
-    "incremental_ingest": f"SELECT {KEY}, {VALUE} FROM ({hourly()})",
+    "incremental_ingest": f"WITH m AS ({hourly(2, 3)}) SELECT {KEY}, ROUND(arg_max(value, file_seq), 6) AS value FROM m GROUP BY ALL",
+    "stored_dense": f"""WITH m AS ({hourly(1)}), d AS (SELECT station, rate, floor((epoch(MAX(ts)) - epoch(MIN(ts))) / 86400) AS days
+      FROM m GROUP BY ALL), k AS (SELECT station, rate, pollutant FROM m JOIN d USING (station, rate) GROUP BY station, rate, pollutant, days
+      HAVING COUNT(value) >= 0.94 * days * 24) SELECT {KEY}, {VALUE} FROM m SEMI JOIN k USING (station, rate, pollutant)""",
+    "station_files": f"SELECT {KEY}, {VALUE} FROM ({hourly()}) WHERE value IS NOT NULL",
+    "evaluation_files": f"""{EV} SELECT station, rate, pollutant, distance, differenced, direct, artificial, model, """ + ", ".join(
+        f"ROUND({c}, 6) AS {c}" for c in [*TIMES, "mean_squared_error"]) + " FROM ev",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.stats import best_rows, describe
+from panelweave.operators.stats import best_rows, describe, exact_mean
 from panelweave.schemas import NORM_MEASURES, TIMES
 
 SETUP = ["timebased", "differenced", "artificial"]
@@ -103,7 +103,7 @@ def best_by_poll_over_distances(ev: DataFrame) -> DataFrame:
     """Winner counts over the mean error of all distances."""
     keys = [*SETUP, "rate"]
     averaged = (prepare(ev).groupBy(*keys, "station", "pollutant", "model")
-                .agg(F.avg("mean_squared_error").alias("mean_squared_error")))
+                .agg(exact_mean("mean_squared_error").alias("mean_squared_error")))
     best = best_rows(averaged, [*keys, "station", "pollutant"], "mean_squared_error", "model")
     return (best.groupBy(*keys, "pollutant", "model")
             .agg(F.count("mean_squared_error").alias("best_mse_by_distance_avg"))
@@ -119,7 +119,7 @@ def best_by_mean_nmae(ev: DataFrame) -> DataFrame:
     """Best model per rate, pollutant and distance by its mean normalised absolute error."""
     keys = [*SETUP, "rate", "pollutant", "distance"]
     means = (prepare(ev).groupBy(*keys, "model")
-             .agg(F.avg("norm_mean_absolute_error").alias("norm_mean_absolute_error_mean")))
+             .agg(exact_mean("norm_mean_absolute_error").alias("norm_mean_absolute_error_mean")))
     return best_rows(means, keys, "norm_mean_absolute_error_mean", "model").orderBy(*keys)
 
 

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.names import parse_run_name, parse_series_name
 from panelweave.operators.blocks import block_of, slot_of, spread_join
-from panelweave.operators.ingest import KEEP_THRESHOLD, density_filter, upsert
+from panelweave.operators.ingest import KEEP_THRESHOLD, density_filter, merge_newest_wins, upsert
 from panelweave.plans.reports import REPORTS
-from panelweave.schemas import MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, RUN, STATION, clean_doubles
+from panelweave.schemas import EVAL_COLUMNS, MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, RUN, STATION, clean_doubles
 
 _COLUMNS = [f.name for f in MEASUREMENTS_SCHEMA.fields]
-#: Up to this many touched stations are named in the partition filter of a merge; with more, the join alone decides.
-_PRUNE_LIMIT = 1000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,41 +45,48 @@ def read_measurements(spark: SparkSession, path: str, station: str | None = None
 def merge_measurements(new: DataFrame, path: str) -> None:
     """Merge new measurements into the stored ones, cell by cell, newest value first.
 
-    Only stations that ``new`` touches are read and rewritten. The merged rows go to a side folder first, as a
-    folder cannot be read and replaced in one job. A merge that is repeated after a failure gives the same table.
+    Only stations that ``new`` touches are read and rewritten; a first merge is one over an empty table. The merged rows
+    go to a side folder first, as a folder cannot be read and replaced in one job, and the side folder goes when they are
+    in place. A merge that is repeated after a failure gives the same table.
     """
     spark = new.sparkSession
-    if not exists(spark, path):
-        write_measurements(new, path)
-        return
-    touched = new.select(*STATION).distinct()
-    old = read_measurements(spark, path)
-    few = touched.limit(_PRUNE_LIMIT + 1).collect()
-    if len(few) <= _PRUNE_LIMIT:  # name the stations, so that only their folders are listed and read
-        old = old.filter(F.col("station").isin(sorted({r.station for r in few})))
-    old = old.join(touched, STATION, "left_semi")
+    merged = merge_newest_wins(new.select(*_COLUMNS), F.lit(1))
+    if exists(spark, path):
+        # Station names, as many as the touched folders: they prune the listing whatever their number.
+        touched = sorted(r.station for r in new.select("station").distinct().collect())
+        merged = upsert(merged, read_measurements(spark, path).filter(F.col("station").isin(touched)))
     staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
-    _spread(upsert(new.select(*_COLUMNS), old)).write.partitionBy(*STATION).parquet(staged)
+    _spread(merged.filter(F.col("value").isNotNull())).write.partitionBy(*STATION).parquet(staged)
     write_measurements(read_measurements(spark, staged), path)
+    remove(spark, staged)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def write_dense(spark: SparkSession, path: str, target: str, threshold: float = KEEP_THRESHOLD) -> None:
-    """Density pass: write the surviving series of ``path`` to ``target``."""
-    write_measurements(density_filter(read_measurements(spark, path), threshold), target)
+    """Density pass: ``target`` holds the surviving series of ``path`` and nothing else; stations that have fallen below go."""
+    dense = density_filter(read_measurements(spark, path), threshold)
+    (_spread(dense).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*STATION).parquet(target))
 
 
-def _lines_with_header(spark: SparkSession, path: str, header_word: str) -> DataFrame:
+def _lines_with_header(spark: SparkSession, path: str) -> DataFrame:
     """Lines of headed text files as ``file``, ``header`` and ``line`` (both split at commas outside quotes).
 
-    Files stay splittable: the header is recognised by a column name it must contain and joined by file.
+    Files stay splittable: a file's header is the first line of its first block, joined by file.
     """
     outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
     cells = F.transform(F.split(F.rtrim("value"), outside), lambda v: F.trim(v, F.lit('"')))
     lines = spark.read.text(path).filter("trim(value) <> ''").select(
         F.col("_metadata.file_path").alias("file"), "value", cells.alias("line"))
-    is_header = F.array_contains("line", header_word)
-    headers = lines.filter(is_header).select("file", F.col("line").alias("header"))
-    return spread_join(lines.filter(~is_header), headers, ["file"], spread=("value",)).select("file", "header", "line")
+    first = (spark.read.text(path).filter("trim(value) <> ''")
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", cells.alias("header"),
+                     F.monotonically_increasing_id().alias("place")).filter("block = 0"))
+    headers = first.groupBy("file").agg(F.min_by(F.struct("header", F.col("value").alias("text")), "place").alias("h")).select("file", "h.*")
+    return (spread_join(lines, headers, ["file"], spread=("value",)).filter("value <> text").select("file", "header", "line"))
 
 
 def read_station_files(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +94,7 @@ def read_station_files(spark: SparkSession, path: str) -> DataFrame:
 
     Column sets differ per file, so each file's own header decides.
     """
-    rows = _lines_with_header(spark, path, "AveragingTime").withColumn("k", parse_series_name(F.col("file")))
+    rows = _lines_with_header(spark, path).withColumn("k", parse_series_name(F.col("file")))
     cell = F.explode(F.slice(F.arrays_zip(F.col("header").alias("p"), F.col("line").alias("v")), F.lit(2), F.size("header")))
     long = rows.select("k.station", "k.rate", F.try_to_timestamp(F.col("line")[0]).alias("ts"), cell.alias("x"))
     return (long.filter(~F.col("x.p").isin("AirQualityStationEoICode", "AveragingTime"))
@@ -112,7 +117,7 @@ def read_result_files(spark: SparkSession, path: str) -> DataFrame:
 
     A time-based run always includes the model without parameters, so its row is added.
     """
-    rows = _lines_with_header(spark, path, "score").withColumn("k", parse_run_name(F.col("file")))
+    rows = _lines_with_header(spark, path).withColumn("k", parse_run_name(F.col("file")))
     cells = rows.select("k", F.map_from_arrays("header", "line").alias("m"))
     known = F.map_filter("m", lambda k, v: ~k.isin("", "index", "score", "model") & (v != ""))
     found = cells.select("k.*", F.col("m")["model"].alias("model"), known.alias("params"),
@@ -136,10 +141,16 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluation_files(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation CSV files named ``<station>-<rate>.csv``; the key becomes columns."""
-    key = parse_series_name(F.col("_metadata.file_path"))
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return clean_doubles(df.select("*", key["station"].alias("station"), key["rate"].alias("rate")))
+    """Evaluation CSV files named ``<station>-<rate>.csv``, read by each file's own header; the key becomes columns."""
+    rows = _lines_with_header(spark, path).select(parse_series_name(F.col("file")).alias("k"), F.map_from_arrays("header", "line").alias("m"))
+
+    def cell(name: str) -> Column:
+        text = F.try_element_at("m", F.lit(name))
+        kind = {"pollutant": "string", "model": "string", "distance": "int"}.get(name, "boolean" if name in RUN else "double")
+        return (text if kind == "string" else text.try_cast(kind)).alias(name)
+
+    names = [c for c in EVAL_COLUMNS if c not in (*STATION, "params")]
+    return clean_doubles(rows.select(F.col("k.station").alias("station"), F.col("k.rate").alias("rate"), *[cell(c) for c in names]))
 
 
 def write_reports(evaluation: DataFrame, path: str, fmt: str = "csv", names: list[str] | None = None) -> list[str]:

@@ -31,8 +31,10 @@ def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint:
 
     query = (reader.load(source).writeStream.foreachBatch(merge)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination(timeout) if timeout else query.awaitTermination()
+    finished = query.awaitTermination(timeout) if timeout else query.awaitTermination() or True
     query.stop()
+    if not finished:
+        raise TimeoutError(f"new files at {source} were not all merged within {timeout} s; call again to go on")
 
 
 def ingest_new_raw_files(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:

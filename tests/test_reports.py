@@ -48,10 +48,10 @@ def test_every_report_runs_and_is_written(spark, evaluation, tmp_path):
         assert report(evaluation).count() > 0, name
 
 
-@pytest.mark.parametrize("accuracy, margin", [(20_000, 5e-4), (50, 0.2)])
-def test_exact_median_of_skewed_groups(spark, monkeypatch, accuracy, margin):
+@pytest.mark.parametrize("accuracy, margins", [(20_000, stats.MARGINS), (200, [0.05, 0.1, 0.5])])
+def test_exact_median_of_skewed_groups(spark, monkeypatch, accuracy, margins):
     monkeypatch.setattr(stats, "ACCURACY", accuracy)
-    monkeypatch.setattr(stats, "MARGIN", margin)
+    monkeypatch.setattr(stats, "MARGINS", margins)
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("k"),
         F.when(F.col("id") % 3 == 1, F.lit(0.25)).otherwise(F.pmod(F.xxhash64("id"), F.lit(997)) / 7.0).alias("x"))
@@ -66,6 +66,17 @@ def test_exact_median_of_skewed_groups(spark, monkeypatch, accuracy, margin):
         assert found[k].x_mean == pytest.approx(statistics.fmean(v))
 
 
+def test_tied_means_do_not_depend_on_row_order(spark):
+    """Two models with the same mean, summed in orders that give different doubles: the smaller label wins each time."""
+    cells = [0.1, 0.2, 0.3, 0.7, 1e-3, 5.5]
+    for order in (cells, cells[::-1], sorted(cells, key=lambda v: -v % 0.4)):
+        rows = [("a", v) for v in cells] + [("b", v) for v in order]
+        for data in (rows, rows[::-1]):
+            df = spark.createDataFrame(data, "model string, x double").coalesce(1).withColumn("k", F.lit(1))
+            means = df.groupBy("k", "model").agg(stats.exact_mean("x").alias("x"))
+            assert stats.best_rows(means, ["k"], "x", "model").first().model == "a"
+
+
 def test_scores(spark):
     df = spark.createDataFrame([Row(k=1, actual=a, predicted=p) for a, p in zip([3.0, -0.5, 2.0, 7.0], [2.5, 0.0, 2.0, 8.0])])
     row = scores.with_norm_scores(scores.score(df, ["k"]).withColumn("norm_factor", F.lit(2.0))).first()

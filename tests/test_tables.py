@@ -133,3 +133,34 @@ def test_work_list(spark, hourly):
     assert worklist.work_list(few).filter("direct and not artificial").count() == 0
     assert worklist.with_results(hourly, done).count() == 9
     assert worklist.with_results(hourly, done.filter("station = 'none'")).count() == 0
+
+
+def test_first_merge_is_a_merge(spark, panel, tmp_path):
+    path = str(tmp_path / "store")
+    part = panel({"NO": [("2020-01-01 00:00:00", 1), ("2020-01-01 00:00:00", 1), ("2020-01-01 01:00:00", None)]})
+    tables.merge_measurements(part, path)
+    assert [(r.pollutant, r.value) for r in tables.read_measurements(spark, path).collect()] == [("NO", 1.0)]
+
+
+def test_density_pass_removes_lost_stations(spark, panel, tmp_path):
+    store, target = str(tmp_path / "store"), str(tmp_path / "dense")
+    hours = [(f"2020-01-0{d} {h:02}:00:00", 1) for d in (1, 2) for h in range(24)] + [("2020-01-03 00:00:00", 1)]
+    tables.merge_measurements(panel({"NO": hours}, station="S1").unionByName(panel({"NO": hours[::3]}, station="S2")), store)
+    tables.write_dense(spark, store, target, 0.1)
+    assert {r.station for r in tables.read_measurements(spark, target).select("station").collect()} == {"S1", "S2"}
+    tables.write_dense(spark, store, target, 0.9)
+    assert {r.station for r in tables.read_measurements(spark, target).select("station").collect()} == {"S1"}
+
+
+def test_a_value_like_a_header_word_is_data(spark, tmp_path):
+    name = "S1-hour-NO-distance=1-differenced=False-direct=True-artificial=True.csv"
+    (tmp_path / name).write_text("model,n_neighbors,score\nknn,3,0.5\nknn,score,0.6\nknn,5,0.7\n")
+    assert tables.read_result_files(spark, str(tmp_path)).count() == 3
+
+
+def test_evaluation_files_by_header(spark, tmp_path):
+    (tmp_path / "S1-hour.csv").write_text("pollutant,distance,model,mean_squared_error\nNO,1,knn,0.5\n")
+    (tmp_path / "S2-day.csv").write_text("model,fit_time,pollutant\nets,1.5,PM10\n")
+    rows = {r.station: r for r in tables.read_evaluation_files(spark, str(tmp_path)).collect()}
+    assert (rows["S1"].rate, rows["S1"].mean_squared_error, rows["S1"].fit_time) == ("H", 0.5, None)
+    assert (rows["S2"].rate, rows["S2"].model, rows["S2"].fit_time, rows["S2"].distance) == ("D", "ets", 1.5, None)
