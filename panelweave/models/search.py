@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -52,28 +52,36 @@ def best_params(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     return best.select(*keys, F.from_json("_b._p", "map<string,string>").alias("params"), F.col("_b.score").alias("score"))
 
 
+def squared_error(actual: Column, predicted: Column) -> Column:
+    return (actual - predicted) * (actual - predicted)
+
+
+def absolute_error(actual: Column, predicted: Column) -> Column:
+    return F.abs(actual - predicted)
+
+
 def knn_search(rows: DataFrame, draws: int | None = DRAWS, folds: int = FOLDS, seed: int = 0,
-               keys: Sequence[str] = RUN) -> DataFrame:
-    """Best neighbour count and weighting per run. One ranking up to the largest k scores every candidate."""
+               keys: Sequence[str] = RUN, loss: Callable[[Column, Column], Column] = squared_error) -> DataFrame:
+    """Best neighbour count and weighting per run by the mean of ``loss``. One ranking up to the largest k scores every candidate."""
     keys = list(keys)
     split = time_series_split(rows, folds, keys)
     near = nearest_rows(split.filter("in_train"), split.filter("in_test").select(*keys, "fold", "slot", "features", "label"),
                         [*keys, "fold"], MAX_NEIGHBOURS)
 
-    def squared_error(params: dict) -> Column:
-        error = F.col("label") - neighbour_value("near", F.lit(params["n_neighbors"]), F.lit(params["weights"]))
-        return error * error
+    def missed(params: dict) -> Column:
+        return loss(F.col("label"), neighbour_value("near", F.lit(params["n_neighbors"]), F.lit(params["weights"])))
 
     tried = candidates("knn", draws, seed)
     # One aggregate per candidate: rows are not multiplied by the candidates.
-    means = near.groupBy(*keys, "fold").agg(*[(-F.avg(squared_error(p))).alias(f"c{i}") for i, p in enumerate(tried)])
+    means = near.groupBy(*keys, "fold").agg(*[(-F.avg(missed(p))).alias(f"c{i}") for i, p in enumerate(tried)])
     scored = means.select(*keys, "fold", F.inline(F.array(*[
         F.struct(params_literal(p).alias("params"), F.col(f"c{i}").alias("score")) for i, p in enumerate(tried)])))
     return best_params(scored, keys)
 
 
-def linear_search(rows: DataFrame, folds: int = FOLDS, keys: Sequence[str] = RUN) -> DataFrame:
-    """Cross-validated score of linear regression.
+def linear_search(rows: DataFrame, folds: int = FOLDS, keys: Sequence[str] = RUN,
+                  loss: Callable[[Column, Column], Column] = squared_error) -> DataFrame:
+    """Cross-validated score of linear regression by the mean of ``loss``.
 
     Normalising inputs does not change its forecasts, so both candidates score alike and the first is taken.
     """
@@ -82,6 +90,5 @@ def linear_search(rows: DataFrame, folds: int = FOLDS, keys: Sequence[str] = RUN
     split = time_series_split(rows, folds, keys)
     coef = least_squares(split.filter("in_train"), fold_keys).select(*fold_keys, "intercept", "coef")
     test = spread_join(split.filter("in_test"), coef, fold_keys, spread=("slot",))
-    error = F.col("label") - linear_value()
-    scored = test.groupBy(*fold_keys).agg((-F.avg(error * error)).alias("score"))
+    scored = test.groupBy(*fold_keys).agg((-F.avg(loss(F.col("label"), linear_value()))).alias("score"))
     return best_params(scored.withColumn("params", params_literal({"normalize": True})), keys)

@@ -368,6 +368,14 @@ def knn_cv_best(spark, sf_dir):
     return rounded(found.select(*SERIES, best["n_neighbors"].alias("n_neighbors"), best["weights"].alias("weights"), "score"))
 
 
+def knn_cv_best_absolute(spark, sf_dir):
+    """The same search scored by the mean absolute error."""
+    rows = supervised.direct_rows(cut_lineage(hourly_grid(spark, sf_dir, 1)), "H", [1])
+    found = search.knn_search(cut_lineage(rows), draws=None, loss=search.absolute_error)
+    best = params.typed_params("knn", F.col("params"))
+    return rounded(found.select(*SERIES, best["n_neighbors"].alias("n_neighbors"), best["weights"].alias("weights"), "score"))
+
+
 def _linear(spark, sf_dir, n: int) -> DataFrame:
     grid = hourly_grid(spark, sf_dir)
     rows = over_series(grid, lambda w: [F.array(*series.lag_columns(w, n)).alias("features"),
@@ -555,7 +563,8 @@ QUERIES = {f.__name__: f for f in (
     difference, difference_irregular, dedifference, rotate_left, target_shift, horizon_explode, minmax_scale,
     minmax_rescale, scaled_sequences, other_series_features, feature_gate, todo_anti_join, with_results_semi_join,
     run_setups, run_name_build, run_name_parse, report_name_build, params_roundtrip, score_naive,
-    score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, linreg_one_feature,
+    score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, knn_cv_best_absolute,
+    linreg_one_feature,
     linreg_two_features, linreg_multi, tree, forest, holt_winters, ar_forecast, fourier_forecast, param_grid_search,
     backtest_evaluate, backtest_predictions, merge_stored, stored_evaluation, stored_results, incremental_ingest, stored_dense,
     station_files, evaluation_files)}

@@ -307,6 +307,10 @@ ORACLE: dict[str, str] = {
       ELSE SUM(y / NULLIF(d, 0)) / SUM(1 / NULLIF(d, 0)) END, 6) AS predicted FROM top GROUP BY {KEY}, label""",
     "knn_cv_best": f"""{_KNN_CV} SELECT station, rate, pollutant, CAST(k AS INT) AS n_neighbors, weights, ROUND(score, 6) AS score FROM cv
       QUALIFY ROW_NUMBER() OVER (PARTITION BY station, rate, pollutant ORDER BY score DESC) = 1""",
+    "knn_cv_best_absolute": f"""{_KNN_CV.replace("AVG((label - sy / k) ** 2)", "AVG(ABS(label - sy / k))").replace(
+        "AVG((label - CASE WHEN hits > 0 THEN sh / hits ELSE sw / w END) ** 2)", "AVG(ABS(label - CASE WHEN hits > 0 THEN sh / hits ELSE sw / w END))")}
+      SELECT station, rate, pollutant, CAST(k AS INT) AS n_neighbors, weights, ROUND(score, 6) AS score FROM cv
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY station, rate, pollutant ORDER BY score DESC) = 1""",
     "linreg_one_feature": f"""{_DESIGN} SELECT station, rate, pollutant, ROUND(regr_intercept(y, a), 6) AS intercept, ROUND(regr_slope(y, a), 6) AS coef_1,
       COUNT(*) AS n FROM rows_ WHERE y IS NOT NULL GROUP BY ALL""",
     "linreg_two_features": f"""{_DESIGN}, c AS (SELECT station, rate, pollutant, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, VAR_POP(a) AS saa, VAR_POP(b) AS sbb,
