@@ -100,6 +100,12 @@ def ingest(raw: DataFrame) -> DataFrame:
     return merge_newest_wins(parts, F.struct("_file_time", "_file_path"))
 
 
+def rejected(raw: DataFrame) -> DataFrame:
+    """The rows that ``ingest`` leaves out because their time cannot be read, with the reason."""
+    kept = to_measurements(drop_bulk_samples(raw))
+    return kept.filter(F.col("ts").isNull()).withColumn("reason", F.lit("unreadable time"))
+
+
 def with_station_info(df: DataFrame, stations: DataFrame) -> DataFrame:
     """Attach coordinates from a station table; of several entries the first counts (by latitude, longitude)."""
     place = F.struct("latitude", "longitude")

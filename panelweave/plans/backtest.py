@@ -167,6 +167,11 @@ def evaluate(grid: DataFrame, results: DataFrame, models: Sequence[str] = MODELS
     return evaluation_table(forecast, factors), predictions_table(forecast)
 
 
+def failed_runs(results: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """Stored runs that the evaluation has no row for, as no forecast could be made."""
+    return results.join(evaluation.select(*RUN, "model"), [*RUN, "model"], "left_anti").select(*RUN, "model", "params")
+
+
 def evaluation_table(forecast: DataFrame, factors: DataFrame) -> DataFrame:
     extra = [F.any_value("params").alias("params"), F.max("fit_time").alias("fit_time"),
              F.sum("prediction_time").alias("prediction_time")]
