@@ -2,16 +2,18 @@
 
 A classifier learned from a labelled table gives every document posterior probabilities of the domains. Each document gets
 a nonnegative rate such that the expected tokens of the domains (rate times tokens times posterior, summed) come as close to
-the targets as they can in the least-squares sense. The fit is projected gradient descent over all documents: a step is
-one aggregation that returns one number per domain, and a rate is a fold over the few vectors of past steps, so no rates are
-stored or gathered between steps.
+the targets as they can in the least-squares sense; of all rates that do, those nearest to 1 are taken. Such rates are
+1 minus one number per domain times the posterior, cut off at the bounds, so only those few numbers are searched, by Newton's
+method on the dual. A step is one aggregation over all documents; no rates are stored or gathered between steps.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ from panelweave.llm.quality_rules import words
 
 #: Expected labelled rows learned from; bins per statistic; cue words per domain; largest weight of one cue word.
 MAX_ROWS, BINS, CUE_WORDS, CUE_LIMIT = 20_000, 8, 40, 6.0
-#: Most steps, and the relative miss at which they end.
-STEPS, CLOSE = 25, 1e-4
+#: Most steps, after which an unfinished fit raises, and the relative miss at which they end.
+STEPS, CLOSE = 500, 1e-4
+#: Weights of the distance from 1 beside the squared misses, one after the other until the misses are met or stay.
+PULLS = [10.0 ** -k for k in range(3, 13)]
 STATISTICS = ["log_words", "word_length", "symbol_share", "mark_share", "upper_share", "distinct_share"]
 
 
@@ -120,37 +124,103 @@ def with_posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", t
     return shares.select("doc_id", "n_tokens", F.transform("_e", lambda x: x / whole).alias("posterior"))
 
 
-def rate_column(history: list[list[float]], most: float | None) -> Column:
-    """A document's rate after the steps so far: start at 1, subtract each step's vector times the posterior, project."""
-    def step(rate: Column, vector: Column) -> Column:
-        move = F.aggregate(F.zip_with("posterior", vector, lambda p, g: p * g), F.lit(0.0), lambda t, x: t + x)
-        lowered = F.greatest(rate - move, F.lit(0.0))
-        return lowered if most is None else F.least(lowered, F.lit(float(most)))
+@dataclass(frozen=True)
+class Rates:
+    """A document's rate is 1 minus ``shift`` times its posterior, from 0 to the bound. ``misses`` of the totals are relative."""
+
+    shift: tuple[float, ...]
+    misses: tuple[float, ...]
+    steps: int
+
+    @property
+    def reached(self) -> bool:
+        return max(map(abs, self.misses), default=0.0) < CLOSE
+
+
+def _moved(shift: tuple[float, ...]) -> Column:
+    """The rate before it is cut off."""
+    move = F.aggregate(F.zip_with("posterior", F.array(*[F.lit(float(v)) for v in shift]), lambda p, g: p * g), F.lit(0.0), lambda t, x: t + x)
+    return F.lit(1.0) - move
+
+
+def _bounded(rate: Column, most: float | None) -> Column:
+    lowered = F.greatest(rate, F.lit(0.0))
+    return lowered if most is None else F.least(lowered, F.lit(float(most)))
+
 
-    if not history:
-        return F.lit(1.0)
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in vector]) for vector in history]), F.lit(1.0), step)
+def rate_column(fitted: Rates, most: float | None) -> Column:
+    """A document's rate."""
+    return _bounded(_moved(fitted.shift) if any(fitted.shift) else F.lit(1.0), most)
 
 
-def fit_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = STEPS) -> list[list[float]]:
-    """The steps of projected gradient descent on the squared misses of the domain totals, each scaled by its domain's tokens.
+def fit_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = STEPS) -> Rates:
+    """The rates nearest to 1 whose domain totals meet ``targets``, or miss them least (squares, each over its domain's tokens).
 
-    ``members`` has ``n_tokens`` and ``posterior`` and is read once per step.
+    ``members`` has ``n_tokens`` and ``posterior`` and is read once per step. A miss is relative to the target or to the domain's
+    tokens, whichever is smaller. The search ends when all are below ``CLOSE``, or when a hundredth of the pull towards 1 no
+    longer changes them: then the targets cannot be met, and the result's ``misses`` tell by how much. Running out of
+    ``steps`` before either raises.
     """
-    def totals(rate: Column) -> list[float]:
-        row = members.agg(*[F.sum(rate * F.col("n_tokens") * F.element_at("posterior", k + 1)) for k in range(len(targets))]).first()
-        return [float(v or 0) for v in row]
-
-    history: list[list[float]] = []
-    mass = totals(F.lit(1.0))
-    now, before = mass, None
-    while len(history) < steps:
-        misses = [(n - t) / m if m else 0.0 for n, t, m in zip(now, targets, mass)]
-        if not misses or max(map(abs, misses)) < CLOSE or before is not None and max(abs(a - b) for a, b in zip(misses, before)) < CLOSE / 10:
+    size = len(targets)
+    wanted = np.array(targets, float)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def measure(shift: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of all documents at ``shift``: the dual's sum, the totals, and the curvature by those whose rate is free."""
+        free = F.col("moved") >= 0
+        if most is not None:
+            free = free & (F.col("moved") <= float(most))
+        each = members.select("n_tokens", *[F.element_at("posterior", k + 1).alias(f"p{k}") for k in range(size)], _moved(tuple(shift)).alias("moved"))
+        each = each.withColumn("rate", _bounded(F.col("moved"), most)).withColumn("free", F.when(free, F.col("n_tokens")).otherwise(0))
+        row = each.agg(F.sum(F.col("n_tokens") * F.col("rate") * (F.col("moved") - F.col("rate") / 2)),
+                       *[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p{k}")) for k in range(size)],
+                       *[F.sum(F.col("free") * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
+        values = [float(v or 0) for v in row]
+        bend = np.zeros((size, size))
+        for (i, j), v in zip(pairs, values[1 + size:]):
+            bend[i, j] = bend[j, i] = v
+        return values[0], np.array(values[1: 1 + size]), bend
+
+    if not size:
+        return Rates((), (), 0)
+    shift = np.zeros(size)
+    row = members.agg(*[F.sum(F.col("n_tokens") * F.element_at("posterior", k + 1)) for k in range(size)]).first()
+    mass = np.array([float(v or 0) for v in row])
+    live = mass > 0  # a domain without tokens has no total to move
+    scale = np.where(live, np.where(wanted > 0, np.minimum(mass, wanted), mass), np.where(wanted > 0, wanted, 1.0))
+    if not live.any():
+        return Rates((0.0,) * size, tuple(((mass - wanted) / scale).tolist()), 0)
+    now, before, taken = measure(shift), None, 0
+
+    def value(found: tuple, at: np.ndarray, pull: float) -> float:
+        return found[0] + at @ wanted + pull / 2 * (mass * at * at).sum()
+
+    for pull in PULLS:
+        while True:
+            misses = (now[1] - wanted) / scale
+            if np.abs(misses[live]).max() < CLOSE:
+                break
+            slope = np.where(live, wanted - now[1] + pull * mass * shift, 0.0)
+            if np.abs(slope / scale).max() < CLOSE / 100:
+                break
+            root = np.sqrt(mass[live])
+            bend = now[2][np.ix_(live, live)] / np.outer(root, root) + pull * np.eye(int(live.sum()))
+            step = np.zeros(size)
+            step[live] = -np.linalg.solve(bend, slope[live] / root) / root
+            share, down, old = 1.0, float(step @ slope), value(now, shift, pull)
+            while True:  # halve until the dual falls as the slope promises; rounding of sums is let pass
+                if taken >= steps:
+                    raise RuntimeError(f"rates not settled after {steps} steps, relative misses {misses.tolist()}")
+                found, taken = measure(shift + share * step), taken + 1
+                if value(found, shift + share * step, pull) <= old + 1e-4 * share * down + 1e-12 * abs(old):
+                    break
+                share /= 2
+            shift, now = shift + share * step, found
+        misses = (now[1] - wanted) / scale
+        if np.abs(misses[live]).max() < CLOSE or before is not None and np.abs(misses - before).max() < CLOSE / 10:
             break
-        history.append(misses)
-        now, before = totals(rate_column(history, most)), misses
-    return history
+        before = misses
+    return Rates(tuple(shift.tolist()), tuple(misses.tolist()), taken)
 
 
 def mix(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", anchor: str | None = None,
@@ -159,22 +229,25 @@ def mix(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: st
 
     ``weights`` are target shares of the domains, made to sum to 1 over those that were learned; others and weights of
     unknown domains count as 0. The target total is all tokens, or what leaves the ``anchor`` domain's total as it is.
-    ``most`` bounds every rate. ``copies`` rounds the rate up or down by the hash of the id, so that it is right on average. An
+    ``most`` bounds every rate. Targets that no rates reach are missed as little as can be, with a warning that says by how
+    much. ``copies`` rounds the rate up or down by the hash of the id, so that it is right on average. An
     empty text has 0 tokens and a rate like any other; without labelled rows every rate is 1 and ``domain`` is NULL. Every row is
     judged by itself; other columns are not read. An empty table gives an empty result.
     """
     members = stage(with_posteriors(docs, domains, id_col, text_col), "memberships") if domains.names else (
         docs.select(F.col(id_col).alias("doc_id"), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior")))
     wanted = [max(0.0, weights.get(k, 0.0)) for k in domains.names]
-    history: list[list[float]] = []
+    fitted = Rates((), (), 0)
     if sum(wanted) > 0:
         wanted = [w / sum(wanted) for w in wanted]
         row = members.agg(*[F.sum(F.col("n_tokens") * F.element_at("posterior", k + 1)) for k in range(len(wanted))]).first()
         mass = [float(v or 0) for v in row]
         place = domains.names.index(anchor) if anchor in domains.names else None
         total = sum(mass) if place is None or not wanted[place] else mass[place] / wanted[place]
-        history = fit_rates(members, [w * total for w in wanted], most)
-    rate = F.round(rate_column(history, most), 6)
+        fitted = fit_rates(members, [w * total for w in wanted], most)
+        if not fitted.reached:
+            warnings.warn(f"mixing targets are out of reach; relative misses {dict(zip(domains.names, fitted.misses))}", stacklevel=2)
+    rate = F.round(rate_column(fitted, most), 6)
     share = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     best = F.array_max("posterior")
     names = F.array(*[F.lit(k) for k in domains.names]).cast("array<string>")

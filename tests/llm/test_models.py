@@ -139,6 +139,30 @@ def test_gradient_steps_against_a_plain_loop(spark):
     assert got == pytest.approx(targets, rel=0.02)
 
 
+def test_soft_posteriors_meet_the_targets_with_default_steps(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1, 100), [p, 1 - p]) for i in range(50) for p in [rng.random()]]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+
+    def totals(targets, most):
+        fitted = mixing.fit_rates(members, targets, most)
+        rates = {r["doc_id"]: r["rate"] for r in members.select("doc_id", mixing.rate_column(fitted, most).alias("rate")).collect()}
+        assert all(0 <= r <= (most or r) for r in rates.values())
+        return fitted, rates, [sum(rates[i] * t * p[k] for i, t, p in rows) for k in range(2)]
+
+    for targets, most in (([1500.0, 300.0], None), ([300.0, 700.0], 1.0), ([900.0, 900.0], 2.0)):
+        fitted, _, got = totals(targets, most)
+        assert fitted.reached and got == pytest.approx(targets, rel=1e-4)
+    mass = [sum(t * p[k] for _, t, p in rows) for k in range(2)]
+    targets = [mass[0], 0.05 * mass[1]]  # out of reach with rates up to 1: the least squares, by the conditions on its slope
+    fitted, rates, got = totals(targets, 1.0)
+    assert not fitted.reached and fitted.misses == pytest.approx([(g - w) / w for g, w in zip(got, targets)], abs=1e-6)
+    pull = [(g - w) / m for g, w, m in zip(got, targets, mass)]
+    for i, _, p in rows:
+        slope = p[0] * pull[0] + p[1] * pull[1]
+        assert rates[i] == (0 if slope > 0.003 else 1 if slope < -0.003 else pytest.approx(0.5, abs=0.5))
+
+
 def test_mixing_without_labels_or_rows(spark, corpus):
     docs, marked = mixing_corpus(corpus, spark)
     domains = mixing.fit_domains(docs, marked.filter(F.lit(False)))
