@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from panelweave.llm.common import stage, without_ids
+from panelweave.llm.common import stage
 
 #: Shares of tokens that the mix aims at; the total of good text stays as it is, and nothing is repeated.
 WEIGHTS = {"high": 0.95, "low": 0.05}
@@ -38,8 +38,7 @@ def reject_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
     domains = mixing.fit_domains(docs, _labels(spark, sf_dir).select("doc_id", domain.alias("domain")))
-    mixed = mixing.mix(docs, domains, WEIGHTS, anchor="high", most=1.0)
-    return without_ids(docs, mixed.filter("copies = 0").select("doc_id"), "doc_id")
+    return mixing.mixed_rows(docs, domains, WEIGHTS, anchor="high", most=1.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import stage, without_ids
+from panelweave.llm.common import stage
 
 #: Distinct keys that a bucket holds before it splits.
 CAPACITY = 50_000
@@ -109,7 +109,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose text another row keeps."""
-    groups = exact_groups(docs, id_col, text_col, **limits)
-    return without_ids(docs, groups.filter("not kept").select(id_col), id_col)
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+                          slot_bits: int = SLOT_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group of equal texts.
+
+    That is a row of ``keep_id``; of several such rows one is chosen by hashes of text and columns. Rows are judged by their
+    text, so one without id or of a repeated id goes only if its own text is kept elsewhere. Texts travel only where a
+    key's hash slot holds copies, and copies collapse in the reading task.
+    """
+    _, index = build_index(docs, id_col, text_col, capacity, slot_bits)
+    slot = F.pmod("key", F.lit(1 << slot_bits)).alias("slot")
+    slots = F.broadcast(index.filter("group_size > 1").select(slot).distinct())  # 2 ** slot_bits numbers at most
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = [F.xxhash64(text), F.xxhash64(*[docs[f"`{c}`"] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])]
+    order = F.struct((-F.length(text)).alias("n"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), hashed[0].alias("text"), hashed[1].alias("all"))
+    rows = docs.select(F.struct("*").alias("row"), order.alias("order"), normal_form(F.col(text_col)).alias("form"))
+    rows = rows.withColumn("key", F.xxhash64("form")).withColumn("slot", slot)
+    sure = rows.join(slots, "slot", "left_anti").select("row.*")
+    doubt = rows.join(slots, "slot", "left_semi").select("row", "order", "key", F.sha2("form", 256).alias("digest"))
+    chosen = doubt.groupBy("key", "digest").agg(F.min_by("row", "order").alias("row"))  # the index has compared the bytes
+    return sure.unionByName(chosen.select("row.*"))

@@ -105,9 +105,9 @@ def added(found: str, table: Column) -> Column:
     return F.aggregate(found, F.lit(0.0), lambda total, word: total + F.element_at(table, word))
 
 
-def with_posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``posterior``, an array by domain name in order."""
-    counted = statistics(docs, id_col, text_col)
+def with_posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
+    """``doc_id``, columns to keep, ``n_tokens`` and ``posterior``, an array by domain name in order."""
+    counted = statistics(docs, id_col, text_col, *keep)
     for s, cuts in domains.cuts.items():
         counted = counted.withColumn(f"_{s}", bin_of(s, cuts))
     met = F.array_intersect("_lower", F.array(*[F.lit(w) for w in domains.cues]).cast("array<string>"))
@@ -119,9 +119,9 @@ def with_posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", t
             total = total + F.element_at(F.array(*[F.lit(row[i]) for row in table]), F.col(f"_{s}") + 1)
         for_word = F.map_from_arrays(F.array(*[F.lit(w) for w in domains.cues]), F.array(*[F.lit(v[i]) for v in domains.cues.values()])) if domains.cues else None
         logs.append(total if for_word is None else total + added("_met", for_word))
-    shares = counted.select("doc_id", "n_tokens", F.array(*logs).alias("_logs")).withColumn("_e", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))))
+    shares = counted.select("doc_id", *keep, "n_tokens", F.array(*logs).alias("_logs")).withColumn("_e", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))))
     whole = F.aggregate("_e", F.lit(0.0), lambda t, x: t + x)
-    return shares.select("doc_id", "n_tokens", F.transform("_e", lambda x: x / whole).alias("posterior"))
+    return shares.select("doc_id", *keep, "n_tokens", F.transform("_e", lambda x: x / whole).alias("posterior"))
 
 
 @dataclass(frozen=True)
@@ -223,19 +223,14 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     return Rates(tuple(shift.tolist()), tuple(misses.tolist()), taken)
 
 
-def mix(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", anchor: str | None = None,
-        most: float | None = None) -> DataFrame:
-    """One row per document: the id, ``n_tokens``, ``domain`` (the likeliest), ``posterior`` of it, ``rate``, ``copies``.
-
-    ``weights`` are target shares of the domains, made to sum to 1 over those that were learned; others and weights of
-    unknown domains count as 0. The target total is all tokens, or what leaves the ``anchor`` domain's total as it is.
-    ``most`` bounds every rate. Targets that no rates reach are missed as little as can be, with a warning that says by how
-    much. ``copies`` rounds the rate up or down by the hash of the id, so that it is right on average. An
-    empty text has 0 tokens and a rate like any other; without labelled rows every rate is 1 and ``domain`` is NULL. Every row is
-    judged by itself; other columns are not read. An empty table gives an empty result.
-    """
-    members = stage(with_posteriors(docs, domains, id_col, text_col), "memberships") if domains.names else (
-        docs.select(F.col(id_col).alias("doc_id"), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior")))
+def rated(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: str, text_col: str, anchor: str | None, most: float | None,
+          *keep: Column) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id``, columns to keep, ``n_tokens``, ``posterior``, ``rate``, ``copies``."""
+    names = [f"_keep{i}" for i in range(len(keep))]
+    coin = F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_whole"), coin.alias("_coin"), *[c.alias(n) for c, n in zip(keep, names)])
+    members = stage(with_posteriors(rows, domains, "doc_id", "_whole", "_coin", *names), "memberships") if domains.names else (
+        rows.select("doc_id", "_coin", *names, F.size(words(F.coalesce("_whole", F.lit("")))).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior")))
     wanted = [max(0.0, weights.get(k, 0.0)) for k in domains.names]
     fitted = Rates((), (), 0)
     if sum(wanted) > 0:
@@ -248,12 +243,32 @@ def mix(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: st
         if not fitted.reached:
             warnings.warn(f"mixing targets are out of reach; relative misses {dict(zip(domains.names, fitted.misses))}", stacklevel=2)
     rate = F.round(rate_column(fitted, most), 6)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
+    return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_coin")).cast("long"))
+
+
+def mix(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", anchor: str | None = None,
+        most: float | None = None) -> DataFrame:
+    """One row per document: the id, ``n_tokens``, ``domain`` (the likeliest), ``posterior`` of it, ``rate``, ``copies``.
+
+    ``weights`` are target shares of the domains, made to sum to 1 over those that were learned; others and weights of
+    unknown domains count as 0. The target total is all tokens, or what leaves the ``anchor`` domain's total as it is.
+    ``most`` bounds every rate. Targets that no rates reach are missed as little as can be, with a warning that says by how
+    much. ``copies`` rounds the rate up or down by the hash of the id and text, so that it is right on average. An
+    empty text has 0 tokens and a rate like any other; without labelled rows every rate is 1 and ``domain`` is NULL. Every row is
+    judged by itself; other columns are not read. An empty table gives an empty result.
+    """
     best = F.array_max("posterior")
     names = F.array(*[F.lit(k) for k in domains.names]).cast("array<string>")
-    rated = members.withColumn("rate", rate).withColumn("best", best)
-    return rated.select(F.col("doc_id").alias(id_col), "n_tokens", F.when(F.col("best").isNotNull(), F.get(names, (F.array_position("posterior", F.col("best")) - 1).cast("int"))).alias("domain"),
-                        F.round("best", 6).alias("posterior"), "rate", F.floor(F.col("rate") + share).cast("long").alias("copies"))
+    found = rated(docs, domains, weights, id_col, text_col, anchor, most).withColumn("best", best)
+    return found.select(F.col("doc_id").alias(id_col), "n_tokens", F.when(F.col("best").isNotNull(), F.get(names, (F.array_position("posterior", F.col("best")) - 1).cast("int"))).alias("domain"),
+                        F.round("best", 6).alias("posterior"), "rate", "copies")
+
+
+def mixed_rows(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", anchor: str | None = None,
+               most: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its own ``copies`` in ``mix``, whatever other rows share its id."""
+    found = rated(docs, domains, weights, id_col, text_col, anchor, most, F.struct("*")).filter("copies > 0")
+    return found.select("_keep0", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_keep0.*")
 
 
 def take_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -187,6 +187,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, one document of each component."""
-    groups = near_groups(docs, id_col, text_col, percent)
-    return without_ids(docs, groups.filter("not kept").select(id_col), id_col)
+    """The rows of ``docs``, all columns, one document of each component.
+
+    A document here is an id with a text, so one without id or of a repeated id is judged by its own text; those with an id
+    come before those without. Rows that repeat an id and text share their verdict.
+    """
+    row_id = "_row_id" + "_" * max(map(len, docs.columns))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
+    named = docs.withColumn(row_id, name)
+    groups = near_groups(named, row_id, text_col, percent)
+    return without_ids(named, groups.filter("not kept").select(row_id), row_id).drop(row_id)

@@ -57,3 +57,32 @@ def test_pipeline_stages_on_an_empty_table(spark):
     nothing = spark.read.parquet(f"{SF}/documents.parquet").filter(F.lit(False))
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, nothing, SF).count() == 0, name
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    """Rows without id, and rows of one id with different texts, go or stay by their own text; repeats leave one row."""
+    from panelweave.llm import exact_dedup, mixing, near_dedup
+
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(None, "a", "x"), (3, "a", "x"), (3, "a", "y"), (None, "unique", "x"), (None, "twice", "x"), (None, "twice", "x"), (3, "other", "x"),
+                                  (3, "a ", "x"), (4, "other", "x"), (5, None, "x"), (5, " ", "x")], schema)
+    for limits in ({}, {"capacity": 1, "slot_bits": 1}):
+        left = exact_dedup.drop_exact_duplicates(docs, **limits)
+        assert left.columns == docs.columns
+        assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("3", "a "), ("3", "other"), ("5", " "), ("None", "twice"), ("None", "unique")]
+
+    first, second, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "pqr")
+    docs = spark.createDataFrame([(3, first, "x"), (5, first + " more", "x"), (5, second, "x"), (None, second + " more", "x"), (None, third, "x")], schema)
+    left = near_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("3", first), ("5", second), ("None", third)]
+
+    low, high = [f"ALPHA!! BETA!! GAMMA!! {k}!!" for k in range(40)], [f"alpha beta gamma delta {k}" for k in range(40)]
+    rows = [(i, t, "x") for i, t in enumerate(high + low)]
+    domains = mixing.fit_domains(spark.createDataFrame(rows, schema), spark.createDataFrame([(i, "high" if i < 40 else "low") for i in range(80)], "doc_id long, domain string"))
+    docs = spark.createDataFrame([(None if k % 2 else 7, t, "x") for k, t in enumerate(high + low)], schema)
+    mixed = mixing.mixed_rows(docs, domains, {"high": 1.0, "low": 1.0}, anchor="high", most=1.0)
+    assert mixed.columns == docs.columns and {r["text"] for r in mixed.collect()} >= set(high)
+    half = mixing.mixed_rows(docs, domains, {"high": 0.67, "low": 0.33}, anchor="high", most=1.0)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in half.collect())
+    assert set(high) <= {t for _, t in kept} and all(0 < sum(i == n and "ALPHA" in t for i, t in kept) < 20 for n in ("7", "None"))
