@@ -124,12 +124,16 @@ class PieceIds:
 
 
 def split_words(text: str) -> list[str]:
-    """The words between white space, lower-cased where that is the same letter by letter, so that fewer differ."""
+    """The words between white space, lower-cased where that is the same letter by letter, so that fewer differ.
+
+    Special tokens are matched before letters are lowered, so a text that could hold one stays as it is.
+    """
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return WORD.findall(text)
-    text = text.lower()
+    if "<|" not in text:
+        text = text.lower()
     return WORD.findall(text) if any(c in text for c in _NO_SPACE) else text.split()
 
 

@@ -57,6 +57,14 @@ def test_packed_ids_equal_the_library(corpus, awkward):
     assert sum(r["n_tokens"] for r in whole) == packed.agg(F.sum("length")).first()[0]
 
 
+def test_special_tokens_are_matched_as_written(corpus):
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> Next", "A B<|endoftext|>C <|StartOfText|>", "<|STARTOFTEXT|>x<|startoftext|>", "WORDS < | Pipe <|", "É<|EndofText|>"]
+    found = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack(corpus(list(enumerate(texts))), WORDS, capacity=64, with_ids=True).collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes(), text
+
+
 def check_places(rows, capacity):
     by = {}
     for r in rows:
