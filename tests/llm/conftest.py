@@ -1,10 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Column names that operators use inside, to see that none clashes.
 CLASHING = ["score", "predicted", "kept", "keep_id", "key", "digest", "slot", "length", "piece", "kind", "rate", "copies", "_slot", "_text", "lang_pred"]
