@@ -1,5 +1,4 @@
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -8,7 +7,9 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
-from panelweave.operators.blocks import with_grid_slot, with_row_slot  # noqa: E402
+from panel_helpers import t  # noqa: E402
+
+from panelweave.operators.blocks import with_grid_slot  # noqa: E402
 from panelweave.schemas import MEASUREMENTS_SCHEMA  # noqa: E402
 from panelweave.session import build_session  # noqa: E402
 
@@ -23,10 +24,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def t(text: str) -> datetime:
-    return datetime.fromisoformat(text)
-
-
 @pytest.fixture(scope="session")
 def panel(spark):
     """Build measurements from ``{pollutant: [(time, value), …]}``."""
@@ -53,13 +50,3 @@ def hourly(panel):
 def short(panel):
     """Gap-free series 1, 2, 4, 8 with slots."""
     return with_grid_slot(panel({"NO": [(f"2020-01-01 0{i}:00:00", v) for i, v in enumerate([1, 2, 4, 8])]}))
-
-
-def values(df, pollutant=None, column="value"):
-    """Values of one series in time order."""
-    rows = df.filter(df.pollutant == pollutant) if pollutant else df
-    return [r[column] for r in rows.orderBy("ts").collect()]
-
-
-def numbered(df):
-    return with_row_slot(df)

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import numbered, values
+from panel_helpers import numbered, values
 from pyspark.sql import functions as F
 
 from panelweave.operators.blocks import with_grid_slot

@@ -1,5 +1,5 @@
 import pytest
-from conftest import numbered, values
+from panel_helpers import numbered, values
 from pyspark.sql import functions as F
 
 from panelweave.functions import params as p

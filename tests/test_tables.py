@@ -1,4 +1,4 @@
-from conftest import t, values
+from panel_helpers import t, values
 from pyspark.sql import functions as F
 
 from panelweave.functions import names
