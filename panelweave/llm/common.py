@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,31 @@ from pyspark.sql import functions as F
 from panelweave.session import shared_dir
 
 #: Bytes of text that an Arrow function works on at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+_Held = TypeVar("_Held")
+_held: dict[Hashable, object] = {}
+
+
+def process_state(key: Hashable, build: Callable[[], _Held]) -> _Held:
+    """What the tasks of one operator share in a worker process, such as a tokenizer and remembered words.
+
+    A process keeps the state of one operator at a time: a task of another operator drops it and returns the memory.
+    """
+    if key not in _held:
+        give_back()
+        _held[key] = build()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Drop the state of earlier operators from this worker process and return freed memory to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

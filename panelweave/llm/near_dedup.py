@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import slices, stage, text_bytes, without_ids
+from panelweave.llm.common import give_back, slices, stage, text_bytes, without_ids
 from panelweave.llm.components import connected_components
 from panelweave.llm.words import find_words, hash_spans, mix, windows
 
@@ -75,6 +75,7 @@ _SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField
 def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Size of the shingle set, digest of the set, band numbers (none for an empty set)."""
     names = np.arange(BANDS, dtype=np.uint64)
+    give_back()
     for batch in batches:
         sizes, digests, bands = [], [], []
         for part in slices(batch):
@@ -97,6 +98,7 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The whole shingle set of each text."""
+    give_back()
     for batch in batches:
         out = []
         for part in slices(batch):

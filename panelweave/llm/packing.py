@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from panelweave.llm.common import slices, stage
+from panelweave.llm.common import process_state, slices, stage
 from panelweave.llm.token_count import SEGMENT, SHORT, segments
 
 CAPACITY, END_ID = 2048, 0
@@ -137,15 +137,9 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(text) if any(c in text for c in _NO_SPACE) else text.split()
 
 
-_encoders: dict[str, PieceIds] = {}
-
-
 def encoder_for(definition: str) -> PieceIds:
     """The encoder of this process: tasks that follow each other share the tokenizer and what it remembers."""
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = PieceIds(definition)
-    return _encoders[definition]
+    return process_state(("packing", definition), lambda: PieceIds(definition))
 
 
 _PIECE = T.StructType([T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])

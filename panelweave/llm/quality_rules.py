@@ -16,8 +16,8 @@ from panelweave.llm.common import sample_share
 
 #: Words of a repeated window; expected labelled rows learned from.
 WINDOW, MAX_ROWS = 8, 20_000
-#: Thresholds tried per statistic, most conditions of a rule, most rules.
-CUTS, MAX_CONDITIONS, MAX_RULES = 24, 4, 12
+#: Most conditions of a rule, so that it can be read; the number of rules and the thresholds are not bounded.
+MAX_CONDITIONS = 4
 #: Share of bad rows that a pruned rule must reach on rows it was not grown on, and rows it must cover there.
 PRECISION, LEAST_ROWS = 0.97, 3
 
@@ -103,8 +103,11 @@ def precision(rule: Rule, rows: list[dict]) -> tuple[float, int]:
     return (sum(bad) + 1) / (len(bad) + 2), len(bad)
 
 
-def grow(rows: list[dict], cuts: dict[str, list[float]]) -> Rule:
-    """Add the condition with the largest gain in information about bad rows until no good row is left."""
+def grow(rows: list[dict]) -> Rule:
+    """Add the condition with the largest gain in information about bad rows until no good row is left.
+
+    Thresholds are the midpoints between neighbouring values at which the share of bad rows changes; no other can gain more.
+    """
     from math import log2
 
     rule: Rule = ()
@@ -112,14 +115,21 @@ def grow(rows: list[dict], cuts: dict[str, list[float]]) -> Rule:
     while len(rule) < MAX_CONDITIONS and any(not r["bad"] for r in inside) and any(r["bad"] for r in inside):
         bad, size = sum(r["bad"] for r in inside), len(inside)
         best, gain = None, 1e-9
-        for name, values in cuts.items():
-            order = sorted((r[name], r["bad"]) for r in inside)
-            at = below = below_bad = 0
-            for value in values:
-                while at < size and order[at][0] < value:
-                    below_bad += order[at][1]
-                    at += 1
-                below = at
+        for name in SHARES:
+            seen: dict[float, list[int]] = {}
+            for r in inside:
+                at = seen.setdefault(r[name], [0, 0])
+                at[0] += 1
+                at[1] += r["bad"]
+            values = sorted(seen)
+            below = below_bad = 0
+            for low, high in zip(values, values[1:]):
+                (n_low, bad_low), (n_high, bad_high) = seen[low], seen[high]
+                below, below_bad = below + n_low, below_bad + bad_low
+                if bad_low * n_high == bad_high * n_low:
+                    continue
+                value = low + (high - low) / 2
+                value = value if value > low else high
                 for at_least, p, n in ((True, bad - below_bad, size - below), (False, below_bad, below)):
                     if p and n < size:
                         found = p * (log2(p / n) - log2(bad / size))
@@ -139,15 +149,11 @@ def prune(rule: Rule, rows: list[dict]) -> Rule:
 
 def learn_list(rows: list[dict]) -> list[Rule]:
     """Sequential covering: grow on two thirds, prune on the rest, drop what is covered, until a rule is not precise."""
-    cuts = {}
-    for name in SHARES:
-        values = sorted({r[name] for r in rows})
-        cuts[name] = sorted({values[i * (len(values) - 1) // CUTS] for i in range(CUTS + 1)}) if values else []
     rules: list[Rule] = []
     left = rows
-    while len(rules) < MAX_RULES and any(r["bad"] for r in left):
+    while any(r["bad"] for r in left):  # every rule covers some of the rows left
         growing, pruning = [r for r in left if r["fold"] < 2], [r for r in left if r["fold"] == 2]
-        rule = grow(growing, cuts)
+        rule = grow(growing)
         if not rule:
             break
         rule = prune(rule, pruning)

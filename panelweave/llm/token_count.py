@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelweave.llm.common import slices
+from panelweave.llm.common import process_state, slices
 
 #: The characters with Unicode's White_Space property.
 UNICODE_SPACE = "\t-\r \x85\xa0  -     　"
@@ -93,15 +93,9 @@ class PieceCounter:
         return totals
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def counter_for(definition: str) -> PieceCounter:
     """The counter of this process: tasks that follow each other share the tokenizer and what it remembers."""
-    if definition not in _counters:
-        _counters.clear()
-        _counters[definition] = PieceCounter(definition)
-    return _counters[definition]
+    return process_state(("token_count", definition), lambda: PieceCounter(definition))
 
 
 def token_count(text: Column, definition: str) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import sample_share, slices, stage, text_bytes
+from panelweave.llm.common import give_back, sample_share, slices, stage, text_bytes
 from panelweave.llm.words import find_words, hash_spans, mix
 
 #: Hash bits; expected rows of the training sample; groups that learn side by side; rounds, and passes in each.
@@ -76,6 +76,7 @@ def learn(z: np.ndarray, n: np.ndarray, rows: Iterator[np.ndarray], labels: Iter
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def distinct_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The distinct coordinates of each text, ascending."""
+    give_back()
     for batch in batches:
         out = []
         for part in slices(batch):
@@ -141,6 +142,7 @@ def score(text: Column, model: dict[int, float], docs: DataFrame) -> Column:
         table = np.zeros(BIAS + 1, np.float32)
         table[at] = values
         active = table != 0
+        give_back()
         for batch in batches:
             out = [np.zeros(0)]
             for part in slices(batch):
@@ -166,7 +168,14 @@ def score_documents(docs: DataFrame, model: dict[int, float], id_col: str = "doc
 
 
 def drop_toxic(docs: DataFrame, model: dict[int, float], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below one half."""
+    """The rows of ``docs``, all columns, that score below one half.
+
+    A model without weights (nothing was labelled) knows no toxic text, so every row stays. NULL and empty texts score by
+    the constant alone. Rows are judged one by one, so repeated rows and equal texts fare alike; the name of the
+    score's column clashes with none. An empty table gives an empty result.
+    """
+    if not model:
+        return docs
     columns = docs.columns
     name = "_score" + "_" * max(map(len, columns))
     return docs.withColumn(name, score(F.col(text_col), model, docs)).filter(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in columns])

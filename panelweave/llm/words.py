@@ -15,7 +15,7 @@ _BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,18 +28,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(_BLOCK, 1 << int(n).bit_length())
-    if size not in _powers:
-        tables = []
+def _power_tables() -> list[np.ndarray]:
+    """The powers of the base and of its inverse up to the size of a block."""
+    if not _powers:
         for base in (_BASE, _INVERSE):
-            table = np.full(size + 1, base, np.uint64)
+            table = np.full(_BLOCK + 1, base, np.uint64)
             table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        if size > _BLOCK:
-            return tables[0], tables[1]
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
+            _powers.append(np.cumprod(table, dtype=np.uint64))
+    return _powers
+
+
+def _long_span(data: np.ndarray, table: np.ndarray) -> np.uint64:
+    """The sum over a span longer than a block, block by block."""
+    power, total, at = _power_tables()[0], np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for low in range(0, len(data), _BLOCK):
+        block = table[data[low: low + _BLOCK]]
+        total += np.sum(block * power[: len(block)], dtype=np.uint64) * at
+        at *= power[_BLOCK]
+    return total[0]
 
 
 def find_words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +73,21 @@ def find_words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = WHI
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit number of each span ``data[start:end]`` (ascending, disjoint); A-Z count as a-z if ``lower``."""
     out = np.empty(len(starts), np.uint64)
+    table = _VALUES[_LOWER] if lower else _VALUES
+    power, inverse = _power_tables()
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
         low, high = int(starts[i]), int(ends[j - 1])
-        block = data[low:high]
-        power, inverse = _power_tables(high - low)
-        values = _VALUES[_LOWER[block] if lower else block]
-        values *= power[: high - low]
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(values, out=sums[1:])
         a, b = starts[i:j] - low, ends[i:j] - low
-        part = (sums[b] - sums[a]) * inverse[a]
+        if high - low > _BLOCK:
+            part = np.array([_long_span(data[low:high], table)])
+        else:
+            values = table[data[low:high]]
+            values *= power[: high - low]
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(values, out=sums[1:])
+            part = (sums[b] - sums[a]) * inverse[a]
         out[i:j] = mix(part ^ ((b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         i = j
     return out

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,16 +84,75 @@ def test_shared_passage_survives_shifts(corpus):
     docs = corpus([*rows, (20, None), (21, ""), (None, passage)])
     spans = substring_dedup.repeated_spans(docs)
     found = {r["doc_id"]: r for r in spans.collect()}
-    assert set(found) == {2, 5, 9}
-    texts = dict(rows)
+    assert set(found) == {2, 5, 9, None}  # a row without id is evidence and has its spans too
+    texts = dict([*rows, (None, passage)])
     for i, r in found.items():
         assert texts[i].encode()[r["start_byte"]:r["end_byte"]].decode() in passage
-        assert r["first_doc_id"] == 2 and r["copies"] == 3 and (r["n_repeats"] == 0) == (i == 2)
+        assert r["first_doc_id"] == 2 and r["copies"] == 4 and (r["n_repeats"] == 0) == (i == 2)
     left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs, spans).collect()}
     assert left[2] == texts[2] and left[20] is None
     assert len(left[5]) == len(texts[5]) - (found[5]["end_byte"] - found[5]["start_byte"])
 
 
+def plain_spans(rows, span):
+    """Repeated spans by dictionaries over the chunks of each row; equal rows are one answer."""
+    cut = []
+    for i, text in rows:
+        raw = (text or "").encode()
+        ends = substring_dedup.chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist() if raw else []
+        cut.append([raw[a:b] for a, b in zip([0, *ends], ends)])
+    count, first = Counter(c for chunks in cut for c in chunks), {}
+    for (i, _), chunks in zip(rows, cut):
+        for c in chunks:
+            first[c] = i if first.get(c) is None else first[c] if i is None else min(i, first[c])
+    out = set()
+    for (i, text), chunks in zip(rows, cut):
+        at, run, seen, earlier = 0, [], set(), 0
+        for c in [*chunks, None]:
+            if c is not None and count[c] > 1:
+                run.append(c)
+                earlier += c in seen or i != first[c]
+                seen.add(c)
+            else:
+                size = sum(map(len, run))
+                if size >= span:
+                    firsts = [first[x] for x in run if first[x] is not None]
+                    out.add((i, text, at - size, at, len(run), earlier, max(count[x] for x in run), min(firsts, default=None)))
+                run, earlier = [], 0
+            at += len(c or b"")
+    return out
+
+
+def test_spans_equal_plain_ones(corpus, spark, monkeypatch):
+    """Edits inside passages, neighbouring passages, repeated ids with other texts, equal rows, rows without id, hot chunks."""
+    rng = random.Random(8)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passages = [make(60) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        parts = [make(rng.randint(5, 40))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            words = p.split(" ")
+            if rng.random() < 0.5:
+                words[rng.randrange(60)] = make(1)
+            parts += [" ".join(words), *([make(10)] if rng.random() < 0.5 else [])]
+        rows.append((rng.choice([i, i, i, 7, None]), " ".join(parts)))
+    rows += [rows[3], rows[3], (None, rows[5][1]), (None, rows[5][1]), (90, None), (91, "")]
+    texts = {name: t for (_, t), name in zip(rows, names_of(spark, rows))}
+    expected = plain_spans(rows, substring_dedup.SPAN)
+    assert len(expected) > 20
+    for hot in (4096, 50):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        found = [(r["doc_id"], texts[r["text_hash"]], r["start_byte"], r["end_byte"], r["n_chunks"], r["n_repeats"], r["copies"], r["first_doc_id"])
+                 for r in substring_dedup.repeated_spans(corpus(rows)).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def names_of(spark, rows):
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k long, text string")
+    return [r["n"] for r in df.select("k", substring_dedup.text_name(F.col("text")).alias("n")).orderBy("k").collect()]
+
+
 def test_periodic_text_is_found(corpus):
     docs = corpus([(1, "start here " + "of " * 80), (2, "another beginning " + "of " * 90), (3, "x" * 200_000)])
     assert {1, 2} <= {r["doc_id"] for r in substring_dedup.repeated_spans(docs).collect()}

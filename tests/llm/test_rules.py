@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from panelweave.llm import boosting, pii, quality_rules
@@ -39,6 +40,36 @@ def test_trees_add_lookalikes(corpus):
     assert found[2]["spans"] == found[3]["spans"] == "" and found[4]["spans"] == ",".join(brute.pii(new[3][1]))
 
 
+def test_parts_of_zeros(corpus):
+    parts = ["0", "00", "000", "0255", "0256", "255", "256", "00000000255", "0000"]
+    rows = [(i, f"at {a}.{b}.{c}.1 end") for i, (a, b, c) in enumerate((a, b, c) for a in parts for b in parts for c in parts[::2])]
+    model = {kind: ([], float("inf")) for kind in pii.BASE}
+    for r in pii.pii(corpus(rows), model).collect():
+        assert r["spans"] == ",".join(brute.pii(rows[r["doc_id"]][1])), rows[r["doc_id"]]
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2])
+def test_unmarked_variants_are_found_however_common(corpus, share):
+    """The training table itself holds phones without the plus; they are unlabelled, not counterexamples."""
+    rng = random.Random(3)
+    rows, unmarked = [], set()
+    for i in range(1000):
+        words = [rng.choice(["alpha", "beta", "gamma"]) for _ in range(12)]
+        phone = f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        if i % 2:
+            words[5] = rng.choice([f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}", "section 4 - 12", f"page {rng.randint(1, 99)}"])
+        elif rng.random() < share:
+            words[5] = f"call 1 {phone}"
+            unmarked.add(i)
+        else:
+            words[5] = f"call +1 {phone}"
+        rows.append((i, " ".join(words)))
+    docs = corpus(rows)
+    found = {r["doc_id"]: r for r in pii.pii(docs, pii.fit(docs)).collect()}
+    assert len(unmarked) > 10 and all("phone" in found[i]["spans"] and found[i]["n_phone"] == 0 for i in unmarked)
+    assert all(found[i]["spans"] == "" for i in range(1, 1000, 2))
+
+
 def test_pii_odd_rows(corpus):
     docs = corpus([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c"), (1, "x y@z.w"), (2, None)])
     model = pii.fit(docs)

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.llm import language_id, mixing, toxicity
+from panelweave.llm import language_id, mixing, toxicity, words
 from panelweave.llm.common import held_out
 from panelweave.llm.words import find_words, hash_spans
 
@@ -169,3 +169,19 @@ def test_mixing_without_labels_or_rows(spark, corpus):
     assert {(r["rate"], r["domain"]) for r in mixing.mix(docs, domains, {"high": 1.0}).collect()} == {(1.0, None)}
     learned = mixing.fit_domains(docs, marked)
     assert mixing.mix(docs.filter(F.lit(False)), learned, {"high": 1.0}).collect() == []
+
+
+def test_no_labels_drop_nothing(spark, corpus, awkward):
+    docs = corpus(awkward)
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.drop_toxic(docs, model).count() == len(awkward)
+    assert toxicity.drop_toxic(docs.filter(F.lit(False)), model).collect() == []
+
+
+def test_long_words_are_hashed_in_blocks(monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
+    starts, ends = np.array([0, 10, 3000]), np.array([7, 2999, 5000])
+    whole = words.hash_spans(data, starts, ends)
+    monkeypatch.setattr(words, "_BLOCK", 64)
+    monkeypatch.setattr(words, "_powers", [])
+    assert (words.hash_spans(data, starts, ends) == whole).all()
