@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelweave.llm import exact_dedup, language_id, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_count, toxicity
+from panelweave.llm import alignment, exact_dedup, language_id, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -76,6 +76,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
     "pipeline": pipeline,
 }
 

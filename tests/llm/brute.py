@@ -84,3 +84,33 @@ def quality(text):
             seen.add(line)
     failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered), failed
+
+
+def alignment(rows, first, second, a_bytes, b_bytes):
+    """Alignments by sets of byte offsets; ``first`` and ``second`` give a text's ids, the tables their bytes."""
+    docs = []
+    for i, text in rows:
+        a, b = (first(" " + text), second(text)) if text else ([], [])
+        raw = (" " + (text or "")).encode()
+        if b"".join(a_bytes[x] for x in a) != raw or b"".join(b_bytes[x] for x in b) != raw:
+            a, b = [], []
+        ends = []
+        for ids, table in ((a, a_bytes), (b, b_bytes)):
+            at, out = 0, []
+            for x in ids:
+                at += len(table[x])
+                out.append(at)
+            ends.append(out)
+        groups, low = [], 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            groups.append([[x for x, e in zip(ids, es) if low < e <= cut] for ids, es in zip((a, b), ends)])
+            low = cut
+        links = collections.Counter((x, y) for ga, gb in groups for x in ga for y in gb)
+        form = ";".join("|".join(",".join(map(str, part)) for part in g) for g in groups)
+        docs.append((i, len(a), len(b), len(groups), links, hashlib.sha256(form.encode()).hexdigest() if groups else ""))
+    count = collections.Counter(p for d in docs for p in d[4])
+    top = collections.defaultdict(int)
+    for (x, _), n in count.items():
+        top[x] = max(top[x], n)
+    return [(i, na, nb, g, sum(links.values()), sum(n for p, n in links.items() if count[p] == top[p[0]]), sum(n * count[p] for p, n in links.items()), sha)
+            for i, na, nb, g, links, sha in docs]
