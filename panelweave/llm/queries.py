@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelweave.llm import alignment, exact_dedup, language_id, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_count, toxicity
+from panelweave.llm import alignment, exact_dedup, language_id, mixing, near_dedup, packing, pii, quality_rules, secrets, spelling, substring_dedup, token_count, toxicity
 from panelweave.llm.common import held_out
 
 
@@ -80,6 +80,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -96,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_secrets": op13_secrets,
     "pipeline": pipeline,
 }
 

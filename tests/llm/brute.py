@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,3 +115,56 @@ def alignment(rows, first, second, a_bytes, b_bytes):
         top[x] = max(top[x], n)
     return [(i, na, nb, g, sum(links.values()), sum(n for p, n in links.items() if count[p] == top[p[0]]), sum(n * count[p] for p, n in links.items()), sha)
             for i, na, nb, g, links, sha in docs]
+
+
+def spelling(rows):
+    """Words, near words by pairs of deletion sets, forms and roots, with plain loops."""
+    count = collections.Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1:]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 5 and n >= 3}
+    without = {w: {w[:k] + w[k + 1:] for k in range(len(w))} for w in words}
+    near = {w: [v for v in words if v != w and (
+        len(v) == len(w) and sum(a != b for a, b in zip(v, w)) == 1 or len(v) == len(w) - 1 and v in without[w] or len(v) == len(w) + 1 and w in without[v])] for w in words}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best and words[best] >= 2 * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return out
+
+
+def secret_base(text):
+    """Base spans by the plain patterns."""
+    text, out = text or "", []
+    for order, (kind, pattern) in enumerate({
+            "assign": r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}.items()):
+        for m in re.finditer(pattern, text):
+            if len(m[2]) >= 6 if kind == "assign" else len(m[0]) >= (20 if kind == "access" else 24):
+                out.append((m.start(), order, m.end(), kind))
+    return sorted(out)
+
+
+def secret_links(parts, reach):
+    """Weak candidates (kind, role, strong, start, end, paragraph) that every other part of their paragraph is held against."""
+    out = set()
+    for kind, role, strong, start, end, paragraph in parts:
+        if strong:
+            continue
+        near = [p for p in parts if p[5] == paragraph and p[1] != role and p[3] - end <= reach and start - p[4] <= reach]
+        others = [p for p in near if p[1] != "endpoint"]
+        if any(p[2] for p in others) or others and any(p[1] == "endpoint" for p in near):
+            out.add((kind, start, end))
+    return out
