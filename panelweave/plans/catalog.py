@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from panelweave.functions import names, params, scores
 from panelweave.operators import ingest, resample, scaling, series, worklist
-from panelweave.models import neighbours, regression, search, supervised, trees
+from panelweave.models import neighbours, regression, search, smoothing, supervised, trees
 from panelweave.operators.blocks import over_series, spread_join, with_row_slot
 from panelweave.operators.stats import describe
 from panelweave.plans import backtest, reports
@@ -415,6 +415,18 @@ def holt_winters(spark, sf_dir):
     return _timebased(spark, sf_dir, "ets")
 
 
+#: Parameters of a query with a counterpart in SQL.
+SMOOTHING = {"smoothing_level": "0.5", "smoothing_slope": "0.05", "smoothing_seasonal": "0.2", "damping_slope": "0.97", "use_boxcox": "false"}
+
+
+def holt_winters_stored(spark, sf_dir):
+    """Forecast of the last week of every daily series with stored parameters, in short blocks."""
+    rows = backtest.timebased_rows(resample.resample(src.daily(spark, sf_dir), "D"), "D", [False])
+    rows = rows.drop("block").withColumn("params", F.create_map(*[F.lit(x) for pair in SMOOTHING.items() for x in pair]))
+    ahead = smoothing.forecast(rows, RUN, block_slots=180, fanout=4)
+    return rounded(ahead.select(*SERIES, "step", "predicted"))
+
+
 def ar_forecast(spark, sf_dir):
     return _timebased(spark, sf_dir, "arima")
 
@@ -565,7 +577,7 @@ QUERIES = {f.__name__: f for f in (
     run_setups, run_name_build, run_name_parse, report_name_build, params_roundtrip, score_naive,
     score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, knn_cv_best_absolute,
     linreg_one_feature,
-    linreg_two_features, linreg_multi, tree, forest, holt_winters, ar_forecast, fourier_forecast, param_grid_search,
+    linreg_two_features, linreg_multi, tree, forest, holt_winters, holt_winters_stored, ar_forecast, fourier_forecast, param_grid_search,
     backtest_evaluate, backtest_predictions, merge_stored, stored_evaluation, stored_results, incremental_ingest, stored_dense,
     station_files, evaluation_files)}
 QUERIES |= {f"report_q{i}_{name}": _report(name) for i, name in enumerate(reports.REPORTS, start=1)}

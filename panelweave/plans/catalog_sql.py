@@ -311,6 +311,19 @@ ORACLE: dict[str, str] = {
         "AVG((label - CASE WHEN hits > 0 THEN sh / hits ELSE sw / w END) ** 2)", "AVG(ABS(label - CASE WHEN hits > 0 THEN sh / hits ELSE sw / w END))")}
       SELECT station, rate, pollutant, CAST(k AS INT) AS n_neighbors, weights, ROUND(score, 6) AS score FROM cv
       QUALIFY ROW_NUMBER() OVER (PARTITION BY station, rate, pollutant ORDER BY score DESC) = 1""",
+    # The season's values are a list that turns by one place a step.
+    "holt_winters_stored": f"""WITH RECURSIVE {DAILY_GRID.removeprefix('WITH ')},
+        y AS (SELECT station, rate, pollutant, list(value ORDER BY ts) AS y, COUNT(*) - 7 AS n FROM g GROUP BY ALL),
+        st(station, rate, pollutant, y, n, t, level, slope, s) AS (
+            SELECT station, rate, pollutant, y, n, 7::BIGINT, list_avg(y[1:7])::DOUBLE, ((list_avg(y[8:14]) - list_avg(y[1:7])) / 7)::DOUBLE,
+                   list_transform(y[1:7], lambda v: (v - list_avg(y[1:7]))::DOUBLE) FROM y WHERE n >= 14
+            UNION ALL
+            SELECT station, rate, pollutant, y, n, t + 1, new, 0.05::DOUBLE * (new - level) + 0.95::DOUBLE * 0.97::DOUBLE * slope,
+                   list_append(s[2:7], 0.2::DOUBLE * (y[t + 1] - new) + 0.8::DOUBLE * s[1])
+            FROM (SELECT *, 0.5::DOUBLE * (y[t + 1] - s[1]) + 0.5::DOUBLE * (level + 0.97::DOUBLE * slope) AS new FROM st WHERE t < n))
+        SELECT station, rate, pollutant, CAST(h AS INTEGER) AS step,
+               ROUND(level + slope * list_sum(list_transform(range(1, h + 2), lambda k: pow(0.97::DOUBLE, k))) + s[h + 1], 6) AS predicted
+        FROM st, range(0, 7) AS r(h) WHERE t = n""",
     "linreg_one_feature": f"""{_DESIGN} SELECT station, rate, pollutant, ROUND(regr_intercept(y, a), 6) AS intercept, ROUND(regr_slope(y, a), 6) AS coef_1,
       COUNT(*) AS n FROM rows_ WHERE y IS NOT NULL GROUP BY ALL""",
     "linreg_two_features": f"""{_DESIGN}, c AS (SELECT station, rate, pollutant, AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, VAR_POP(a) AS saa, VAR_POP(b) AS sbb,

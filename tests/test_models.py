@@ -2,6 +2,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import plain_models
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def test_candidates():
 
 def test_smoothing_recursion_against_plain_loop():
     y, m, w, phi = np.array(signal(72, 5)), 24, (0.3, 0.1, 0.2), 0.97
-    sse, ahead = smoothing.smooth(y, m, 5, np.array([w]), phi)
+    sse, ahead = plain_models.smooth(y, m, 5, np.array([w]), phi)
     a, b, g = w
     level, slope = y[:m].mean(), (y[m:2 * m].mean() - y[:m].mean()) / m
     season, total = list(y[:m] - y[:m].mean()), 0.0
@@ -117,13 +118,68 @@ def test_smoothing_recursion_against_plain_loop():
 
 def test_smoothing_beats_the_mean_and_boxcox_inverts():
     y = np.array(signal(144, 3))
-    params, forecast, mse = smoothing.holt_winters(y[:-24], y[-24:], 24)
+    params, forecast, mse = plain_models.holt_winters(y[:-24], y[-24:], 24)
     assert mse < np.var(y[-24:])
-    assert np.allclose(smoothing.with_params(y[:-24], 24, 24, params | {"use_boxcox": params["use_boxcox"]}), forecast)
+    assert np.allclose(plain_models.with_params(y[:-24], 24, 24, params | {"use_boxcox": params["use_boxcox"]}), forecast)
     for power in smoothing.POWERS:
         assert np.allclose(smoothing.inverse_boxcox(smoothing.boxcox(y, power), power), y)
 
 
+RUN_SCHEMA = ("station string, rate string, pollutant string, distance int, differenced boolean, direct boolean, artificial boolean, "
+              "slot long, value double, is_holdout boolean")
+
+
+def runs(spark, series):
+    """Rows of runs from ``{name: (rate, first slot, values)}``; the last season is held out."""
+    rows = [("S", rate, name, SEASON[rate], False, False, False, first + i, float(v), i >= len(values) - SEASON[rate])
+            for name, (rate, first, values) in series.items() for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, RUN_SCHEMA)
+
+
+@pytest.mark.parametrize("block, fanout", [(10, 2), (37, 3), (8760, 64)])
+def test_smoothing_over_blocks_equals_the_plain_loop(spark, block, fanout):
+    """Any cut of a series, at any phase and also before the epoch, gives the loop's parameters and forecast."""
+    series = {"a": ("H", 5, signal(200, 1)), "b": ("D", -31, signal(90, 2)), "c": ("D", 3, [v - 55 for v in signal(75, 3)]), "d": ("H", 100, signal(60, 4)),
+              "e": ("D", 0, [40 + 3 * (i % 7) for i in range(60)])}
+    out = smoothing.forecast(runs(spark, series), RUN, block_slots=block, fanout=fanout).collect()
+    for name, (rate, _, values) in series.items():
+        found, m = sorted((r for r in out if r.pollutant == name), key=lambda r: r.step or 0), SEASON[rate]
+        if name == "d":
+            assert [r.error for r in found] == ["needs two full seasons"] and found[0].step is None
+            continue
+        y = np.array(values)
+        params, ahead, _ = plain_models.holt_winters(y[:-m], y[-m:], m)
+        assert [r.step for r in found] == list(range(m)) and np.allclose([r.predicted for r in found], ahead, atol=1e-6)
+        if name != "e":  # a series without noise is fitted exactly by many
+            assert {k: float(v) if k != "use_boxcox" else v for k, v in found[0].params.items()} == pytest.approx(params)
+
+
+def test_smoothing_with_stored_parameters_over_blocks(spark):
+    series = {"a": ("D", 11, signal(100, 6)), "b": ("D", 4, [v - 55 for v in signal(80, 7)])}
+    for scaled in ("true", "false"):
+        params = {"smoothing_level": "0.2", "smoothing_slope": "0.05", "smoothing_seasonal": "0.5", "damping_slope": "0.97", "use_boxcox": scaled}
+        params |= {"lamda": "0.25"} if scaled == "true" else {}
+        rows = runs(spark, series).withColumn("params", F.create_map(*[F.lit(x) for pair in params.items() for x in pair]))
+        out = smoothing.forecast(rows, RUN, block_slots=20, fanout=2).collect()
+        for name, (_, _, values) in series.items():
+            found = sorted((r for r in out if r.pollutant == name), key=lambda r: r.step or 0)
+            if scaled == "true" and name == "b":
+                assert [r.error for r in found] == ["Box-Cox needs positive values"]
+            else:
+                assert np.allclose([r.predicted for r in found], plain_models.with_params(np.array(values[:-7]), 7, 7, params), atol=1e-8) and found[0].params == params
+
+
+def test_smoothing_without_rows(spark):
+    assert smoothing.forecast(runs(spark, {"a": ("D", 0, signal(30, 1))}).filter(F.lit(False)), RUN).collect() == []
+
+
+def test_maps_compose():
+    """The matrix of a stretch is the product of the matrices of its parts, from any phase."""
+    setup = smoothing.setup_of(None, 0.5)
+    whole = smoothing.matrices(setup, 7, 45, 3)
+    assert np.allclose(whole, smoothing.matrices(setup, 7, 26, 3 + 19) @ smoothing.matrices(setup, 7, 19, 3))
+
+
 def test_autoregression_recovers_a_known_process(spark):
     v = [10.0, 12.0]
     rng = np.random.default_rng(1)
