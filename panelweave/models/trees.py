@@ -1,147 +1,180 @@
-"""Decision trees and random forests, pooled over all series of a setup.
+"""Decision trees and random forests, one model per run, all runs grown side by side.
 
-One fit per setup serves every series: features and label of each series are scaled to [0, 1] by its training
-rows, and forecasts are scaled back. The number of fits depends on the setups, not on the number of series.
+Features are binned by the run's own quantiles once. Then every level of all trees is one aggregation: counts and sums of
+the label per (run, node, feature, bin), combined before they are exchanged, whose running sums give the gain of every cut.
+The best cut of each node is joined back to its rows, which move on to the children; rows to be forecast move along and
+take the mean of the node in which they end. A run is never one task, and no tree is ever held by one.
+
+A tree cut off at a depth is the same tree grown to that depth only, so the search grows the deepest candidate once and
+scores every depth on the way. A forest grows its trees under one more key, on rows weighted by a hash.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Sequence
 from functools import reduce
+from math import exp, factorial
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.models.search import DRAWS, FOLDS, best_params, candidates, params_literal
 from panelweave.operators.blocks import spread_join
-from panelweave.operators.scaling import rescaled, scaled
 from panelweave.operators.series import time_series_split
 from panelweave.schemas import RUN
 from panelweave.session import cut_lineage
 
-POOL = ["rate", "distance", "differenced", "artificial"]
-#: Depth where a model has no limit of its own; the engine's maximum.
-DEEPEST = 30
-
-
-def _estimator(model: str, params: dict, seed: int):
-    depth = int(params.get("max_depth") or DEEPEST)
-    if model == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=1, seed=seed, maxMemoryInMB=512)
-    return RandomForestRegressor(maxDepth=depth, numTrees=int(params.get("n_estimators") or 10), seed=seed,
-                                 featureSubsetStrategy="all", maxMemoryInMB=512)
-
-
-def _scaled_rows(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Both parts with ``x`` (vector), ``y`` and the label range, scaled by the training rows of each run."""
-    first = train.select(F.size("features").alias("w")).first()
-    width = first["w"] if first else 0
-    lows = F.array(*[F.min(F.col("features")[i]) for i in range(width)])
-    highs = F.array(*[F.max(F.col("features")[i]) for i in range(width)])
-    facts = train.groupBy(*keys).agg(lows.alias("_lo"), highs.alias("_hi"), F.min("label").alias("y_lo"),
-                                     F.max("label").alias("y_hi"))
-
-    def apply(df: DataFrame) -> DataFrame:
-        cells = F.arrays_zip(F.col("features").alias("v"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-        x = F.transform(cells, lambda c: scaled(c["v"], c["lo"], c["hi"], (0.0, 1.0)))
-        return (spread_join(df, facts, keys, spread=("slot",))
-                .withColumn("x", array_to_vector(x)).withColumn("y", scaled(F.col("label"), F.col("y_lo"), F.col("y_hi"), (0.0, 1.0)))
-                .drop("features", "_lo", "_hi"))
+#: Bins per feature; depth and trees where a model has no limit of its own; share of a node's squared error that a cut must take.
+BINS, DEEPEST, TREES, LEAST_GAIN = 32, 30, 10, 1e-9
 
-    return apply(train), apply(test)
 
+def cut_points(train: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
+    """Per run and feature the distinct quantiles that part its values into bins: ``keys, cuts``."""
+    width = train.agg(F.max(F.size("features"))).first()[0] or 0
+    shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    return train.groupBy(*keys).agg(F.array(*[
+        F.array_distinct(F.percentile_approx(F.get("features", F.lit(i)), shares, F.lit(10_000))) for i in range(width)]).cast("array<array<double>>").alias("cuts"))
 
-def pools(rows: DataFrame) -> list[dict]:
-    """The setups present, with their number of features: a few dozen by the fixed setup list."""
-    found = rows.select(*POOL, F.size("features").alias("width")).distinct().collect()
-    return sorted((r.asDict() for r in found), key=str)
 
+def binned(rows: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replace ``features`` by ``bins``: how many cuts of its feature each value passes."""
+    cells = F.arrays_zip(F.col("features").alias("v"), F.slice("cuts", F.lit(1), F.size("features")).alias("c"))
+    passed = F.transform(cells, lambda cell: F.size(F.filter(cell["c"], lambda x: x < cell["v"])))
+    return spread_join(rows, cuts, keys, spread=("slot",)).withColumn("bins", passed).drop("features", "cuts")
 
-def _of_pool(rows: DataFrame, pool: dict) -> DataFrame:
-    for c in POOL:
-        rows = rows.filter(F.col(c) == pool[c])
-    return rows.filter(F.size("features") == pool["width"])
 
+def best_cuts(train: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per node its ``mean`` and best cut (``feature``, ``at``: bins up to it go left), NULL where no cut gains.
 
-def _fit_all(train: DataFrame, test: DataFrame, model: str, tried: Sequence[dict], keys: Sequence[str],
-             seed: int) -> tuple[DataFrame, list[float]]:
-    """``test`` rows with one forecast column ``p0, p1, …`` per parameter set, and the wall time of each fit.
-
-    All fitted models are applied in one pass over the test rows.
+    Of equal gains the first feature, then the first cut is taken; gains are compared as shares of the node's squared
+    error, rounded, so that the order of summation does not decide.
     """
-    train, test = _scaled_rows(train, test, keys)
-    train = train.persist()
-    times = []
-    for i, params in enumerate(tried):
-        start = time.perf_counter()
-        estimator = _estimator(model, params, seed).setFeaturesCol("x").setLabelCol("y").setPredictionCol(f"p{i}")
-        test = estimator.fit(train).transform(test)
-        times.append(time.perf_counter() - start)
-    train.unpersist()
-    restored = {f"p{i}": rescaled(F.col(f"p{i}"), F.col("y_lo"), F.col("y_hi"), (0.0, 1.0)) for i in range(len(tried))}
-    return test.withColumns(restored).drop("x", "y", "y_lo", "y_hi"), times
-
-
-def _stack(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+    node = [*keys, "node"]
+    cells = train.select(*node, "w", "label", F.posexplode("bins").alias("feature", "bin"))
+    histogram = cells.groupBy(*node, "feature", "bin").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("s"), F.sum(F.col("w") * F.col("label") * F.col("label")).alias("q"))
+    whole = Window.partitionBy(*node, "feature")
+    left = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most the bins of a feature
+    sums = histogram.select(*node, "feature", "bin", *[F.sum(c).over(w).alias(name) for c, w, name in (
+        ("n", left, "nl"), ("s", left, "sl"), ("n", whole, "n"), ("s", whole, "s"), ("q", whole, "q"))])
+    error = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    right = F.col("n") - F.col("nl")
+    gain = F.when(right > 0, F.col("sl") * F.col("sl") / F.col("nl") + (F.col("s") - F.col("sl")) * (F.col("s") - F.col("sl")) / right - F.col("s") * F.col("s") / F.col("n"))
+    share = F.when(error > 1e-12 * F.col("q"), F.round(gain / error, 9))
+    cut = F.when(share >= LEAST_GAIN, F.struct(share.alias("share"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b")))
+    best = sums.groupBy(*node).agg(F.max(cut).alias("_cut"), F.max(F.col("s") / F.col("n")).alias("mean"))
+    return best.select(*node, "mean", (-F.col("_cut.f")).alias("feature"), (-F.col("_cut.b")).alias("at"))
+
+
+def grow(rows: DataFrame, keys: Sequence[str], deepest: int):
+    """Grow all trees level by level; yields (level, rows to forecast with ``mean`` of their node and whether they are ``done``).
+
+    ``rows`` has ``keys, slot, label, bins, w, train, depth`` and any other columns. Rows to forecast have ``train`` false; those
+    that are done at a level keep its mean.
+    """
+    keys = list(keys)
+    active = cut_lineage(rows.withColumn("node", F.lit(1).cast("long")))
+    for level in range(deepest + 1):
+        cuts = best_cuts(active.filter("train"), keys)
+        # All rows of a run are in one node at first, so the join does not trust its key.
+        known = spread_join(active, cuts, [*keys, "node"], spread=("slot",))
+        done = F.col("feature").isNull() | (F.col("depth") <= level)
+        child = 2 * F.col("node") + (F.get("bins", F.col("feature")) > F.col("at")).cast("long")
+        known = cut_lineage(known.withColumn("done", done).withColumn("node", F.when(~done, child).otherwise(F.col("node"))).drop("feature", "at"))
+        yield level, known.filter(~F.col("train")).drop("bins", "w", "train")
+        active = known.filter(~F.col("done")).drop("done", "mean")
+        if level == deepest or active.isEmpty():
+            return
+
+
+def bag_weight(tree: Column, slot: Column, seed: int) -> Column:
+    """How often a row is in a tree's sample: Poisson with mean 1, from a hash."""
+    share = F.pmod(F.xxhash64(tree, slot, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    total, weight = 0.0, F.lit(8)
+    bounds = []
+    for k in range(8):
+        total += exp(-1) / factorial(k)
+        bounds.append(total)
+    for k in reversed(range(8)):
+        weight = F.when(share < bounds[k], k).otherwise(weight)
+    return weight.cast("long")
+
+
+def prepared(rows: DataFrame, train: Column, keys: Sequence[str], trees: Column | None, seed: int) -> DataFrame:
+    """Binned rows with ``train`` and ``w``; for a forest once per tree that holds the row, under the key ``tree``."""
+    cuts = cut_points(rows.filter(train), keys)
+    out = binned(rows.withColumn("train", train), cuts, keys)
+    if trees is None:
+        return out.withColumn("w", F.lit(1).cast("long"))
+    out = cut_lineage(out).withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
+    out = out.withColumn("w", F.when(F.col("train"), bag_weight(F.col("tree"), F.col("slot"), seed)).otherwise(F.lit(1).cast("long")))
+    return out.filter("w > 0")
+
+
+def _depth(params: Column) -> Column:
+    return F.coalesce(F.try_element_at(params, F.lit("max_depth")).cast("int"), F.lit(DEEPEST))
+
+
+def _trees(params: Column) -> Column:
+    return F.coalesce(F.try_element_at(params, F.lit("n_estimators")).cast("int"), F.lit(TREES))
 
 
 def tree_search(rows: DataFrame, model: str, tried: Sequence[dict] | None = None, folds: int = FOLDS, seed: int = 0,
                 keys: Sequence[str] = RUN) -> DataFrame:
     """Best parameters per run by the mean negative squared error over time-ordered folds.
 
-    Candidates are fitted once per pool and fold and scored for every run of the pool at once. The scores of a pool,
-    one row per run, fold and candidate, are stored before the next pool, so the plan does not grow with the search.
+    One growth per fold serves all candidates: a shallower tree is the beginning of a deeper one, and a smaller forest the
+    first trees of a larger one.
     """
     keys = list(keys)
     if tried is None:
         tried = candidates(model, DRAWS, seed) if model == "random_forest" else candidates(model)
-    split = cut_lineage(time_series_split(rows, folds, keys))
-    parts = []
-    for pool in pools(split):
-        part, scored = _of_pool(split, pool), []
-        for fold in range(folds):
-            of_fold = part.filter(F.col("fold") == fold)
-            test, _ = _fit_all(of_fold.filter("in_train"), of_fold.filter("in_test"), model, tried, keys, seed)
-            means = test.groupBy(*keys).agg(*[(-F.avg((F.col("label") - F.col(f"p{i}")) ** 2)).alias(f"c{i}") for i in range(len(tried))])
-            scored.append(means.select(*keys, F.lit(fold).alias("fold"), F.inline(F.array(*[
-                F.struct(params_literal(p).alias("params"), F.col(f"c{i}").alias("score")) for i, p in enumerate(tried)]))))
-        parts.append(cut_lineage(_stack(scored, None)))
-    nothing = split.limit(0).select(*keys, F.lit(0).alias("fold"), params_literal({}).alias("params"), F.lit(0.0).alias("score"))
-    return best_params(_stack(parts, nothing), keys)
+    forest = model == "random_forest"
+    depths = [int(p.get("max_depth") or DEEPEST) for p in tried]
+    sizes = [int(p.get("n_estimators") or TREES) for p in tried]
+    split = cut_lineage(time_series_split(rows, folds, keys).filter("in_train or in_test"))
+    fold_keys = [*keys, "fold"]
+    ready = prepared(split.select(*fold_keys, "slot", "features", "label", "in_train"), F.col("in_train"), fold_keys, F.lit(max(sizes)) if forest else None, seed)
+    each = [*fold_keys, *(["tree"] if forest else [])]
+    levels = []
+    for level, part in grow(ready.drop("in_train").withColumn("depth", F.lit(max(depths))), each, max(depths)):
+        levels.append(part.select(*each, "slot", "label", F.lit(level).alias("level"), "mean", "done"))
+    if not levels:
+        return best_params(split.select(*keys, "fold", params_literal({}).alias("params"), F.lit(0.0).alias("score")), keys)
+    seen = cut_lineage(reduce(DataFrame.unionByName, levels))
+    # The forecast at a depth: the mean at that level, or where the row was done before.
+    wanted = sorted(set(depths))
+    last = seen.groupBy(*each, "slot").agg(F.any_value("label").alias("label"), *[
+        F.max_by("mean", F.when(F.col("level") <= d, F.col("level"))).alias(f"d{d}") for d in wanted])
+    tree = F.col("tree") if forest else F.lit(0)
+    rows_of = last.groupBy(*fold_keys, "slot").agg(F.any_value("label").alias("label"), *[
+        F.avg(F.when(tree < n, F.col(f"d{d}"))).alias(f"p{i}") for i, (d, n) in enumerate(zip(depths, sizes))])
+    means = rows_of.groupBy(*fold_keys).agg(*[(-F.avg((F.col("label") - F.col(f"p{i}")) ** 2)).alias(f"c{i}") for i in range(len(tried))])
+    scored = means.select(*fold_keys, F.inline(F.array(*[F.struct(params_literal(p).alias("params"), F.col(f"c{i}").alias("score")) for i, p in enumerate(tried)])))
+    return best_params(scored, keys)
 
 
 def tree_forecast(rows: DataFrame, model: str, results: DataFrame | None = None, params: dict | None = None,
                   keys: Sequence[str] = RUN, seed: int = 0) -> DataFrame:
-    """Holdout rows with ``predicted``, ``params`` and ``fit_time``.
+    """Holdout rows with ``predicted``, ``params`` and ``fit_time`` (wall time of the growth of all runs together).
 
-    With ``results`` each run uses its own best parameters: one fit per pool and distinct parameter set, trained on
-    the whole pool and applied to the runs that chose it.
+    With ``results`` each run grows to its own depth and, in a forest, has its own number of trees.
     """
-    keys = list(keys)
-    rows = cut_lineage(rows)
+    keys, forest = list(keys), model == "random_forest"
+    rows = rows.select(*keys, "ts", "slot", "features", "label", "is_holdout")
     if results is None:
-        rows = rows.withColumn("_p", F.lit(json.dumps(params or {})))
+        rows = rows.withColumn("params", params_literal(params or {}))
     else:
-        chosen = results.filter(F.col("model") == model).select(*keys, F.to_json("params").alias("_p"))
-        rows = spread_join(rows, chosen, keys, spread=("slot",))
-    parts = []
-    for pool in pools(rows):
-        part = _of_pool(rows, pool)
-        # At most as many sets as the search has candidates.
-        sets = sorted(r["_p"] for r in part.select("_p").distinct().collect())
-        test, times = _fit_all(part.filter(~F.col("is_holdout")), part.filter("is_holdout"), model,
-                               [json.loads(p) for p in sets], keys, seed)
-        pick = F.lit(None)
-        for i, p in enumerate(sets):
-            pick = F.when(F.col("_p") == p, F.struct(F.col(f"p{i}").alias("v"), F.lit(times[i]).alias("t"))).otherwise(pick)
-        parts.append(cut_lineage(test.withColumn("_c", pick).select(
-            *keys, "ts", "slot", "label", F.col("_c.v").alias("predicted"), F.col("_c.t").alias("fit_time"),
-            F.from_json("_p", "map<string,string>").alias("params"))))
-    nothing = rows.limit(0).select(*keys, "ts", "slot", "label", F.lit(0.0).alias("predicted"), F.lit(0.0).alias("fit_time"),
-                                   params_literal({}).alias("params"))
-    return _stack(parts, nothing)
+        rows = spread_join(rows, results.filter(F.col("model") == model).select(*keys, "params"), keys, spread=("slot",))
+    rows = cut_lineage(rows.withColumn("depth", _depth(F.col("params"))))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    nothing = rows.limit(0).select(*keys, "ts", "slot", "label", F.lit(0.0).alias("predicted"), F.lit(0.0).alias("fit_time"), "params")
+    if deepest is None:
+        return nothing
+    start = time.perf_counter()
+    ready = prepared(rows, ~F.col("is_holdout"), keys, _trees(F.col("params")) if forest else None, seed)
+    parts = [part.filter("done") for _, part in grow(ready.drop("is_holdout"), [*keys, *(["tree"] if forest else [])], deepest)]
+    found = reduce(DataFrame.unionByName, parts, parts.pop(0))
+    out = found.groupBy(*keys, "ts", "slot").agg(F.any_value("label").alias("label"), F.avg("mean").alias("predicted"), F.any_value("params").alias("params"))
+    return out.withColumn("fit_time", F.lit(time.perf_counter() - start)).select(nothing.columns)

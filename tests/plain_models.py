@@ -69,3 +69,25 @@ def with_params(y: np.ndarray, steps: int, season: int, params: dict) -> np.ndar
     z = y if power is None else boxcox(y, power)
     ahead = smooth(z, season, steps, weights, float(params["damping_slope"]))[1][0]
     return ahead if power is None else inverse_boxcox(ahead, power)
+
+
+def tree(bins, label, weight, depth):
+    """A function from bins to a forecast: the best cut of every node by squared error, ties to the first feature and cut."""
+    bins, label, weight = np.asarray(bins), np.asarray(label, float), np.asarray(weight, float)
+    total, s = weight.sum(), (weight * label).sum()
+    q, mean, best = (weight * label ** 2).sum(), s / total, None
+    error = q - s * s / total
+    if depth and error > 1e-12 * q:
+        for f in range(bins.shape[1]):
+            for at in np.unique(bins[:, f])[:-1]:
+                left = bins[:, f] <= at
+                nl, sl = weight[left].sum(), (weight * label)[left].sum()
+                share = round((sl * sl / nl + (s - sl) ** 2 / (total - nl) - s * s / total) / error, 9)
+                if share >= 1e-9 and (best is None or share > best[0]):
+                    best = (share, f, at)
+    if best is None:
+        return lambda row: mean
+    _, f, at = best
+    left = bins[:, f] <= at
+    parts = [tree(bins[side], label[side], weight[side], depth - 1) for side in (left, ~left)]
+    return lambda row: parts[0](row) if row[f] <= at else parts[1](row)

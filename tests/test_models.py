@@ -231,6 +231,61 @@ def test_trees_learn(grid):
         assert row.n == 3 * SEASON["H"] and row.mse < row["var"]
 
 
+def tree_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for name, n in (("a", 160), ("b", 70), ("c", 9)):
+        x = np.round(rng.normal(0, 3, (n, 3)), 1)
+        x[:, 2] = rng.integers(0, 2, n)
+        y = np.where(x[:, 0] > 0, 5 + x[:, 1], -3.0) + x[:, 2] + rng.normal(0, 0.3, n)
+        rows += [("S", "H", name, 1, False, True, False, datetime(2020, 1, 1) + timedelta(hours=i), i, x[i].tolist(), float(y[i]), i >= n - 5) for i in range(n)]
+    return spark.createDataFrame(rows, "station string, rate string, pollutant string, distance int, differenced boolean, direct boolean, artificial boolean, "
+                                       "ts timestamp, slot long, features array<double>, label double, is_holdout boolean")
+
+
+def plain_tree_forecasts(df, depth, tree=None):
+    """The plain tree of each run on the same bins."""
+    out = {}
+    ready = trees.prepared(df, ~F.col("is_holdout"), RUN, None if tree is None else F.lit(tree), 0).collect()
+    for name in {r.pollutant for r in ready}:
+        for t in range(tree or 1):
+            mine = [r for r in ready if r.pollutant == name and (tree is None or r.tree == t)]
+            learn = [r for r in mine if r.train]
+            model = plain_models.tree([r.bins for r in learn], [r.label for r in learn], [r.w for r in learn], depth)
+            for r in mine:
+                if not r.train:
+                    out.setdefault((name, r.slot), []).append(model(r.bins))
+    return {k: np.mean(v) for k, v in out.items()}
+
+
+def test_trees_of_all_runs_equal_plain_trees(spark):
+    df = tree_rows(spark)
+    for depth in (0, 1, 4, 30):
+        found = {(r.pollutant, r.slot): r.predicted for r in trees.tree_forecast(df, "decision_tree", params={"max_depth": str(depth)} if depth else {"max_depth": "0"}).collect()}
+        assert found == pytest.approx(plain_tree_forecasts(df, depth)) and len(found) == 15
+    found = {(r.pollutant, r.slot): r.predicted for r in trees.tree_forecast(df, "random_forest", params={"max_depth": 3, "n_estimators": 4}).collect()}
+    assert found == pytest.approx(plain_tree_forecasts(df, 3, 4))
+
+
+def test_tree_search_scores_every_depth(spark):
+    """One growth gives the scores that a tree of each depth would get, and each run keeps its own best."""
+    df = tree_rows(spark).filter("pollutant <> 'c'")
+    tried = [{"max_depth": d} for d in (1, 3, 6)]
+    found = {r.pollutant: (r.params, r.score) for r in trees.tree_search(df, "decision_tree", tried).collect()}
+    split = search.time_series_split(df, search.FOLDS, RUN).withColumn("is_holdout", F.col("in_test"))
+    for name in ("a", "b"):
+        scores = {}
+        for p in tried:
+            errors = []
+            for fold in range(search.FOLDS):
+                part = split.filter((F.col("fold") == fold) & (F.col("pollutant") == name) & (F.col("in_train") | F.col("in_test"))).drop("fold")
+                actual = {(r.pollutant, r.slot): r.label for r in part.filter("in_test").collect()}
+                errors.append(-np.mean([(actual[k] - v) ** 2 for k, v in plain_tree_forecasts(part, p["max_depth"]).items()]))
+            scores[str(p["max_depth"])] = np.mean(errors)
+        best = max(scores, key=scores.get)
+        assert found[name][0] == {"max_depth": best} and found[name][1] == pytest.approx(scores[best])
+
+
 def test_trees_without_rows(grid):
     rows = supervised.artificial_rows(grid, "D", [1])
     assert trees.tree_search(rows, "decision_tree").count() == 0
