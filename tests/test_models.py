@@ -231,6 +231,32 @@ def test_trees_learn(grid):
         assert row.n == 3 * SEASON["H"] and row.mse < row["var"]
 
 
+@pytest.mark.parametrize("cell_rows", [8760, 40, 7])
+def test_pruned_neighbours_equal_all_pairs(spark, cell_rows):
+    """Clusters, ties, repeated rows, fewer rows than neighbours, one crowded cell; far fewer pairs than all of them."""
+    rng = np.random.default_rng(2)
+    sizes, k = {"a": 600, "b": 130, "c": 3}, 5
+    train, asked, data = [], [], {}
+    for name, n in sizes.items():
+        x = np.round(rng.normal(0, 1, (n, 2)) + 30 * rng.integers(0, 6, (n, 1)), 1)
+        x[: n // 3] = x[0]  # one point holds a third of the rows
+        data[name] = x
+        train += [("S", name, i // 50, i, x[i].tolist(), float(i)) for i in range(n)]
+        q = np.vstack([x[rng.integers(0, n, 60)] + np.round(rng.normal(0, 0.3, (60, 2)), 1), [[1000.0, -5.0]]])
+        asked += [("S", name, 10_000 + i, q[i].tolist()) for i in range(len(q))]
+    rows = spark.createDataFrame(train, "station string, pollutant string, block long, slot long, features array<double>, label double")
+    queries = spark.createDataFrame(asked, "station string, pollutant string, slot long, features array<double>")
+    found = {(r.pollutant, r.slot): r for r in neighbours.nearest_rows(rows, queries, ["station", "pollutant"], k, cell_rows).collect()}
+    assert len(found) == len(asked)
+    for _, name, slot, q in asked:
+        d = np.sqrt(((data[name] - np.array(q)) ** 2).sum(axis=1))
+        best = sorted(zip(d, range(len(d))))[:k]
+        got = found[name, slot].near
+        assert [c.s for c in got] == [i for _, i in best] and np.allclose([c.d for c in got], [v for v, _ in best])
+    compared, pairs = sum(r.compared for r in found.values()), sum(61 * n for n in sizes.values())
+    assert compared == pairs if cell_rows == 8760 else compared < (0.5 if cell_rows == 7 else 0.7) * pairs
+
+
 def tree_rows(spark):
     rng = np.random.default_rng(9)
     rows = []
