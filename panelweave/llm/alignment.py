@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from panelweave.llm.common import process_state, slices, stage
 #: Fixed value: how the byte-level tokenizer splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Windows a process remembers before it starts afresh, and the tokens up to which it does.
-REMEMBERED, SHORT = 150_000, 64
+REMEMBERED, SHORT = 100_000, 64
 #: Pairs that more than one in so many (document, pair) rows hold are looked up by broadcast; there are fewer of them.
 HOT = 1 << 16
 
@@ -56,31 +57,10 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
             for i in range(model.get_piece_size())]
 
 
-def align(a_ids: list[int], b_ids: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, int, int, Counter]:
-    """One window: its groups as text, their number, the number of links, links by pair of ids."""
-    groups, i, j, a_end, b_end = [], 0, 0, 0, 0
-    links: Counter = Counter()
-    a_from = b_from = total = 0
-    while i < len(a_ids) or j < len(b_ids):
-        if a_end <= b_end:
-            a_end += len(a_bytes[a_ids[i]])
-            i += 1
-        else:
-            b_end += len(b_bytes[b_ids[j]])
-            j += 1
-        if a_end == b_end:
-            a, b = a_ids[a_from:i], b_ids[b_from:j]
-            groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-            total += len(a) * len(b)
-            if len(a) == len(b) == 1:
-                links[a[0], b[0]] += 1
-            else:
-                times = Counter(b).items()
-                for x, n in Counter(a).items():
-                    for y, m in times:
-                        links[x, y] += n * m
-            a_from, b_from = i, j
-    return ";".join(groups), len(groups), total, links
+def ragged(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    n = stop - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Windows:
@@ -95,82 +75,114 @@ class Windows:
         for entry, i in vocabulary.items():
             self.a_bytes[i] = entry
         self.a_length, self.b_length = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        self.a_flat, self.b_flat = ((np.frombuffer(b"".join(table), np.uint8), np.cumsum(n) - n) for table, n in ((self.a_bytes, self.a_length), (self.b_bytes, self.b_length)))
         self.a_marked, self.b_marked = (np.array([x[:1] == b" " for x in table]) for table in (self.a_bytes, self.b_bytes))
+        # What a token adds to the text of its group: inside, or as the last of its side.
+        self.written = [f"{i}{sign}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for sign in (",", last) for i in range(n)]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[int] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> int:
-        """The number of a window, new or remembered."""
-        key = (a.tobytes(), b.tobytes())
-        known = self.number.get(key)
-        if known is None:
-            text, groups, total, links = align(a.tolist(), b.tolist(), self.a_bytes, self.b_bytes)
-            self.text.append(text)
-            self.groups.append(groups)
-            self.links.append(total)
-            self.pairs.append(np.array([x * len(self.b_bytes) + y for x, y in links], np.int64))
-            self.times.append(np.array(list(links.values()), np.int64))
-            known = len(self.text) - 1
-            if len(a) + len(b) <= SHORT:
-                self.number[key] = known
-        return known
+        #: By window: groups, links, where its distinct pairs end. By pair: its number and links.
+        self.groups, self.links, self.end, self.pairs, self.times = (np.zeros(0, np.int64) for _ in range(5))
+
+    def align(self, a: np.ndarray, b: np.ndarray, a_start: np.ndarray, b_start: np.ndarray, windows: tuple[np.ndarray, ...]) -> None:
+        """Add windows, given by where their tokens in ``a`` and ``b`` begin and end, in order of place; ``*_start`` are the tokens' bytes."""
+        p, q, r, s = windows
+        at, bt = ragged(p, q), ragged(r, s)
+        a, b, a_end, b_end = a[at].astype(np.int64), b[bt].astype(np.int64), a_start[at + 1], b_start[bt + 1]
+        a_window = np.repeat(np.arange(len(p)), q - p)
+        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+        n_a, n_b = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
+        a_first, b_first = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        window = a_window[a_first]
+        groups, links = np.bincount(window, minlength=len(p)), np.bincount(window, n_a * n_b, len(p)).astype(np.int64)
+        # Texts: the tokens of both sides in order of groups, as places in the table of what they add.
+        a_last, b_last = (np.append(g[1:] != g[:-1], True) for g in (a_group, b_group))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + b_first[a_group]] = a + len(self.a_bytes) * a_last
+        order[np.arange(len(b)) + (a_first + n_a)[b_group]] = 2 * len(self.a_bytes) + b + len(self.b_bytes) * b_last
+        written = list(map(self.written.__getitem__, order.tolist()))
+        ends = np.cumsum((q - p) + (s - r)).tolist()
+        self.text += ["".join(written[low:high]) for low, high in zip([0, *ends], ends)]
+        # Links: every token of a group with every one of the other side; by distinct ids where a group is large.
+        large = n_a * n_b > 4096
+        rep = np.where(large[a_group], 0, n_b[a_group])
+        partner = ragged(b_first[a_group], b_first[a_group] + rep)
+        key = [np.repeat(a_window, rep) << 32 | (np.repeat(a, rep) * len(self.b_bytes) + b[partner])]
+        times = [np.ones(len(partner), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            left, m = np.unique(a[a_first[g]: a_first[g] + n_a[g]], return_counts=True)
+            right, n = np.unique(b[b_first[g]: b_first[g] + n_b[g]], return_counts=True)
+            key.append(int(window[g]) << 32 | (left[:, None] * len(self.b_bytes) + right[None, :]).ravel())
+            times.append((m[:, None] * n[None, :]).ravel())
+        distinct, inverse = np.unique(np.concatenate(key), return_inverse=True)
+        before = self.end[-1] if len(self.end) else 0
+        self.end = np.append(self.end, before + np.searchsorted(distinct >> 32, np.arange(1, len(p) + 1)))
+        self.pairs = np.append(self.pairs, distinct & 0xFFFFFFFF)
+        self.times = np.append(self.times, np.bincount(inverse, np.concatenate(times), len(distinct)).astype(np.int64))
+        self.groups, self.links = np.append(self.groups, groups), np.append(self.links, links)
+
+    def gives(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
+        """Whether the tokens of both give a text back byte by byte."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for ids, table, first, length in ((a, *self.a_flat, self.a_length), (b, *self.b_flat, self.b_length)):
+            if length[ids].sum() != len(raw) or (table[ragged(first[ids], first[ids] + length[ids])] != raw).any():
+                return False
+        return True
 
     def documents(self, texts: list[str]) -> list[tuple]:
         """For each text: tokens of both, groups, links, digest of the groups, distinct pairs, links of each pair."""
         if len(self.text) > REMEMBERED:
             self.forget()
-        nothing = (0, 0, 0, 0, "", [], [])
-        out = [nothing] * len(texts)
-        spaced = [" " + t for t in texts]
-        first = [self.first.encode_ordinary(t) if len(t) > 1 else [] for t in spaced]
-        second = self.second.encode(texts, num_threads=1) if texts else []
-        which, a_parts, b_parts = [], [], []
-        for k, (text, a, b) in enumerate(zip(spaced, first, second)):
-            raw = text.encode()
-            if a and b and b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw:
-                which.append(k)
-                a_parts.append(a)
-                b_parts.append(b)
+        out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
+        filled = [k for k, text in enumerate(texts) if text]
+        spaced = [f" {texts[k]}" for k in filled]
+        a_parts = [self.first.encode_to_numpy(text, disallowed_special=()) for text in spaced]
+        b_parts = [np.array(array("I", ids), np.uint32) for ids in self.second.encode([texts[k] for k in filled], num_threads=1)] if filled else []
+        given = [self.gives(a, b, text) for a, b, text in zip(a_parts, b_parts, spaced)]
+        which, a_parts, b_parts = (list(compress(x, given)) for x in (filled, a_parts, b_parts))
         if not which:
             return out
-        a_first, b_first = (np.concatenate([[0], np.cumsum([len(x) for x in parts])]) for parts in (a_parts, b_parts))
-        a, b = (np.array([i for part in parts for i in part], np.uint32) for parts in (a_parts, b_parts))
-        a_start = np.concatenate([[0], np.cumsum(self.a_length[a])])
-        b_start = np.concatenate([[0], np.cumsum(self.b_length[b])])
-        edges = a_start[a_first]  # where texts begin, and the end
+        a, b = np.concatenate(a_parts), np.concatenate(b_parts)
+        a_start, b_start = (np.concatenate([[0], np.cumsum(length[ids])]) for length, ids in ((self.a_length, a), (self.b_length, b)))
+        edges = a_start[np.concatenate([[0], np.cumsum([len(x) for x in a_parts])])]  # where texts begin, and the end
         anchors = np.intersect1d(a_start[:-1][self.a_marked[a]], b_start[:-1][self.b_marked[b]], assume_unique=True)
         anchors = np.union1d(anchors, edges)
-        a_at, b_at = np.searchsorted(a_start, anchors).tolist(), np.searchsorted(b_start, anchors).tolist()
-        number, known = [], self.number
-        a_raw, b_raw = a.tobytes(), b.tobytes()
-        for p, q, r, s in zip(a_at, a_at[1:], b_at, b_at[1:]):
-            found = known.get((a_raw[4 * p: 4 * q], b_raw[4 * r: 4 * s]))
-            number.append(self.of(a[p:q], b[r:s]) if found is None else found)
+        a_at, b_at = np.searchsorted(a_start, anchors), np.searchsorted(b_start, anchors)
+        # Both tuples of a window one after the other, ids of the second above those of the first.
+        both = np.empty(len(a) + len(b), np.uint32)
+        both[np.arange(len(a)) + np.repeat(b_at[:-1], np.diff(a_at))] = a
+        both[np.arange(len(b)) + np.repeat(a_at[1:], np.diff(b_at))] = b + np.uint32(len(self.a_bytes))
+        raw, at, known = both.tobytes(), (4 * (a_at + b_at)).tolist(), self.number
+        keys = [raw[low:high] for low, high in zip(at, at[1:])]
+        number, new, following = list(map(known.get, keys)), [], len(self.text)
+        for i in [i for i, found in enumerate(number) if found is None]:
+            key = keys[i]
+            number[i] = known.get(key)
+            if number[i] is None:  # the first of its kind
+                number[i], following = following, following + 1
+                new.append(i)
+                if len(key) <= 4 * SHORT:
+                    known[key] = number[i]
+        if new:
+            at = np.array(new)
+            self.align(a, b, a_start, b_start, (a_at[at], a_at[at + 1], b_at[at], b_at[at + 1]))
         owner = np.searchsorted(edges, anchors[:-1], "right") - 1
         cut = np.searchsorted(anchors, edges).tolist()
         window = np.array(number)
-        groups = np.bincount(owner, np.array(self.groups)[window], len(which)).astype(np.int64).tolist()
-        links = np.bincount(owner, np.array(self.links)[window], len(which)).astype(np.int64).tolist()
-        used, local = np.unique(window, return_inverse=True)
-        size = np.array([len(self.pairs[w]) for w in used.tolist()])
-        start = np.cumsum(size) - size
-        values, times = np.concatenate([self.pairs[w] for w in used.tolist()]), np.concatenate([self.times[w] for w in used.tolist()])
-        n = size[local]
-        place = np.repeat(start[local] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key = np.repeat(owner, n).astype(np.int64) << 32 | values[place]
-        distinct, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, times[place]).astype(np.int64)
+        groups = np.bincount(owner, self.groups[window], len(which)).astype(np.int64).tolist()
+        links = np.bincount(owner, self.links[window], len(which)).astype(np.int64).tolist()
+        start, end = np.append(0, self.end)[window], self.end[window]
+        place = ragged(start, end)
+        distinct, inverse = np.unique(np.repeat(owner, end - start) << 32 | self.pairs[place], return_inverse=True)
+        total = np.bincount(inverse, self.times[place]).astype(np.int64)
         bounds = np.searchsorted(distinct >> 32, np.arange(len(which) + 1)).tolist()
         pairs = distinct & 0xFFFFFFFF
         for x, k in enumerate(which):
-            text = ";".join([self.text[w] for w in number[cut[x]: cut[x + 1]]])
+            text = "".join(map(self.text.__getitem__, number[cut[x]: cut[x + 1]]))[:-1]
             low, high = bounds[x], bounds[x + 1]
             out[k] = (len(a_parts[x]), len(b_parts[x]), groups[x], links[x], hashlib.sha256(text.encode()).hexdigest(), pairs[low:high], total[low:high])
         return out
