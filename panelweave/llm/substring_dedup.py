@@ -101,22 +101,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows equal in id and text are one answer. Other columns are not read. An empty table gives an empty result.
     """
     text = F.col(text_col)
-    found = stage(docs.select(F.col(id_col).alias("doc_id"), text_name(text).alias("text_hash"), chunks(F.coalesce(text, F.lit(""))).alias("chunks")), "chunks")
-    each = found.select("doc_id", "text_hash", F.explode("chunks").alias("c")).select("doc_id", "text_hash", "c.*")
+    made = docs.select(F.col(id_col).alias("doc_id"), text_name(text).alias("text_hash"), chunks(F.coalesce(text, F.lit(""))).alias("chunks"))
+    # The number of a row is fixed by this table; it stands for id and text in what travels.
+    found = stage(made.withColumn("row", F.monotonically_increasing_id()), "chunks")
+    each = found.select("row", "doc_id", F.explode("chunks").alias("c")).select("row", "doc_id", "c.*")
     known = stage(each.groupBy("high", "low").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc_id")).filter("copies > 1"), "repeated-chunks")
     total = found.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
     hot = F.broadcast(known.filter(F.col("copies") > total / HOT))  # fewer than HOT rows, as their copies add up to total at most
     rare = known.filter(F.col("copies") <= total / HOT)
     repeated = each.join(hot, ["high", "low"]).unionByName(each.join(hot, ["high", "low"], "left_anti").join(rare, ["high", "low"]))
     earlier = F.col("again") | F.coalesce(F.col("doc_id") != F.col("first_doc_id"), F.col("doc_id").isNull() & F.col("first_doc_id").isNotNull())
-    once = repeated.groupBy("doc_id", "text_hash", "place").agg(  # equal rows are one
-        F.min("start").alias("start"), F.min("n_bytes").alias("n_bytes"), F.max(earlier.cast("int")).alias("earlier"),
-        F.max("copies").alias("copies"), F.min("first_doc_id").alias("first_doc_id"))
-    run = F.col("place") - F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("place"))
-    spans = (once.withColumn("run", run).groupBy("doc_id", "text_hash", "run")
+    marked = repeated.select("row", "place", "start", "n_bytes", "copies", "first_doc_id", earlier.cast("int").alias("earlier"))
+    run = F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))  # at most the chunks of one text
+    spans = (marked.withColumn("run", run).groupBy("row", "run")
              .agg(F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("n_bytes")).alias("end_byte"), F.count(F.lit(1)).alias("n_chunks"),
                   F.sum("earlier").alias("n_repeats"), F.max("copies").alias("copies"), F.min("first_doc_id").alias("first_doc_id")))
-    return spans.filter(F.col("end_byte") - F.col("start_byte") >= span).drop("run").withColumnRenamed("doc_id", id_col)
+    spans = spans.filter(F.col("end_byte") - F.col("start_byte") >= span).join(found.select("row", "doc_id", "text_hash"), "row")
+    spans = spans.select("doc_id", "text_hash", "start_byte", "end_byte", "n_chunks", "n_repeats", "copies", "first_doc_id").distinct()  # equal rows are one
+    return spans.withColumnRenamed("doc_id", id_col)
 
 
 @F.arrow_udf(T.StringType())
