@@ -2,14 +2,17 @@
 
 A classifier learned from a labelled table gives every document posterior probabilities of the domains. Each document gets
 a nonnegative rate such that the expected tokens of the domains (rate times tokens times posterior, summed) come as close to
-the targets as they can in the least-squares sense; of all rates that do, those nearest to 1 are taken. Such rates are
-1 minus one number per domain times the posterior, cut off at the bounds, so only those few numbers are searched, by Newton's
-method on the dual. A step is one aggregation over all documents; no rates are stored or gathered between steps.
+the targets as they can in the least-squares sense. The rates are found by projected gradient: all start at 1, a step moves
+each down the gradient and cuts it off at the bounds. With lengths measured in tokens and misses over the domains' tokens, a
+step of length 1 never overshoots; longer ones follow from how much the last step bent the slope (spectral step lengths) and
+are taken back where they raise the squares. A step is one aggregation over all documents; the driver sees one total per
+domain, and a document's rate is a fold over the steps' few numbers.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
@@ -22,10 +25,10 @@ from panelweave.llm.quality_rules import words
 
 #: Expected labelled rows learned from; bins per statistic; cue words per domain; largest weight of one cue word.
 MAX_ROWS, BINS, CUE_WORDS, CUE_LIMIT = 20_000, 8, 40, 6.0
-#: Most steps, after which an unfinished fit raises, and the relative miss at which they end.
-STEPS, CLOSE = 500, 1e-4
-#: Weights of the distance from 1 beside the squared misses, one after the other until the misses are met or stay.
-PULLS = [10.0 ** -k for k in range(3, 13)]
+#: Most steps; the relative miss at which they end; the share of the squares by which unreachable targets may exceed the least.
+STEPS, CLOSE, SETTLED = 150, 1e-4, 1e-4
+#: Steps after which the rates are written down, so that a step replays no more than these; steps that a longer one is judged by.
+REPLAYED, JUDGED = 16, 8
 STATISTICS = ["log_words", "word_length", "symbol_share", "mark_share", "upper_share", "distinct_share"]
 
 
@@ -126,101 +129,113 @@ def with_posteriors(docs: DataFrame, domains: Domains, id_col: str = "doc_id", t
 
 @dataclass(frozen=True)
 class Rates:
-    """A document's rate is 1 minus ``shift`` times its posterior, from 0 to the bound. ``misses`` of the totals are relative."""
+    """The steps from rate 1, one number per domain each. ``misses`` of the totals are relative.
 
-    shift: tuple[float, ...]
+    ``settled`` says that the misses are below ``CLOSE`` or proved to be the least squares.
+    """
+
+    history: tuple[tuple[float, ...], ...]
     misses: tuple[float, ...]
-    steps: int
+    settled: bool = True
+
+    @property
+    def steps(self) -> int:
+        return len(self.history)
 
     @property
     def reached(self) -> bool:
         return max(map(abs, self.misses), default=0.0) < CLOSE
 
 
-def _moved(shift: tuple[float, ...]) -> Column:
-    """The rate before it is cut off."""
-    move = F.aggregate(F.zip_with("posterior", F.array(*[F.lit(float(v)) for v in shift]), lambda p, g: p * g), F.lit(0.0), lambda t, x: t + x)
-    return F.lit(1.0) - move
+def _first_rate(most: float | None) -> Column:
+    return F.lit(1.0 if most is None else min(1.0, float(most)))
 
 
-def _bounded(rate: Column, most: float | None) -> Column:
-    lowered = F.greatest(rate, F.lit(0.0))
-    return lowered if most is None else F.least(lowered, F.lit(float(most)))
+def _stepped(rate: Column, history: Sequence[tuple[float, ...]], most: float | None) -> Column:
+    """The rate after the steps of ``history``."""
+    if not history:
+        return rate
+    steps = F.array(*[F.array(*[F.lit(float(v)) for v in moves]) for moves in history])
+
+    def step(now: Column, moves: Column) -> Column:
+        for k in range(len(history[0])):
+            now = now - F.get("posterior", F.lit(k)) * F.get(moves, F.lit(k))
+        lowered = F.greatest(now, F.lit(0.0))
+        return lowered if most is None else F.least(lowered, F.lit(float(most)))
+
+    return F.aggregate(steps, rate, step)
 
 
 def rate_column(fitted: Rates, most: float | None) -> Column:
     """A document's rate."""
-    return _bounded(_moved(fitted.shift) if any(fitted.shift) else F.lit(1.0), most)
+    return _stepped(_first_rate(most), fitted.history, most)
 
 
 def fit_rates(members: DataFrame, targets: list[float], most: float | None = None, steps: int = STEPS) -> Rates:
-    """The rates nearest to 1 whose domain totals meet ``targets``, or miss them least (squares, each over its domain's tokens).
+    """Rates from 0 to ``most`` whose domain totals meet ``targets``, or miss them least (squares, each over its domain's tokens).
 
     ``members`` has ``n_tokens`` and ``posterior`` and is read once per step. A miss is relative to the target or to the domain's
-    tokens, whichever is smaller. The search ends when all are below ``CLOSE``, or when a hundredth of the pull towards 1 no
-    longer changes them: then the targets cannot be met, and the result's ``misses`` tell by how much. Running out of
-    ``steps`` before either raises.
+    tokens, whichever is smaller. The search ends when all are below ``CLOSE``. Where targets cannot be met, it ends when the
+    dual bound proves the squares within ``SETTLED`` of the least, as a share. After ``steps`` steps it ends unsettled; the
+    result's ``misses`` tell by how much the totals miss in every case.
     """
     size = len(targets)
-    wanted = np.array(targets, float)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-
-    def measure(shift: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Of all documents at ``shift``: the dual's sum, the totals, and the curvature by those whose rate is free."""
-        free = F.col("moved") >= 0
-        if most is not None:
-            free = free & (F.col("moved") <= float(most))
-        each = members.select("n_tokens", *[F.element_at("posterior", k + 1).alias(f"p{k}") for k in range(size)], _moved(tuple(shift)).alias("moved"))
-        each = each.withColumn("rate", _bounded(F.col("moved"), most)).withColumn("free", F.when(free, F.col("n_tokens")).otherwise(0))
-        row = each.agg(F.sum(F.col("n_tokens") * F.col("rate") * (F.col("moved") - F.col("rate") / 2)),
-                       *[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p{k}")) for k in range(size)],
-                       *[F.sum(F.col("free") * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
-        values = [float(v or 0) for v in row]
-        bend = np.zeros((size, size))
-        for (i, j), v in zip(pairs, values[1 + size:]):
-            bend[i, j] = bend[j, i] = v
-        return values[0], np.array(values[1: 1 + size]), bend
-
     if not size:
-        return Rates((), (), 0)
-    shift = np.zeros(size)
-    row = members.agg(*[F.sum(F.col("n_tokens") * F.element_at("posterior", k + 1)) for k in range(size)]).first()
-    mass = np.array([float(v or 0) for v in row])
+        return Rates((), ())
+    wanted = np.array(targets, float)
+    p = [F.coalesce(F.get("posterior", F.lit(k)), F.lit(0.0)) for k in range(size)]
+    tokens = F.col("n_tokens")
+    states = members.select("n_tokens", "posterior", _first_rate(most).alias("rate"))
+    row = states.agg(*[F.sum(tokens * x) for x in p], *[F.sum(tokens * F.col("rate") * x) for x in p]).first()
+    mass, now = (np.array([float(v or 0) for v in part]) for part in (row[:size], row[size:]))
     live = mass > 0  # a domain without tokens has no total to move
+    weight = np.where(live, mass, 1.0)
     scale = np.where(live, np.where(wanted > 0, np.minimum(mass, wanted), mass), np.where(wanted > 0, wanted, 1.0))
-    if not live.any():
-        return Rates((0.0,) * size, tuple(((mass - wanted) / scale).tolist()), 0)
-    now, before, taken = measure(shift), None, 0
-
-    def value(found: tuple, at: np.ndarray, pull: float) -> float:
-        return found[0] + at @ wanted + pull / 2 * (mass * at * at).sum()
-
-    for pull in PULLS:
-        while True:
-            misses = (now[1] - wanted) / scale
-            if np.abs(misses[live]).max() < CLOSE:
-                break
-            slope = np.where(live, wanted - now[1] + pull * mass * shift, 0.0)
-            if np.abs(slope / scale).max() < CLOSE / 100:
-                break
-            root = np.sqrt(mass[live])
-            bend = now[2][np.ix_(live, live)] / np.outer(root, root) + pull * np.eye(int(live.sum()))
-            step = np.zeros(size)
-            step[live] = -np.linalg.solve(bend, slope[live] / root) / root
-            share, down, old = 1.0, float(step @ slope), value(now, shift, pull)
-            while True:  # halve until the dual falls as the slope promises; rounding of sums is let pass
-                if taken >= steps:
-                    raise RuntimeError(f"rates not settled after {steps} steps, relative misses {misses.tolist()}")
-                found, taken = measure(shift + share * step), taken + 1
-                if value(found, shift + share * step, pull) <= old + 1e-4 * share * down + 1e-12 * abs(old):
-                    break
-                share /= 2
-            shift, now = shift + share * step, found
-        misses = (now[1] - wanted) / scale
-        if np.abs(misses[live]).max() < CLOSE or before is not None and np.abs(misses - before).max() < CLOSE / 10:
+
+    def pull(totals: np.ndarray) -> np.ndarray:
+        return np.where(live, (totals - wanted) / weight, 0.0)
+
+    def squares(totals: np.ndarray) -> float:
+        return float((mass * pull(totals) ** 2).sum() / 2)
+
+    def least(at: np.ndarray, lowest: float, bounded: float) -> float:
+        """What the squares cannot fall below, by the dual at ``at``."""
+        if most is not None:
+            return bounded * most - float(at @ np.where(live, wanted, 0.0)) - float((mass * at * at).sum() / 2)
+        raised = np.where(live, at + max(0.0, -lowest), 0.0)  # posteriors sum to 1: no document pulls below 0 now
+        first, second = -float(raised @ wanted), float((mass * raised * raised).sum())
+        return max(0.0, first) ** 2 / (2 * second) if second else 0.0
+
+    history: list[tuple[float, ...]] = []
+    recent: list[tuple[float, ...]] = []
+    seen, length = [squares(now)], 1.0
+    for _ in range(steps):
+        if np.abs(((now - wanted) / scale)[live]).max(initial=0.0) < CLOSE:
             break
-        before = misses
-    return Rates(tuple(shift.tolist()), tuple(misses.tolist()), taken)
+        if len(recent) == REPLAYED:
+            states = stage(states.select("n_tokens", "posterior", _stepped(F.col("rate"), recent, most).alias("rate")), "mixing-rates")
+            recent = []
+        at = pull(now)
+        moves = tuple((length * at).tolist())
+        slope = sum((x * F.lit(float(v)) for x, v in zip(p, at)), F.lit(0.0))
+        before = states.select("n_tokens", "posterior", _stepped(F.col("rate"), recent, most).alias("old"))
+        found = before.select("n_tokens", "posterior", "old", _stepped(F.col("old"), [moves], most).alias("new"))
+        row = found.agg(*[F.sum(tokens * F.col("new") * x) for x in p], F.sum(tokens * (F.col("new") - F.col("old")) ** 2),
+                        F.min(F.when(tokens > 0, slope)), F.sum(tokens * F.least(slope, F.lit(0.0)))).first()
+        *after, moved, lowest, bounded = [float(v or 0) for v in row]
+        if seen[-1] - least(at, lowest, bounded) < SETTLED * seen[-1]:
+            return Rates(tuple(history), tuple(((now - wanted) / scale).tolist()))
+        bent = float(((np.array(after) - now) ** 2 / weight)[live].sum())
+        proposed = max(1.0, moved / bent) if bent else 1.0
+        if length > 1 and squares(np.array(after)) > max(seen[-JUDGED:]):
+            length = max(1.0, min(length / 4, proposed))
+            continue
+        now, length = np.array(after), proposed
+        seen.append(squares(now))
+        history.append(moves)
+        recent.append(moves)
+    misses = (now - wanted) / scale
+    return Rates(tuple(history), tuple(misses.tolist()), bool(np.abs(misses[live]).max(initial=0.0) < CLOSE))
 
 
 def rated(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col: str, text_col: str, anchor: str | None, most: float | None,
@@ -232,7 +247,7 @@ def rated(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col:
     members = stage(with_posteriors(rows, domains, "doc_id", "_whole", "_coin", *names), "memberships") if domains.names else (
         rows.select("doc_id", "_coin", *names, F.size(words(F.coalesce("_whole", F.lit("")))).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior")))
     wanted = [max(0.0, weights.get(k, 0.0)) for k in domains.names]
-    fitted = Rates((), (), 0)
+    fitted = Rates((), ())
     if sum(wanted) > 0:
         wanted = [w / sum(wanted) for w in wanted]
         row = members.agg(*[F.sum(F.col("n_tokens") * F.element_at("posterior", k + 1)) for k in range(len(wanted))]).first()
@@ -241,7 +256,8 @@ def rated(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col:
         total = sum(mass) if place is None or not wanted[place] else mass[place] / wanted[place]
         fitted = fit_rates(members, [w * total for w in wanted], most)
         if not fitted.reached:
-            warnings.warn(f"mixing targets are out of reach; relative misses {dict(zip(domains.names, fitted.misses))}", stacklevel=2)
+            state = "out of reach" if fitted.settled else f"not met after {STEPS} steps"
+            warnings.warn(f"mixing targets are {state}; relative misses {dict(zip(domains.names, fitted.misses))}", stacklevel=2)
     rate = F.round(rate_column(fitted, most), 6)
     return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_coin")).cast("long"))
 

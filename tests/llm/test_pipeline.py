@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14))
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert set(queries.ORACLE) <= set(__spark_entry__.oracle_sql())
 

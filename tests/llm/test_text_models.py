@@ -185,3 +185,28 @@ def test_long_words_are_hashed_in_blocks(monkeypatch):
     monkeypatch.setattr(words, "_BLOCK", 64)
     monkeypatch.setattr(words, "_powers", [])
     assert (words.hash_spans(data, starts, ends) == whole).all()
+
+
+def plain_rates(rows, targets, most, steps):
+    """Projected gradient without momentum, document by document."""
+    mass = [sum(t * p[k] for t, p in rows) for k in range(len(targets))]
+    rates = [1.0] * len(rows)
+    for _ in range(steps):
+        pull = [(sum(r * t * p[k] for r, (t, p) in zip(rates, rows)) - w) / m for k, (w, m) in enumerate(zip(targets, mass))]
+        rates = [min(most, max(0.0, r - sum(a * b for a, b in zip(p, pull)))) for r, (_, p) in zip(rates, rows)]
+    return [sum(r * t * p[k] for r, (t, p) in zip(rates, rows)) / m for k, m in enumerate(mass)]
+
+
+@pytest.mark.parametrize("targets,most", [([0.2, 0.5, 0.9], 1.0), ([1.5, 0.3, 0.6], 3.0), ([0.9, 0.05, 0.9], 1.0)])
+def test_rates_of_three_domains_against_plain_steps(spark, targets, most):
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 90)), rng.dirichlet([0.8] * 3).tolist()) for _ in range(120)]
+    members = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    mass = [sum(t * p[k] for t, p in rows) for k in range(3)]
+    wanted = [a * m for a, m in zip(targets, mass)]
+    fitted = mixing.fit_rates(members, wanted, most)
+    found = members.select("n_tokens", "posterior", mixing.rate_column(fitted, most).alias("rate")).collect()
+    got = [sum(r["rate"] * r["n_tokens"] * r["posterior"][k] for r in found) / m for k, m in enumerate(mass)]
+    assert got == pytest.approx(plain_rates(rows, wanted, most, 4000), abs=0.005)
+    assert fitted.misses == pytest.approx([(g - t) / min(1, t) for g, t in zip(got, targets)], abs=1e-6)
+    assert fitted.settled and fitted.steps < 120
