@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from panelweave.functions import names, params, scores
 from panelweave.operators import ingest, resample, scaling, series, worklist
 from panelweave.models import neighbours, regression, search, smoothing, supervised, trees
+from panelweave.operators.asof import asof_join
 from panelweave.operators.blocks import over_series, spread_join, with_row_slot
 from panelweave.operators.stats import describe
 from panelweave.plans import backtest, reports
@@ -111,6 +112,24 @@ def rate_vocab(spark, sf_dir):
     return out.select("averaging", code.alias("rate"), names.rate_name(code).alias("restored"), "n")
 
 
+def asof_last_order(spark, sf_dir):
+    """Every event with the last order day of its user up to then."""
+    days = (src.read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"))
+            .agg(F.max("o_orderkey").alias("orderkey")))
+    events = src.read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    found = asof_join(events, days, ["user_id"], "ts", "day")
+    return found.select("event_id", F.col("match.orderkey").alias("orderkey"), F.col("match.day").cast("string").alias("day"))
+
+
+def asof_next_purchase(spark, sf_dir):
+    """Every view with its user's next purchase within a day."""
+    events = src.read_table(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.min("event_id").alias("purchase"))
+    views = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    found = asof_join(views, bought, ["user_id"], forward=True, within=86400)
+    return found.select("event_id", F.col("match.purchase").alias("purchase"))
+
+
 # --- grids -----------------------------------------------------------------------------------------------------
 
 def resample_hourly(spark, sf_dir):
@@ -578,6 +597,6 @@ QUERIES = {f.__name__: f for f in (
     score_seasonal_naive, norm_scores, baseline_report, knn_uniform, knn_distance, knn_cv_best, knn_cv_best_absolute,
     linreg_one_feature,
     linreg_two_features, linreg_multi, tree, forest, holt_winters, holt_winters_stored, ar_forecast, fourier_forecast, param_grid_search,
-    backtest_evaluate, backtest_predictions, merge_stored, stored_evaluation, stored_results, incremental_ingest, stored_dense,
+    backtest_evaluate, backtest_predictions, asof_last_order, asof_next_purchase, merge_stored, stored_evaluation, stored_results, incremental_ingest, stored_dense,
     station_files, evaluation_files)}
 QUERIES |= {f"report_q{i}_{name}": _report(name) for i, name in enumerate(reports.REPORTS, start=1)}

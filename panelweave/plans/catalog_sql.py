@@ -330,6 +330,13 @@ ORACLE: dict[str, str] = {
       COVAR_POP(a, b) AS sab, COVAR_POP(a, y) AS say, COVAR_POP(b, y) AS sby, COUNT(*) AS n FROM rows_ WHERE y IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
       k AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS c1, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS c2 FROM c)
       SELECT station, rate, pollutant, ROUND(my - c1 * ma - c2 * mb, 6) AS intercept, ROUND(c1, 6) AS coef_1, ROUND(c2, 6) AS coef_2, n FROM k""",
+    "asof_last_order": """SELECT e.event_id, r.orderkey, CAST(r.day AS VARCHAR) AS day FROM events e ASOF LEFT JOIN
+      (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, MAX(o_orderkey) AS orderkey FROM orders GROUP BY ALL) r
+      ON e.user_id = r.o_custkey AND e.ts >= r.day""",
+    "asof_next_purchase": """SELECT v.event_id, CASE WHEN r.ts <= v.ts + INTERVAL 1 DAY THEN r.purchase END AS purchase
+      FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF LEFT JOIN
+      (SELECT user_id, ts, MIN(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL) r
+      ON v.user_id = r.user_id AND v.ts <= r.ts""",
     "merge_stored": f"WITH m AS ({hourly(2, 4)}) SELECT {KEY}, ROUND(arg_max(value, file_seq), 6) AS value FROM m GROUP BY ALL",
     "stored_evaluation": f"""{EV} SELECT station, rate, pollutant, distance, differenced, direct, artificial, model, """ + ", ".join(
         f"ROUND({c}, 6) AS {c}" for c in [*TIMES, "mean_squared_error", "norm_mean_squared_error", "norm_mean_absolute_error",

@@ -13,6 +13,8 @@ from panelweave.operators.ingest import KEEP_THRESHOLD, density_filter, merge_ne
 from panelweave.plans.reports import REPORTS
 from panelweave.schemas import EVAL_COLUMNS, MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, RUN, STATION, clean_doubles
 
+#: Names of touched stations up to which a merge prunes the folders it lists; more are matched by a join instead.
+NAMED_STATIONS = 10_000
 _COLUMNS = [f.name for f in MEASUREMENTS_SCHEMA.fields]
 
 
@@ -42,6 +44,14 @@ def read_measurements(spark: SparkSession, path: str, station: str | None = None
     return df if rate is None else df.filter(F.col("rate") == rate)
 
 
+def _of_stations(stored: DataFrame, stations: DataFrame) -> DataFrame:
+    """The stored rows of ``stations`` (distinct names): by a filter that prunes folders, or a salted join where they are many."""
+    names = [r.station for r in stations.limit(NAMED_STATIONS + 1).collect()]
+    if len(names) <= NAMED_STATIONS:
+        return stored.filter(F.col("station").isin(sorted(n for n in names if n is not None)))
+    return spread_join(stored, stations, ["station"], "left_semi")
+
+
 def merge_measurements(new: DataFrame, path: str) -> None:
     """Merge new measurements into the stored ones, cell by cell, newest value first.
 
@@ -52,9 +62,7 @@ def merge_measurements(new: DataFrame, path: str) -> None:
     spark = new.sparkSession
     merged = merge_newest_wins(new.select(*_COLUMNS), F.lit(1))
     if exists(spark, path):
-        # Station names, as many as the touched folders: they prune the listing whatever their number.
-        touched = sorted(r.station for r in new.select("station").distinct().collect())
-        merged = upsert(merged, read_measurements(spark, path).filter(F.col("station").isin(touched)))
+        merged = upsert(merged, _of_stations(read_measurements(spark, path), new.select("station").distinct()))
     staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
     _spread(merged.filter(F.col("value").isNotNull())).write.partitionBy(*STATION).parquet(staged)
     write_measurements(read_measurements(spark, staged), path)

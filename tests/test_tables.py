@@ -164,3 +164,18 @@ def test_evaluation_files_by_header(spark, tmp_path):
     rows = {r.station: r for r in tables.read_evaluation_files(spark, str(tmp_path)).collect()}
     assert (rows["S1"].rate, rows["S1"].mean_squared_error, rows["S1"].fit_time) == ("H", 0.5, None)
     assert (rows["S2"].rate, rows["S2"].model, rows["S2"].fit_time, rows["S2"].distance) == ("D", "ets", 1.5, None)
+
+
+def test_merge_of_more_stations_than_are_named(spark, panel, tmp_path, monkeypatch):
+    def merged(path, limit):
+        monkeypatch.setattr(tables, "NAMED_STATIONS", limit)
+        for when, value in (("2020-01-01 00:00:00", 1), ("2020-01-01 00:00:00", 2), ("2020-01-01 01:00:00", 3)):
+            parts = [panel({"a": [(when, value * k)]}, station=f"S{k}") for k in range(4) if k != value]
+            new = parts[0]
+            for part in parts[1:]:
+                new = new.unionByName(part)
+            tables.merge_measurements(new, path)
+        return sorted(tuple(r) for r in tables.read_measurements(spark, path).collect())
+
+    named, joined = merged(str(tmp_path / "named"), 10), merged(str(tmp_path / "joined"), 2)
+    assert named == joined and len(named) == 7
