@@ -24,24 +24,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows that score 0.5 or more; a NULL text is scored as empty, and without labels no row goes."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
 def reject_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts without white space; a NULL text is empty, and NULL and repeated ids are judged by text."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def reject_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; texts without words stay, and rows that repeat an id and text share their verdict."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row or none of it, by its own rate; good rows stay as far as the fit lets them, and without labels all rows stay."""
     domain = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
     domains = mixing.fit_domains(docs, _labels(spark, sf_dir).select("doc_id", domain.alias("domain")))
     return mixing.mixed_rows(docs, domains, WEIGHTS, anchor="high", most=1.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each document and its place in a sequence of at most 2,048 tokens; a NULL text is empty."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
