@@ -27,6 +27,9 @@ from panelweave.llm.quality_rules import words
 MAX_ROWS, BINS, CUE_WORDS, CUE_LIMIT = 20_000, 8, 40, 6.0
 #: Most steps; the relative miss at which they end; the share of the squares by which unreachable targets may exceed the least.
 STEPS, CLOSE, SETTLED = 150, 1e-4, 1e-4
+#: At the edge of what can be reached steps gain little: after ``PATIENCE`` of them, totals proved within ``NEARLY`` of the least
+#: squares (as a share of all tokens) will do.
+PATIENCE, NEARLY = 40, 1e-3
 #: Steps after which the rates are written down, so that a step replays no more than these; steps that a longer one is judged by.
 REPLAYED, JUDGED = 16, 8
 STATISTICS = ["log_words", "word_length", "symbol_share", "mark_share", "upper_share", "distinct_share"]
@@ -176,8 +179,8 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
 
     ``members`` has ``n_tokens`` and ``posterior`` and is read once per step. A miss is relative to the target or to the domain's
     tokens, whichever is smaller. The search ends when all are below ``CLOSE``. Where targets cannot be met, it ends when the
-    dual bound proves the squares within ``SETTLED`` of the least, as a share. After ``steps`` steps it ends unsettled; the
-    result's ``misses`` tell by how much the totals miss in every case.
+    dual bound proves the squares within ``SETTLED`` of the least, as a share, or after ``PATIENCE`` steps the totals within
+    ``NEARLY`` of theirs. After ``steps`` steps it ends unsettled; ``misses`` tell by how much the totals miss in every case.
     """
     size = len(targets)
     if not size:
@@ -209,7 +212,7 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     history: list[tuple[float, ...]] = []
     recent: list[tuple[float, ...]] = []
     seen, length = [squares(now)], 1.0
-    for _ in range(steps):
+    for taken in range(steps):
         if np.abs(((now - wanted) / scale)[live]).max(initial=0.0) < CLOSE:
             break
         if len(recent) == REPLAYED:
@@ -223,7 +226,8 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
         row = found.agg(*[F.sum(tokens * F.col("new") * x) for x in p], F.sum(tokens * (F.col("new") - F.col("old")) ** 2),
                         F.min(F.when(tokens > 0, slope)), F.sum(tokens * F.least(slope, F.lit(0.0)))).first()
         *after, moved, lowest, bounded = [float(v or 0) for v in row]
-        if seen[-1] - least(at, lowest, bounded) < SETTLED * seen[-1]:
+        gap = seen[-1] - least(at, lowest, bounded)
+        if gap < SETTLED * seen[-1] or taken >= PATIENCE and 2 * gap < NEARLY ** 2 * mass.sum():
             return Rates(tuple(history), tuple(((now - wanted) / scale).tolist()))
         bent = float(((np.array(after) - now) ** 2 / weight)[live].sum())
         proposed = max(1.0, moved / bent) if bent else 1.0
@@ -256,7 +260,7 @@ def rated(docs: DataFrame, domains: Domains, weights: dict[str, float], id_col:
         total = sum(mass) if place is None or not wanted[place] else mass[place] / wanted[place]
         fitted = fit_rates(members, [w * total for w in wanted], most)
         if not fitted.reached:
-            state = "out of reach" if fitted.settled else f"not met after {STEPS} steps"
+            state = f"missed, as little as can be, after {fitted.steps} steps" if fitted.settled else f"not met after {STEPS} steps"
             warnings.warn(f"mixing targets are {state}; relative misses {dict(zip(domains.names, fitted.misses))}", stacklevel=2)
     rate = F.round(rate_column(fitted, most), 6)
     return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_coin")).cast("long"))
