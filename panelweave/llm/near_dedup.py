@@ -5,10 +5,10 @@ second, shifted by one more place for each coordinate, ranks them. Coordinates a
 candidates, and only pairs whose full shingle sets overlap enough become links.
 
 Equal shingle sets collapse to one class before anything is paired. A bucket never emits all its pairs: its members are
-first compared with the smallest of them, then with their other anchors. What still lies in different components of one
-bucket is compared there, by shingle sets of 32-bit numbers inside the join's condition, so that only pairs within a
-hundredth of the threshold come out; those are verified on the full sets. No candidate pair of different components goes
-unseen.
+first compared with the smallest of them, then with their other anchors. For what still lies in different components of one
+bucket, two sets that overlap enough must share one of their rarest shingles, early enough in both of them that enough
+others follow; only pairs that do are looked up, once each, and verified on the full sets. Look-alikes below the threshold
+with a common core thus meet nowhere, as their rarest shingles are their own. No link between candidates is lost.
 
 With 32 bands of 4 coordinates a pair at similarity 0.75 fails to meet in any band with probability 5e-6.
 """
@@ -20,18 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.llm.common import give_back, slices, stage, text_bytes, without_ids
 from panelweave.llm.components import connected_components
 from panelweave.llm.words import find_words, hash_spans, mix, windows
+from panelweave.operators.blocks import spread_join
 
 #: Words per shingle; links need ``100 * intersection >= PERCENT * union``.
 WIDTH, PERCENT = 5, 75
 #: Bands and coordinates per band.
 BANDS, ROWS = 32, 4
+#: Sets that start with one shingle, per task that looks it up.
+CROWD = 1000
+#: Tasks over which the rows of one bucket or one common shingle are dealt when they meet its facts.
+DEALT = 8
 
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 
@@ -118,6 +123,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of different components that may overlap enough: all that do, and few others.
+
+    ``members`` has ``doc_id, n_shingles, component, shingles``. Shingles are ranked from the rarest among these members to the
+    commonest. Of two sets that overlap enough, the first common shingle has enough others behind it in both; so each set
+    is looked up by its first shingles only, the smaller of two by still fewer. A shingle that many sets start with is dealt
+    over as many tasks as it needs. An empty table, and members of one component, give no pair.
+    """
+    rows = members.select("doc_id", "n_shingles", "component", F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    rows = spread_join(rows, common, ["shingle"], spread=("doc_id",), salts=DEALT)
+    # how many shingles of the set come at this rank or behind it
+    behind = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("held"), F.desc("shingle")))
+    starts = stage(rows.withColumn("behind", behind).filter(100 * F.col("behind") >= percent * F.col("n_shingles")).drop("held"), "prefixes")
+    shared = starts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
+    starts = spread_join(starts, shared.filter("low <> high").select("shingle", "parts"), ["shingle"], spread=("doc_id",), salts=DEALT)
+    dealt = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+
+    def side(name: str, part: Column) -> DataFrame:
+        named = [F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "component", "behind")]
+        return starts.select("shingle", F.col("doc_id").alias(name), *named, part.alias("part"))
+
+    small = side("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter((100 + percent) * F.col("behind_a") >= 2 * percent * F.col("n_shingles_a"))
+    large = side("b", dealt)
+    fits = ((F.struct("n_shingles_a", "a") < F.struct("n_shingles_b", "b")) & (F.col("component_a") != F.col("component_b"))
+            & ((100 + percent) * F.least("behind_a", "behind_b") >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))))
+    met = (small["shingle"] == large["shingle"]) & (small["part"] == large["part"])
+    return small.join(large, met & fits).select("a", "b").distinct()
+
+
 def relabel(old: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after adding ``links`` between nodes or components to ``old``."""
     if old is None:
@@ -148,7 +183,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "value"))
     crowded = banded.groupBy("band", "value").agg(F.min("doc_id").alias("anchor"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = stage(banded.join(crowded.select("band", "value", "anchor"), ["band", "value"]), "buckets")
+    met = stage(spread_join(banded, crowded.select("band", "value", "anchor"), ["band", "value"], spread=("doc_id",), salts=DEALT), "buckets")
 
     wanted = met.select("doc_id").distinct()
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("slot")
@@ -169,14 +204,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Whatever shares a bucket and still lies apart; pairs with an anchor are known by now.
     apart = labelled(met, components, "doc_id").withColumnRenamed("c_doc_id", "component")
     split = apart.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    apart = stage(apart.join(split.select("band", "value"), ["band", "value"], "left_semi").filter("doc_id <> anchor"), "apart")
-    marks = sets.select("doc_id", F.transform("shingles", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int")).alias("marks"))
-    apart = apart.join(marks, "doc_id")
-    left, right = (apart.select("band", "value", F.col("doc_id").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}")) for x in "ab")
-    overlap = (99 + percent) * F.size(F.array_intersect("m_a", "m_b")) >= (percent - 1) * (F.size("m_a") + F.size("m_b"))
-    near = left.join(right, (left["band"] == right["band"]) & (left["value"] == right["value"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                     & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & overlap).select("a", "b").distinct()
-    links = verified(near, sets, percent)
+    apart = spread_join(apart, split.select("band", "value"), ["band", "value"], "left_semi", spread=("doc_id",), salts=DEALT).filter("doc_id <> anchor")
+    doors = stage(apart.groupBy("doc_id", "n_shingles", "component").agg(F.collect_set("value").alias("doors")), "apart")
+    near = prefix_pairs(doors.drop("doors").join(sets, "doc_id"), percent)
+    doors_of = lambda x: doors.select(F.col("doc_id").alias(x), F.col("doors").alias(f"doors_{x}"))
+    near = near.join(doors_of("a"), "a").join(doors_of("b"), "b").filter(F.arrays_overlap("doors_a", "doors_b"))
+    links = verified(near.select("a", "b"), sets, percent)
     links = labelled(labelled(links, components, "a"), components, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     components = relabel(components, links)
 

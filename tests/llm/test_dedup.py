@@ -71,6 +71,43 @@ def test_near_chain_reaches_across(corpus):
     assert [r["doc_id"] for r in left] == [89]
 
 
+@pytest.mark.parametrize("crowd", [1000, 7])
+def test_lookalikes_are_not_paired(spark, corpus, monkeypatch, crowd):
+    """A third of the rows is one crowd of look-alikes at 0.6 to 0.74: links are whole, and hardly a pair of the crowd is compared."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    core = fresh(200)
+    rows = [(i, " ".join(core[:rng.randint(170, 200)] + fresh(rng.randint(36, 50)))) for i in range(80)]
+    rows += [(1000 + i, rows[i][1] + " " + " ".join(fresh(rng.randint(1, 60)))) for i in range(30)]  # some of them link
+    rows += [(2000 + i, " ".join(fresh(60))) for i in range(130)]
+    expected = brute.near(rows)
+    assert 5 < sum(i != c for i, (_, c) in expected.items()) < 40
+    compared = []
+    pairs = near_dedup.prefix_pairs
+    monkeypatch.setattr(near_dedup, "prefix_pairs", lambda *args: compared.append(pairs(*args)) or compared[-1])
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(corpus(rows)).collect()}
+    assert found == expected
+    assert compared[0].count() < 500  # of 5,995 pairs of the crowd
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_prefixes_lose_no_pair(spark, percent):
+    """All pairs that overlap enough, among sets over few shingles with ties in every rank; not those of one component."""
+    rng = random.Random(percent)
+    sets = [rng.sample(range(40), rng.randint(1, 30)) for _ in range(60)]
+    sets += [sorted(set(s) ^ set(rng.sample(range(40), rng.randint(1, 3)))) or [1] for s in sets]
+    members = [(i, len(s), i % 50, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(members, "doc_id long, n_shingles int, component long, shingles array<long>")
+    wanted = {frozenset((i, j)) for i, n, c, s in members for j, m, d, t in members
+              if i < j and c != d and 100 * len(set(s) & set(t)) >= percent * len(set(s) | set(t))}
+    found = [frozenset((r["a"], r["b"])) for r in near_dedup.prefix_pairs(df, percent).collect()]
+    assert len(wanted) > 10 and wanted <= set(found) and len(found) == len(set(found))
+    assert all(members[min(p)][2] != members[max(p)][2] for p in found)
+    assert near_dedup.prefix_pairs(df.filter("component = 3"), percent).collect() == []
+    assert near_dedup.prefix_pairs(df.filter("false"), percent).collect() == []
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 9), (2, 2)], "a long, b long")
     assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == {1: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
