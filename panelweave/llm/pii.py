@@ -1,11 +1,11 @@
 """Personal data in whole texts: fixed patterns, widened by boosted trees over candidates. DataFrame expressions only.
 
 Base spans follow fixed patterns. Generators with a high recall propose wider, overlapping candidates of each kind. Trees
-judge a candidate by format and context; they learn from a bounded sample in which a candidate that overlaps a base
+judge a candidate by format and context; they learn from every document: a candidate that overlaps a base
 span of its kind is positive, and never see the very mark that makes it one (the plus of a phone number, the check
 sum, ...). Negative are known failures alone: a span of another kind, a failed check sum, a number out of range, the cue of a
 version or page. What looks like personal data without the mark is unlabelled and takes no part, however common it is.
-A threshold is calibrated on documents not learned from. Candidates above it that overlap no base span are added.
+A threshold is calibrated on the quarter of the documents not learned from. Candidates above it that overlap no base span are added.
 
 A match travels as a row with its surroundings, never with the text, and its place is a running sum over one document's matches.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm import boosting
-from panelweave.llm.common import sample_share, stage
+from panelweave.llm.common import stage
 
 #: The kinds in the order in which they are listed, with their patterns. Each finds the same matches as the plain
 #: pattern of the kind; possessive repeats and a start at the edge of a run keep them linear on texts of any form.
@@ -42,8 +42,8 @@ CUES = {
     5: r"(?i)(?:version|license|id|no|nr|page|section)\W*$",
 }
 FEATURES = ["n_chars", "n_digits", "n_groups", "longest_group", "n_dots", "n_dashes", "n_spaces", "n_brackets", "n_letters", "cue", "edge_before", "edge_after"]
-#: Expected documents learned from; precision and positives that a threshold needs; characters of context.
-MAX_DOCS, PRECISION, LEAST, CONTEXT = 20_000, 0.99, 20, 24
+#: Precision and positives that a threshold needs; characters of context.
+PRECISION, LEAST, CONTEXT = 0.99, 20, 24
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -123,7 +123,7 @@ def touched(spans: DataFrame, is_mark: Column, mark_kind: Column | None = None)
         F.min(F.when(is_mark, F.col("start"))).over(after) < F.col("end"), F.lit(False))
 
 
-def spans_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All matches of all patterns: base spans that hold (``base``), and wide candidates with features."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.col("text").rlike(r"[0-9@]|[\[(]at[\])]"))
@@ -139,16 +139,14 @@ def spans_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.filter("base or wide")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> dict[str, tuple[list[boosting.Node], float]]:
-    """Trees and threshold of each kind, from about ``max_docs`` documents.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> dict[str, tuple[list[boosting.Node], float]]:
+    """Trees and threshold of each kind, from all documents; ``found`` are their matches by :func:`spans_of`, if at hand.
 
     Learned from are candidates that overlap a base span of their kind, and known failures. They are counted by pattern of
-    features before anything reaches the driver. A kind without enough positives among
+    features, small numbers with a limit each, before anything reaches the driver. A kind without enough positives among
     the documents held back gets an infinite threshold, so nothing is added for it.
     """
-    total = docs.count()
-    some = docs if total <= max_docs else docs.filter(sample_share(F.col(id_col), F.lit(max_docs / total)))
-    found = spans_of(some, id_col, text_col)
+    found = spans_of(docs, id_col, text_col) if found is None else found
     marked = (found.withColumn("y", touched(found, F.col("base"), F.col("kind")).cast("int"))
               .withColumn("_known", touched(found, F.col("base"))).filter("wide"))
     fold = (F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(4)) == 0).alias("held")
@@ -162,13 +160,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     return model
 
 
-def find(docs: DataFrame, model: dict[str, tuple[list[boosting.Node], float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: dict[str, tuple[list[boosting.Node], float]], id_col: str = "doc_id", text_col: str = "text",
+         found: DataFrame | None = None) -> DataFrame:
     """One row per span: ``key``, ``id``, ``kind``, ``start``, ``end``, ``match``, ``base``, ``score``.
 
     All base spans, and the candidates over their kind's threshold that overlap no base span; of added spans that
     overlap each other the first stays, then the next that does not overlap one that stays.
     """
-    scored = with_features(spans_of(docs, id_col, text_col))
+    scored = with_features(spans_of(docs, id_col, text_col) if found is None else found)
     score, enough = F.lit(None).cast("double"), F.lit(False)
     for kind, (trees, least) in model.items():
         score = F.when(F.col("kind") == kind, boosting.margin_column(trees)).otherwise(score)
@@ -189,21 +188,22 @@ def find(docs: DataFrame, model: dict[str, tuple[list[boosting.Node], float]], i
     return free.filter("base").select("key", "id", "kind", "start", "end", "match", "base", "score").unionByName(rest)
 
 
-def pii(docs: DataFrame, model: dict[str, tuple[list[boosting.Node], float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pii(docs: DataFrame, model: dict[str, tuple[list[boosting.Node], float]], id_col: str = "doc_id", text_col: str = "text",
+        found: DataFrame | None = None) -> DataFrame:
     """One row per document: the id, counts of base spans by kind, ``base_sha256`` of the base spans, ``spans`` of all.
 
     Spans are written ``kind:start:end`` by start, then kind as listed, with commas between; places are code points. NULL
     and empty texts have none. Rows that repeat an id and text get the same answer each; other columns are not read.
-    An empty table gives an empty result.
+    An empty table gives an empty result. ``found`` are the documents' matches by :func:`spans_of`, if at hand.
     """
     order = F.array_position(F.array(*[F.lit(k) for k in BASE]), F.col("kind"))
     span = F.struct("start", order.alias("order"), "end", F.concat_ws(":", "kind", "start", "end").alias("label"))
-    joined = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: s["label"]), ",")
-    found = find(docs, model, id_col, text_col).groupBy("key").agg(
+    joined = lambda each: F.array_join(F.transform(F.array_sort(each), lambda s: s["label"]), ",")
+    spans = find(docs, model, id_col, text_col, found).groupBy("key").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in BASE],
         joined(F.collect_list(F.when(F.col("base"), span))).alias("_base"), joined(F.collect_list(span)).alias("_all"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = docs.select(F.col(id_col), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"), F.length(text).alias("n")).alias("_key"))
-    result = every.join(found, F.col("_key").eqNullSafe(F.col("key")), "left")
+    result = every.join(spans, F.col("_key").eqNullSafe(F.col("key")), "left")
     return result.select(id_col, *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in BASE],
                          F.sha2(F.coalesce("_base", F.lit("")), 256).alias("base_sha256"), F.coalesce("_all", F.lit("")).alias("spans"))

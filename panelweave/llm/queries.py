@@ -37,7 +37,8 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return pii.pii(docs, pii.fit(docs))
+    found = pii.spans_of(docs)
+    return pii.pii(docs, pii.fit(docs, found=found), found=found)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

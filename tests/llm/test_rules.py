@@ -70,6 +70,14 @@ def test_unmarked_variants_are_found_however_common(corpus, share):
     assert all(found[i]["spans"] == "" for i in range(1, 1000, 2))
 
 
+def test_trees_learn_from_all_documents(spark):
+    """Few marked phones in a large table: a part of it holds too few for a threshold."""
+    phone = F.format_string("(%d) 555-%04d", F.col("id") % 800 + 200, F.col("id") % 10_000)
+    text = F.when(F.col("id") % 400 == 0, F.concat(F.lit("call +1 "), phone)).when(F.col("id") % 400 == 1, F.lit("version 3.4")).otherwise(F.lit("plain"))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert pii.fit(docs)["phone"][1] < float("inf")
+
+
 def test_pii_odd_rows(corpus):
     docs = corpus([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c"), (1, "x y@z.w"), (2, None)])
     model = pii.fit(docs)
