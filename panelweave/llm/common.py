@@ -11,6 +11,7 @@ from typing import TypeVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,15 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_aside(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and keep it on the executors' disks for a while: no file is made per task, and what an executor
+    loses is computed again. The caller unpersists it once what follows is staged.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """One fifth of the documents, never learned from: crc32 of the id as text, modulo 5, is 0. A NULL id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

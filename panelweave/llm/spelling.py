@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import give_back, stage
+from panelweave.llm.common import give_back, kept_aside, stage
 from panelweave.llm.words import mix
 
 #: A run of letters; the letters of a word after A-Z are lower-cased.
@@ -202,23 +202,25 @@ def propose(words: DataFrame, filters: Broadcast) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, _PROPOSED)
 
 
-def near_pairs(words: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
-    """Every pair of words one edit apart, once in each direction: ``word``, ``n``, ``near``, ``near_n``."""
+def near_pairs(words: DataFrame, limit: int = FILTER_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """Every pair of words one edit apart, once in each direction: ``word``, ``n``, ``near``, ``near_n``; and the tables to unpersist."""
     spark = words.sparkSession
     counts = {r["k"]: r["m"] for r in words.groupBy(F.length("word").alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()}  # one row per length
-    found = None
+    found, aside = None, []
     for shard in shards(counts, limit):
         if not shard:
             continue
         filters = spark.sparkContext.broadcast(build_filters(words, shard))  # at most ``limit`` bytes
-        positive = stage(propose(words, filters), "spelling-proposals")
+        positive = kept_aside(propose(words, filters))
+        aside.append(positive)
         found = positive if found is None else found.unionByName(positive)
         filters.unpersist()
     if found is None:
-        return spark.createDataFrame([], "word string, n long, near string, near_n long")
+        return spark.createDataFrame([], "word string, n long, near string, near_n long"), aside
     target = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = stage(found.distinct().join(target, "near").select("word", "n", "near", "near_n"), "spelling-pairs")
-    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    pairs = kept_aside(found.distinct().join(target, "near").select("word", "n", "near", "near_n"))
+    both = pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return both, [*aside, pairs]
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -226,13 +228,17 @@ def roots(forms: DataFrame) -> DataFrame:
 
     A form is at least twice as common as its word, so a chain has no more links than a count has bits.
     """
-    moving = stage(forms.filter("form is not null").select("word", F.col("form").alias("root")), "spelling-steps")
+    moving, aside = forms.filter("form is not null").select("word", F.col("form").alias("root")), []
     while True:
         following = moving.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        moved = stage(moving.join(following, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "spelling-steps")
-        moving = moved.drop("_moved")
+        moved = kept_aside(moving.join(following, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        moving, aside = moved.drop("_moved"), [*aside, moved]
         if moved.filter("_moved").isEmpty():
-            return moving
+            break
+    ends = stage(moving, "spelling-roots")
+    for table in aside:
+        table.unpersist()
+    return ends
 
 
 def spelling_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = FILTER_BYTES) -> DataFrame:
@@ -245,11 +251,13 @@ def spelling_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read. An empty table gives an empty result.
     """
     words = stage(vocabulary(docs, id_col, text_col), "vocabulary")
-    pairs = near_pairs(words, limit)
+    pairs, aside = near_pairs(words, limit)
     best = F.min(F.struct((-F.col("near_n")).alias("k"), F.col("near"))).alias("_best")
     near = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
     joined = words.join(near, "word", "left")
     commoner = -F.col("_best.k") >= COMMONER * F.col("n")
     forms = stage(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(commoner, F.col("_best.near")).alias("form"),
                                 F.when(commoner, -F.col("_best.k")).alias("form_n")), "spelling-forms")
+    for table in aside:
+        table.unpersist()
     return forms.join(roots(forms), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -62,6 +62,17 @@ def test_edited_hashes_are_the_hashes_of_the_edits():
         assert w in [v for _, v in spelling.proposals(word, {len(w): [table]})]
 
 
+def test_few_tables_are_written(corpus, monkeypatch):
+    """Every file a task makes is a process of its own on local disks; a chain of forms and rounds of filters make none, and nothing stays cached."""
+    written = []
+    monkeypatch.setattr(spelling, "stage", lambda df, name, f=spelling.stage: written.append(name) or f(df, name))
+    docs = corpus([(k, " ".join("a" * (5 + k) for _ in range(3 << k))) for k in range(6)])
+    found = {r["word"]: r["root"] for r in spelling.spelling_groups(docs, limit=256).collect()}
+    assert len(found) >= 6 and set(found.values()) == {"a" * 10}
+    assert written == ["vocabulary", "spelling-forms", "spelling-roots"]
+    assert docs.sparkSession.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_very_long_words(corpus):
     long = "abcdefghij" * 2000
     rows = [(i, f"{long} {long[:-1]}") for i in range(6)] + [(i, "noise") for i in range(50)]
