@@ -1,8 +1,10 @@
 """Alignment of two tokenizers' tokens by whitespace-token anchors.
 
-Every text is tokenised whole by both tokenizers. Where a token of each ends at the same byte and the next token of each
-is marked with a space, that place is an anchor; anchors split a document into windows of token ids. The same windows
-recur all over a corpus, so a process remembers the alignment of a window under its two tuples of ids. Inside a window the
+Where a token of each ends at the same byte and the next token of each is marked with a space, that place is an anchor;
+anchors split a document into windows of token ids. A space before a sign that is no white space is always one: no
+token of the first tokenizer goes on over it, and no piece of the second holds a space behind another sign. So a text without
+other spaces is tokenised word by word, and since words recur all over a corpus, a process remembers the window of a
+word. Any other text is tokenised whole, and its windows are remembered under their two tuples of ids. Inside a window the
 bytes where tokens of both end cut the tokens into groups, and all tokens of a group are linked with each other.
 
 The number of documents that hold a pair linked is counted over distinct pairs per document. The commonest pairs, a bounded
@@ -15,7 +17,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sentencepiece import sentencepiece_model_pb2
 
 from panelweave.llm.common import process_state, slices, stage
 
 #: Fixed value: how the byte-level tokenizer splits text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Windows a process remembers before it starts afresh, and the tokens up to which it does.
-REMEMBERED, SHORT = 100_000, 64
+#: Windows a process remembers before it starts afresh, the tokens or code points up to which it does; new words tokenised at a time.
+REMEMBERED, SHORT, WORDS = 100_000, 64, 256
 #: Pairs that more than one in so many (document, pair) rows hold are looked up by broadcast; there are fewer of them.
 HOT = 1 << 16
 
@@ -57,6 +60,16 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
             for i in range(model.get_piece_size())]
 
 
+def word_by_word(model: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether a piece model tokenises words apart: it changes no sign, and a space inside a piece follows nothing but spaces."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model.serialized_model_proto())
+    normalizer = proto.normalizer_spec
+    plain = not normalizer.precompiled_charsmap and not normalizer.remove_extra_whitespaces and normalizer.add_dummy_prefix and normalizer.escape_whitespaces
+    known = proto.trainer_spec.model_type == proto.trainer_spec.BPE and not any(p.type == p.USER_DEFINED for p in proto.pieces)
+    return plain and known and not any("▁" in p.piece[1:] and p.piece.strip("▁") for p in proto.pieces)
+
+
 def ragged(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The numbers of all ranges one after another."""
     n = stop - start
@@ -79,13 +92,16 @@ class Windows:
         self.a_marked, self.b_marked = (np.array([x[:1] == b" " for x in table]) for table in (self.a_bytes, self.b_bytes))
         # What a token adds to the text of its group: inside, or as the last of its side.
         self.written = [f"{i}{sign}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for sign in (",", last) for i in range(n)]
+        self.apart = word_by_word(self.second)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
+        #: By word its window, or -1 for what only a whole text tells.
+        self.words: dict[str, int] = {}
         self.text: list[str] = []
-        #: By window: groups, links, where its distinct pairs end. By pair: its number and links.
-        self.groups, self.links, self.end, self.pairs, self.times = (np.zeros(0, np.int64) for _ in range(5))
+        #: By window: tokens of both, groups, links, where its distinct pairs end. By pair: its number and links.
+        self.n_a, self.n_b, self.groups, self.links, self.end, self.pairs, self.times = (np.zeros(0, np.int64) for _ in range(7))
 
     def align(self, a: np.ndarray, b: np.ndarray, a_start: np.ndarray, b_start: np.ndarray, windows: tuple[np.ndarray, ...]) -> None:
         """Add windows, given by where their tokens in ``a`` and ``b`` begin and end, in order of place; ``*_start`` are the tokens' bytes."""
@@ -124,6 +140,7 @@ class Windows:
         self.pairs = np.append(self.pairs, distinct & 0xFFFFFFFF)
         self.times = np.append(self.times, np.bincount(inverse, np.concatenate(times), len(distinct)).astype(np.int64))
         self.groups, self.links = np.append(self.groups, groups), np.append(self.links, links)
+        self.n_a, self.n_b = np.append(self.n_a, q - p), np.append(self.n_b, s - r)
 
     def gives(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
         """Whether the tokens of both give a text back byte by byte."""
@@ -133,24 +150,59 @@ class Windows:
                 return False
         return True
 
-    def documents(self, texts: list[str]) -> list[tuple]:
-        """For each text: tokens of both, groups, links, digest of the groups, distinct pairs, links of each pair."""
-        if len(self.text) > REMEMBERED:
-            self.forget()
-        out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
-        filled = [k for k, text in enumerate(texts) if text]
-        spaced = [f" {texts[k]}" for k in filled]
+    def tokenise(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
+        """The ids of both for each text, and whether they give it back."""
+        spaced = [f" {text}" for text in texts]
         a_parts = [self.first.encode_to_numpy(text, disallowed_special=()) for text in spaced]
-        b_parts = [np.array(array("I", ids), np.uint32) for ids in self.second.encode([texts[k] for k in filled], num_threads=1)] if filled else []
-        given = [self.gives(a, b, text) for a, b, text in zip(a_parts, b_parts, spaced)]
-        which, a_parts, b_parts = (list(compress(x, given)) for x in (filled, a_parts, b_parts))
+        b_parts = [np.array(array("I", ids), np.uint32) for ids in self.second.encode(texts, num_threads=1)] if texts else []
+        return a_parts, b_parts, [self.gives(a, b, text) for a, b, text in zip(a_parts, b_parts, spaced)]
+
+    def anchors(self, a: np.ndarray, b: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, ...]:
+        """Of the ids of texts, ``sizes`` of the first for each: where their tokens, the texts and the windows start in bytes, and the end of each."""
+        a_start, b_start = (np.concatenate([[0], np.cumsum(length[ids])]) for length, ids in ((self.a_length, a), (self.b_length, b)))
+        edges = a_start[np.concatenate([[0], np.cumsum(sizes)])]
+        anchors = np.intersect1d(a_start[:-1][self.a_marked[a]], b_start[:-1][self.b_marked[b]], assume_unique=True)
+        return a_start, b_start, edges, np.union1d(anchors, edges)
+
+    def learn(self, words: list[str]) -> dict[str, int]:
+        """The windows of distinct new words; short ones are remembered."""
+        found = {word: -1 for word in words}
+        fit = [word for word in words if word and not word[0].isspace() and "▁" not in word]
+        groups = [fit[low: low + WORDS] for low in range(0, len(fit), WORDS)]
+        a_parts, b_parts, given = self.tokenise([" ".join(group) for group in groups])
+        a_parts, b_parts, groups = (list(compress(x, given)) for x in (a_parts, b_parts, groups))
+        fit = list(chain.from_iterable(groups))
+        if fit:
+            a, b = np.concatenate(a_parts), np.concatenate(b_parts)
+            a_start, b_start, _, anchors = self.anchors(a, b, [len(x) for x in a_parts])
+            if len(anchors) == len(fit) + 1:  # a window for each word
+                a_at, b_at, following = np.searchsorted(a_start, anchors), np.searchsorted(b_start, anchors), len(self.text)
+                self.align(a, b, a_start, b_start, (a_at[:-1], a_at[1:], b_at[:-1], b_at[1:]))
+                found.update(zip(fit, range(following, following + len(fit))))
+        self.words.update((word, number) for word, number in found.items() if len(word) <= SHORT)
+        return found
+
+    def by_words(self, texts: list[str]) -> list[list[int] | None]:
+        """The windows of each text from its words; None for a text that takes more."""
+        if not self.apart:
+            return [None] * len(texts)
+        split = [text.split(" ") for text in texts]
+        new = dict.fromkeys(word for word in set(chain.from_iterable(split)) if word not in self.words)
+        fresh = self.learn(sorted(new)) if new else {}
+        long = {word: number for word, number in fresh.items() if len(word) > SHORT}
+        get = {**self.words, **long}.__getitem__ if long else self.words.__getitem__
+        numbers = [list(map(get, words)) for words in split]
+        return [None if -1 in each else each for each in numbers]
+
+    def whole(self, texts: list[str]) -> list[list[int] | None]:
+        """The windows of each text from its tokens; None for a text that they do not give back."""
+        out: list[list[int] | None] = [None] * len(texts)
+        a_parts, b_parts, given = self.tokenise(texts)
+        which, a_parts, b_parts = (list(compress(x, given)) for x in (range(len(texts)), a_parts, b_parts))
         if not which:
             return out
         a, b = np.concatenate(a_parts), np.concatenate(b_parts)
-        a_start, b_start = (np.concatenate([[0], np.cumsum(length[ids])]) for length, ids in ((self.a_length, a), (self.b_length, b)))
-        edges = a_start[np.concatenate([[0], np.cumsum([len(x) for x in a_parts])])]  # where texts begin, and the end
-        anchors = np.intersect1d(a_start[:-1][self.a_marked[a]], b_start[:-1][self.b_marked[b]], assume_unique=True)
-        anchors = np.union1d(anchors, edges)
+        a_start, b_start, edges, anchors = self.anchors(a, b, [len(x) for x in a_parts])
         a_at, b_at = np.searchsorted(a_start, anchors), np.searchsorted(b_start, anchors)
         # Both tuples of a window one after the other, ids of the second above those of the first.
         both = np.empty(len(a) + len(b), np.uint32)
@@ -170,11 +222,27 @@ class Windows:
         if new:
             at = np.array(new)
             self.align(a, b, a_start, b_start, (a_at[at], a_at[at + 1], b_at[at], b_at[at + 1]))
-        owner = np.searchsorted(edges, anchors[:-1], "right") - 1
         cut = np.searchsorted(anchors, edges).tolist()
-        window = np.array(number)
-        groups = np.bincount(owner, self.groups[window], len(which)).astype(np.int64).tolist()
-        links = np.bincount(owner, self.links[window], len(which)).astype(np.int64).tolist()
+        for k, low, high in zip(which, cut, cut[1:]):
+            out[k] = number[low:high]
+        return out
+
+    def documents(self, texts: list[str]) -> list[tuple]:
+        """For each text: tokens of both, groups, links, digest of the groups, distinct pairs, links of each pair."""
+        if max(len(self.text), len(self.words)) > REMEMBERED:
+            self.forget()
+        out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
+        filled = [k for k, text in enumerate(texts) if text]
+        numbers = dict(zip(filled, self.by_words([texts[k] for k in filled])))
+        rest = [k for k in filled if numbers[k] is None]
+        numbers.update(zip(rest, self.whole([texts[k] for k in rest])))
+        which = [k for k in filled if numbers[k] is not None]
+        if not which:
+            return out
+        n = np.array([len(numbers[k]) for k in which])
+        window = np.fromiter(chain.from_iterable(numbers[k] for k in which), np.int64, n.sum())
+        owner = np.repeat(np.arange(len(which)), n)
+        n_a, n_b, groups, links = (np.bincount(owner, x[window], len(which)).astype(np.int64).tolist() for x in (self.n_a, self.n_b, self.groups, self.links))
         start, end = np.append(0, self.end)[window], self.end[window]
         place = ragged(start, end)
         distinct, inverse = np.unique(np.repeat(owner, end - start) << 32 | self.pairs[place], return_inverse=True)
@@ -182,9 +250,9 @@ class Windows:
         bounds = np.searchsorted(distinct >> 32, np.arange(len(which) + 1)).tolist()
         pairs = distinct & 0xFFFFFFFF
         for x, k in enumerate(which):
-            text = "".join(map(self.text.__getitem__, number[cut[x]: cut[x + 1]]))[:-1]
+            text = "".join(map(self.text.__getitem__, numbers[k]))[:-1]
             low, high = bounds[x], bounds[x + 1]
-            out[k] = (len(a_parts[x]), len(b_parts[x]), groups[x], links[x], hashlib.sha256(text.encode()).hexdigest(), pairs[low:high], total[low:high])
+            out[k] = (n_a[x], n_b[x], groups[x], links[x], hashlib.sha256(text.encode()).hexdigest(), pairs[low:high], total[low:high])
         return out
 
 

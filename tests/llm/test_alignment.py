@@ -53,6 +53,24 @@ def test_windows_forgotten_between_slices(libraries, monkeypatch):
     assert [r[:5] + (list(r[5]), list(r[6])) for r in whole] == [r[:5] + (list(r[5]), list(r[6])) for r in apart]
 
 
+def test_words_are_tokenised_once(libraries, monkeypatch):
+    """Words apart give what whole texts give, odd signs between them too; a known word is not tokenised again."""
+    with open(BYTE, encoding="utf-8") as a, open(PIECE, "rb") as b:
+        definition, model = a.read(), b.read()
+    apart, whole = alignment.Windows(definition, model), alignment.Windows(definition, model)
+    assert apart.apart
+    whole.apart = False
+    ends = ["\n", "\n\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "'s", ".", "é", "\u0301", "x" * 80, "\x00", "▁", ""]
+    texts = [f"one{e} two{e} {f}three {f}" for e in ends for f in ends] + [t for _, t in odd_rows(400)]
+    plain = lambda rows: [r[:5] + (list(r[5]), list(r[6])) for r in rows]
+    assert plain(apart.documents(texts)) == plain(whole.documents(texts))
+    seen = []
+    monkeypatch.setattr(apart, "tokenise", lambda each, f=apart.tokenise: seen.extend(each) or f(each))
+    text = "one\n two\n three. one\n"
+    assert apart.documents([text])[0][0] == len(libraries[0](" " + text))
+    assert seen == ["three."]
+
+
 def test_long_runs(libraries):
     with open(BYTE, encoding="utf-8") as a, open(PIECE, "rb") as b:
         windows = alignment.Windows(a.read(), b.read())
