@@ -268,10 +268,10 @@ def aligned(text: Column, tokenizers: Broadcast) -> Column:
         definition, model = tokenizers.value
         windows = process_state(("alignment", hash(definition), hash(model)), lambda: Windows(definition, model))
         for batch in batches:
-            rows = [row for part in slices(batch) for row in windows.documents(part.to_pylist())]
-            columns = list(zip(*rows)) or [()] * len(_ALIGNED)
-            arrays = [pa.array(column, kind) for column, kind in zip(columns, [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64())] * 2)]
-            yield pa.StructArray.from_arrays(arrays, names=_ALIGNED.names)
+            for part in slices(batch):
+                columns = zip(*windows.documents(part.to_pylist()))
+                arrays = [pa.array(column, kind) for column, kind in zip(columns, [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64())] * 2)]
+                yield pa.StructArray.from_arrays(arrays, names=_ALIGNED.names)
 
     return run(F.coalesce(text, F.lit("")))
 

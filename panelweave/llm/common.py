@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from panelweave.session import shared_dir
 
-#: Bytes of text that an Arrow function works on at a time; one longer text makes a slice of its own.
+#: Bytes of text that an Arrow function works on and answers at a time, so that no answer waits for the rest of its batch; one
+#: longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 
 _Held = TypeVar("_Held")

@@ -82,8 +82,8 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = np.arange(BANDS, dtype=np.uint64)
     give_back()
     for batch in batches:
-        sizes, digests, bands = [], [], []
         for part in slices(batch):
+            sizes, digests, bands = [], [], []
             for shingles in shingle_sets(part):
                 sizes.append(len(shingles))
                 if not len(shingles):
@@ -96,8 +96,8 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 for k in range(ROWS):
                     band = mix(band + rows[:, k] + np.uint64(1))
                 bands.append(band.view(np.int64))
-        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                                         names=["n_shingles", "set_id", "bands"])
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                                             names=["n_shingles", "set_id", "bands"])
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -105,13 +105,11 @@ def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The whole shingle set of each text."""
     give_back()
     for batch in batches:
-        out = []
         for part in slices(batch):
             found = list(shingle_sets(part))
             cut = np.concatenate([[0], np.cumsum([len(s) for s in found])])
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            out.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, pa.int64())))
-        yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
+            yield pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, pa.int64()))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -78,14 +78,12 @@ def distinct_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The distinct coordinates of each text, ascending."""
     give_back()
     for batch in batches:
-        out = []
         for part in slices(batch):
             data, bounds = text_bytes(part)
             at, text = features(data, bounds)
             key = np.unique((text << (BITS + 1)) | at)
             cut = np.searchsorted(key >> (BITS + 1), np.arange(len(part) + 1))
-            out.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key & (2 * BIAS - 1), pa.int32())))
-        yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+            yield pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key & (2 * BIAS - 1), pa.int32()))
 
 
 def training_round(state: Broadcast, number: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -144,15 +142,13 @@ def score(text: Column, model: dict[int, float], docs: DataFrame) -> Column:
         active = table != 0
         give_back()
         for batch in batches:
-            out = [np.zeros(0)]
             for part in slices(batch):
                 data, bounds = text_bytes(part)
                 at, text = features(data, bounds)
                 hit = active[at]
                 key = np.unique((text[hit] << (BITS + 1)) | at[hit])
                 total = np.bincount(key >> (BITS + 1), table[key & (2 * BIAS - 1)].astype(np.float64), len(part)) + float(table[BIAS])
-                out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.array(np.concatenate(out), pa.float64())
+                yield pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())
 
     return scored(F.coalesce(text, F.lit("")))
 

@@ -3,10 +3,11 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, near_dedup, substring_dedup
+from panelweave.llm import exact_dedup, near_dedup, substring_dedup, toxicity
 from panelweave.llm.components import connected_components
 
 
@@ -199,3 +200,15 @@ def test_periodic_text_is_found(corpus):
                                  near_dedup.drop_near_duplicates])
 def test_empty_table(corpus, run):
     assert run(corpus([(1, "x")]).filter(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize("function", [near_dedup.signed, near_dedup.sets_of, toxicity.distinct_features])
+def test_batches_are_answered_slice_by_slice(function):
+    """What a worker holds follows from the slice, however many texts a batch has."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 10_000, 2000))) for _ in range(600)] + [None, ""]
+    answers = list(function.func(iter([pa.array(texts), pa.array(["one more text of six words"])])))
+    assert len(answers) >= 5 and sum(map(len, answers)) == len(texts) + 1 and max(map(len, answers)) < 200
+    apart = [row for text in texts[:3] + [None] for answer in function.func(iter([pa.array([text], pa.string())])) for row in answer.to_pylist()]
+    every = [row for answer in answers for row in answer.to_pylist()]
+    assert every[:3] + every[600:601] == apart
