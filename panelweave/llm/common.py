@@ -20,6 +20,10 @@ from panelweave.session import shared_dir
 #: Bytes of text that an Arrow function works on and answers at a time, so that no answer waits for the rest of its batch; one
 #: longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: The same where a slice becomes many arrays of eight bytes per word.
+THIN_SLICE = 1 << 18
+#: Bytes that Spark hands an Arrow function at a time, so that neither side holds the rows' whole batch of ten thousand texts.
+BATCH_BYTES = 2 * SLICE_BYTES
 
 _Held = TypeVar("_Held")
 _held: dict[Hashable, object] = {}
@@ -46,6 +50,15 @@ def give_back() -> None:
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends Arrow functions batches of about ``BATCH_BYTES``, one longer text by itself; a limit that was
+    set before stays. Without one a batch is 10,000 rows, however long, in Spark's memory outside the heap and in the worker's.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; one parent per application, so a job's leftovers can be removed together."""
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -61,6 +74,14 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Rows of whole numbers as a table that goes to Spark as Arrow: a list of rows would start Python processes on every executor, which
+    outlast the job.
+    """
+    columns = zip(*rows) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.int64()) for name, values in zip(names, columns)}))
+
+
 def kept_aside(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and keep it on the executors' disks for a while: no file is made per task, and what an executor
     loses is computed again. The caller unpersists it once what follows is staged.

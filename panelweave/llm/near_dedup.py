@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import give_back, slices, stage, text_bytes, without_ids
+from panelweave.llm.common import THIN_SLICE, bound_batches, give_back, slices, stage, text_bytes, without_ids
 from panelweave.llm.components import connected_components
 from panelweave.llm.words import find_words, hash_spans, mix, windows
 from panelweave.operators.blocks import spread_join
@@ -82,7 +82,7 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = np.arange(BANDS, dtype=np.uint64)
     give_back()
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, THIN_SLICE):
             sizes, digests, bands = [], [], []
             for shingles in shingle_sets(part):
                 sizes.append(len(shingles))
@@ -105,7 +105,7 @@ def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The whole shingle set of each text."""
     give_back()
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, THIN_SLICE):
             found = list(shingle_sets(part))
             cut = np.concatenate([[0], np.cumsum([len(s) for s in found])])
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
@@ -175,6 +175,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without id, whose component is NULL and which is kept. Rows that repeat an id count once for links and
     come out as often as they are. Other columns are not read. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     made = stage(docs.select(F.col(id_col).alias("doc_id"), signed(text).alias("s")).select("doc_id", "s.*"), "signatures")
     classes = stage(made.filter("set_id is not null and doc_id is not null").groupBy("set_id", "n_shingles")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from panelweave.llm.common import process_state, slices, stage
+from panelweave.llm.common import bound_batches, process_state, slices, small_table, stage
 from panelweave.llm.token_count import SEGMENT, SHORT, segments
 
 CAPACITY, END_ID = 2048, 0
@@ -242,8 +242,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = stage(pieces.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     rows = places(plan(histogram, capacity))
-    schema = "length long, low long, high long, first long, copies long, at long"
-    table = F.broadcast(spark.createDataFrame(rows, schema))  # bounded by the capacity, not by the corpus
+    names = ["length", "low", "high", "first", "copies", "at"]
+    table = F.broadcast(small_table(spark, rows, names))  # bounded by the capacity, not by the corpus
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "_group", F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece")) - 1
@@ -264,6 +264,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     ``end_id``; a NULL or empty text is that one id. Only longer documents are cut. Repeated rows are packed as often as
     they come, rows without id too. Other columns are not read. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as file:
         definition = file.read()
     cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(document_pieces(F.col(text_col), definition, capacity, end_id, with_ids)).alias("piece", "p"))

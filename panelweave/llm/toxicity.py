@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import give_back, sample_share, slices, stage, text_bytes
+from panelweave.llm.common import THIN_SLICE, bound_batches, give_back, sample_share, slices, stage, text_bytes
 from panelweave.llm.words import find_words, hash_spans, mix
 
 #: Hash bits; expected rows of the training sample; groups that learn side by side; rounds, and passes in each.
@@ -78,7 +78,7 @@ def distinct_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The distinct coordinates of each text, ascending."""
     give_back()
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, THIN_SLICE):
             data, bounds = text_bytes(part)
             at, text = features(data, bounds)
             key = np.unique((text << (BITS + 1)) | at)
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     left, and every score is one half.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     total = marked.count()
     if total > max_rows:
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(text: Column, model: dict[int, float], docs: DataFrame) -> Column:
     """Probability of label 1 for each whole text; NULL counts as empty, and an empty text scores by the constant alone."""
+    bound_batches(docs.sparkSession)
     at = np.array(sorted(model), np.int64)
     held = docs.sparkSession.sparkContext.broadcast((at, np.array([model[i] for i in at], np.float32)))
 
@@ -142,7 +144,7 @@ def score(text: Column, model: dict[int, float], docs: DataFrame) -> Column:
         active = table != 0
         give_back()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, THIN_SLICE):
                 data, bounds = text_bytes(part)
                 at, text = features(data, bounds)
                 hit = active[at]

@@ -86,3 +86,43 @@ def test_stages_judge_rows_and_not_ids(spark):
     half = mixing.mixed_rows(docs, domains, {"high": 0.67, "low": 0.33}, anchor="high", most=1.0)
     kept = sorted((str(r["doc_id"]), r["text"]) for r in half.collect())
     assert set(high) <= {t for _, t in kept} and all(0 < sum(i == n and "ALPHA" in t for i, t in kept) < 20 for n in ("7", "None"))
+
+
+def test_arrow_batches_are_bounded(spark):
+    """The stages with Arrow functions send texts in batches of bounded bytes, not of 10,000 rows."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @F.arrow_udf("long")
+    def bytes_at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 300).alias("text"))
+    for k, step in ((0, corpus_pipeline.reject_toxic), (2, corpus_pipeline.reject_near_copies), (4, corpus_pipeline.pack_sequences)):
+        spark.conf.unset(name)
+        step(spark, docs, SF)
+        largest = docs.select(bytes_at_once("text").alias("n")).agg(F.max("n")).first()[0]
+        assert largest < 3 << 20, corpus_pipeline.STAGES[k][0]
+    spark.conf.set(name, "1m")
+    corpus_pipeline.pack_sequences(spark, docs, SF)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
+def test_places_are_planned_without_python_rows(spark, monkeypatch):
+    """The table of places goes to Spark as Arrow: a list of rows would need Python processes of their own on every executor."""
+    import pyarrow as pa
+    from pyspark.sql import SparkSession
+
+    from panelweave.llm import packing
+
+    given, create = [], SparkSession.createDataFrame
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 7) for i in range(50)], "doc_id long, piece int, length long")
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **b: given.append(type(data)) or create(self, data, *a, **b))
+    packed = packing.pack_pieces(pieces, 10)
+    assert given == [pa.Table] and packed.count() == 50
+    assert packing.pack_pieces(pieces.limit(0), 10).count() == 0
