@@ -169,6 +169,14 @@ def _stepped(rate: Column, history: Sequence[tuple[float, ...]], most: float | N
     return F.aggregate(steps, rate, step)
 
 
+def pulled(shares: Sequence[Column], at: Sequence[float]) -> Column:
+    """The sum of ``shares`` times ``at``. The numbers go along as data: written into the expression, they would make Spark
+    compile new code for every step, on the driver and on every executor.
+    """
+    products = F.zip_with(F.array(*shares), F.array(*[F.lit(float(v)) for v in at]), lambda x, v: x * v)
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+
 def rate_column(fitted: Rates, most: float | None) -> Column:
     """A document's rate."""
     return _stepped(_first_rate(most), fitted.history, most)
@@ -220,11 +228,10 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
             recent = []
         at = pull(now)
         moves = tuple((length * at).tolist())
-        slope = sum((x * F.lit(float(v)) for x, v in zip(p, at)), F.lit(0.0))
         before = states.select("n_tokens", "posterior", _stepped(F.col("rate"), recent, most).alias("old"))
-        found = before.select("n_tokens", "posterior", "old", _stepped(F.col("old"), [moves], most).alias("new"))
+        found = before.select("n_tokens", "posterior", "old", _stepped(F.col("old"), [moves], most).alias("new"), pulled(p, at.tolist()).alias("slope"))
         row = found.agg(*[F.sum(tokens * F.col("new") * x) for x in p], F.sum(tokens * (F.col("new") - F.col("old")) ** 2),
-                        F.min(F.when(tokens > 0, slope)), F.sum(tokens * F.least(slope, F.lit(0.0)))).first()
+                        F.min(F.when(tokens > 0, F.col("slope"))), F.sum(tokens * F.least(F.col("slope"), F.lit(0.0)))).first()
         *after, moved, lowest, bounded = [float(v or 0) for v in row]
         gap = seen[-1] - least(at, lowest, bounded)
         if gap < SETTLED * seen[-1] or taken >= PATIENCE and 2 * gap < NEARLY ** 2 * mass.sum():

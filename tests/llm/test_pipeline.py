@@ -126,3 +126,14 @@ def test_places_are_planned_without_python_rows(spark, monkeypatch):
     packed = packing.pack_pieces(pieces, 10)
     assert given == [pa.Table] and packed.count() == 50
     assert packing.pack_pieces(pieces.limit(0), 10).count() == 0
+
+
+def test_a_step_of_the_mix_needs_no_code_of_its_own(spark, capsys):
+    """The numbers of a step are data of the plan, so that the code of one step serves all others."""
+    from panelweave.llm import mixing
+
+    rows = spark.createDataFrame([(0.25, 0.75), (1.0, 0.0)], "a double, b double")
+    found = rows.select(mixing.pulled([F.col("a"), F.col("b")], [0.123456789, -2.5]).alias("slope"))
+    assert [r["slope"] for r in found.collect()] == [0.0 + 0.25 * 0.123456789 + 0.75 * -2.5, 0.0 + 0.123456789 + 0.0 * -2.5]
+    found.agg(F.min("slope")).explain("codegen")
+    assert "0.123456789D" not in capsys.readouterr().out
