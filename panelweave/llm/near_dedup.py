@@ -113,16 +113,16 @@ def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets overlap enough."""
+    """The pairs (``a``, ``b``) whose full sets overlap enough, with all their columns."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_right"))
     # intersection at least percent of the union, the intersection written once
     enough = (100 + percent) * F.size(F.array_intersect("_left", "_right")) >= percent * (F.size("_left") + F.size("_right"))
-    return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(enough).select(*pairs.columns)
 
 
 def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of different components that may overlap enough: all that do, and few others.
+    """Pairs (``a``, ``b``) of different components (``c_a``, ``c_b``) that may overlap enough: all that do, and few others.
 
     ``members`` has ``doc_id, n_shingles, component, shingles``. Shingles are ranked from the rarest among these members to the
     commonest. Of two sets that overlap enough, the first common shingle has enough others behind it in both; so each set
@@ -148,7 +148,7 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     fits = ((F.struct("n_shingles_a", "a") < F.struct("n_shingles_b", "b")) & (F.col("component_a") != F.col("component_b"))
             & ((100 + percent) * F.least("behind_a", "behind_b") >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))))
     met = (small["shingle"] == large["shingle"]) & (small["part"] == large["part"])
-    return small.join(large, met & fits).select("a", "b").distinct()
+    return small.join(large, met & fits).select("a", "b", F.col("component_a").alias("c_a"), F.col("component_b").alias("c_b")).distinct()
 
 
 def relabel(old: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -197,8 +197,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Every class with its other anchors, where those lie elsewhere: one pair for each class and foreign component.
     others = met.filter("doc_id <> anchor").select(F.col("doc_id").alias("a"), F.col("anchor").alias("b")).distinct()
     others = labelled(labelled(others.join(first, ["a", "b"], "left_anti"), components, "a"), components, "b").filter("c_a <> c_b")
-    links = verified(others.select("a", "b"), sets, percent)
-    links = labelled(labelled(links, components, "a"), components, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    links = verified(stage(others.select("a", "b", "c_a", "c_b"), "others"), sets, percent)
+    links = links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     components = relabel(components, links)
     # Whatever shares a bucket and still lies apart; pairs with an anchor are known by now.
     apart = labelled(met, components, "doc_id").withColumnRenamed("c_doc_id", "component")
@@ -208,8 +208,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = prefix_pairs(doors.drop("doors").join(sets, "doc_id"), percent)
     doors_of = lambda x: doors.select(F.col("doc_id").alias(x), F.col("doors").alias(f"doors_{x}"))
     near = near.join(doors_of("a"), "a").join(doors_of("b"), "b").filter(F.arrays_overlap("doors_a", "doors_b"))
-    links = verified(near.select("a", "b"), sets, percent)
-    links = labelled(labelled(links, components, "a"), components, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    links = verified(stage(near.select("a", "b", "c_a", "c_b"), "near"), sets, percent)
+    links = links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
     components = relabel(components, links)
 
     member = labelled(classes.select("set_id", "doc_id"), components, "doc_id").select("set_id", F.col("c_doc_id").alias("component"))

@@ -120,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z, n = np.zeros(BIAS + 1, np.float32), np.zeros(BIAS + 1, np.float32)
     for number in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        learned = rows.groupBy("part").applyInPandas(training_round(state, number), "part long, z binary, n binary").collect()  # two numbers per coordinate and group
-        if not learned:
+        # two numbers per coordinate and group, as Arrow: as rows they would lie in the driver's heap decoded and pickled
+        learned = rows.groupBy("part").applyInPandas(training_round(state, number), "part long, z binary, n binary").toArrow().sort_by("part")
+        if not learned.num_rows:
             break
-        learned.sort(key=lambda r: r["part"])
-        z, n = (sum(np.frombuffer(r[name], np.float32) / len(learned) for r in learned) for name in ("z", "n"))
+        z, n = (sum(np.frombuffer(x.as_buffer(), np.float32) / learned.num_rows for x in learned[name]) for name in ("z", "n"))
         state.unpersist()
     w = weights(z, n)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}

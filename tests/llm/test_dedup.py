@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.llm import exact_dedup, near_dedup, substring_dedup, toxicity
+from panelweave.llm import components, exact_dedup, near_dedup, substring_dedup, toxicity
 from panelweave.llm.components import connected_components
 
 
@@ -114,6 +114,33 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == {1: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
+def test_rounds_are_short_and_end_with_stars(spark, monkeypatch):
+    """Stars take no round, the last round is not repeated to see it change nothing, and a round reads its edges four times."""
+    written, plain = [], components.stage
+    scans = lambda df: df._jdf.queryExecution().sparkPlan().collectLeaves().size()
+    monkeypatch.setattr(components, "stage", lambda df, name: written.append(scans(df)) or plain(df, name))
+
+    def found(pairs):
+        written.clear()
+        rows = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert len(rows) == len({r["node"] for r in rows})
+        return {r["node"]: r["component"] for r in rows}
+
+    assert found([(1, 5), (7, 1), (9, 8), (1, 7), (3, 3)]) == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8} and len(written) == 1
+    assert found([(3, 2), (2, 1)]) == {1: 1, 2: 1, 3: 1} and len(written) == 2 and written[1] == 4
+    assert found([(3, 1), (3, 2)]) == {1: 1, 2: 1, 3: 1}
+    rng = random.Random(4)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)]
+    groups = {x: {x} for p in pairs if p[0] != p[1] for x in p}
+    for a, b in pairs:
+        if a != b and groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for x in groups[b]:
+                groups[x] = groups[a]
+    assert found(pairs) == {x: min(g) for x, g in groups.items()}
+    assert found([]) == {} and len(written) == 1
+
+
 def test_shared_passage_survives_shifts(corpus):
     rng = random.Random(5)
     make = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))

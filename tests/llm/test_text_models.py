@@ -110,6 +110,15 @@ def mixing_corpus(corpus, spark):
     return corpus(rows), spark.createDataFrame(marks, "doc_id long, domain string")
 
 
+def test_toxicity_states_reach_the_driver_as_arrow(spark, corpus, monkeypatch):
+    """The groups' states are whole tables of coordinates; as pickled rows they would take a multiple in the driver's heap."""
+    docs = corpus([(i, "good words here" if i % 2 else "bad words there") for i in range(40)])
+    gathered, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: gathered.append(self.columns) or collect(self))
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert len(model) > 1 and ["part", "z", "n"] not in gathered
+
+
 def test_rates_reach_the_targets(spark, corpus, awkward):
     docs, marked = mixing_corpus(corpus, spark)
     domains = mixing.fit_domains(docs, marked.filter("doc_id < 150"))
